@@ -32,14 +32,16 @@ GATES = {
 }
 
 
+def _hits(text: Column, name: str) -> Column:
+    hits = F.regexp_extract_all(text, F.lit(PATTERNS[name]), F.lit(0))
+    if GATES[name]:
+        hits = F.when(text.contains(GATES[name]), hits).otherwise(F.array().cast("array<string>"))
+    return F.transform(hits, lambda v: F.struct(F.lit(name).alias("type"), v.alias("value")))
+
+
 def extract(rows: DataFrame, text: str, keep: list[str], types: list[str] | None = None) -> DataFrame:
     """(keep.., type, value), one row per occurrence in the whole text."""
-    found = []
-    for name in types or list(PATTERNS):
-        hits = F.regexp_extract_all(F.col(text), F.lit(PATTERNS[name]), F.lit(0))
-        if GATES[name]:
-            hits = F.when(F.col(text).contains(GATES[name]), hits).otherwise(F.array().cast("array<string>"))
-        found.append(F.transform(hits, lambda v, n=name: F.struct(F.lit(n).alias("type"), v.alias("value"))))
+    found = [_hits(F.col(text), name) for name in types or list(PATTERNS)]
     every = F.concat(*found) if len(found) > 1 else found[0]
     return spread(rows, keep, every, "_found").select(*keep, "_found.*")
 

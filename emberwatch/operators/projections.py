@@ -59,6 +59,14 @@ def in_file(events: DataFrame, source_file: str | None, column: str = "sourceFil
     return events.filter(F.col(column) == source_file) if source_file else events
 
 
+def _dotted(name: str) -> Column:
+    entries = F.transform(
+        F.map_entries(name),
+        lambda e: F.struct(F.concat(F.lit(f"{name}."), e["key"]).alias("key"), e["value"].alias("value")),
+    )
+    return F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>"))
+
+
 def flattened(events: DataFrame, skip: tuple[str, ...] = ()) -> Column:
     """Every column of an event as a map of text; event data keys get a dotted name."""
     fields = [f for f in events.schema if f.name not in skip]
@@ -71,11 +79,7 @@ def flattened(events: DataFrame, skip: tuple[str, ...] = ()) -> Column:
     )
     for f in fields:
         if f.dataType.typeName() == "map":
-            entries = F.transform(
-                F.map_entries(f.name),
-                lambda e, n=f.name: F.struct(F.concat(F.lit(n + "."), e["key"]).alias("key"), e["value"].alias("value")),
-            )
-            plain = F.concat(plain, F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")))
+            plain = F.concat(plain, _dotted(f.name))
     return F.map_from_entries(plain)
 
 

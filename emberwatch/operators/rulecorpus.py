@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.operators.predicates import any_of
+
 #: Order of levels and statuses, lowest first.
 LEVEL_ORDER = ["informational", "low", "medium", "high", "critical"]
 STATUS_ORDER = ["unsupported", "deprecated", "experimental", "test", "stable"]
@@ -67,9 +69,7 @@ def select_rules(
     if categories:
         rules = rules.filter(F.col("category").isNull() | F.col("category").isin(categories))
     if tags:
-        wanted = F.lit(False)
-        for tag in tags:
-            wanted = wanted | F.exists("tags", lambda t, tag=tag: t.contains(tag))
+        wanted = F.exists("tags", lambda t: any_of([t.contains(tag) for tag in tags]))
         rules = rules.filter(F.col("tags").isNull() | wanted)
     return rules
 

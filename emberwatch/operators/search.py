@@ -124,13 +124,12 @@ PLAYBOOKS = [
 
 def hunt_rules(rules: DataFrame, playbooks: list[Playbook] = PLAYBOOKS) -> DataFrame:
     """Rules whose tags hold a hunt's keyword: (playbook_id, rule_id)."""
-    tests = [
-        F.when(
-            F.exists("tags", lambda t, p=p: any_of([F.lower(t).contains(k) for k in p.keywords])), F.lit(p.playbook_id)
-        )
-        for p in playbooks
-    ]
-    return rules.select(F.explode(F.array_compact(F.array(*tests))).alias("playbook_id"), "rule_id")
+
+    def tagged(playbook: Playbook) -> Column:
+        return F.exists("tags", lambda t: any_of([F.lower(t).contains(k) for k in playbook.keywords]))
+
+    tests = [F.when(tagged(p), F.lit(p.playbook_id)) for p in playbooks]
+    return spread(rules, ["rule_id"], F.array_compact(F.array(*tests)), "playbook_id")
 
 
 def hunt_events(events: DataFrame, key: str, text: Column, playbooks: list[Playbook] = PLAYBOOKS) -> DataFrame:

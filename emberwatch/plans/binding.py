@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.plans.registry import table
+from emberwatch.schema import to_event_schema
 
 IMAGES = [
     r"C:\Windows\System32\WindowsPowerShell\v1.0\powershell.exe",
@@ -164,7 +165,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         data_element("CommandLine", F.col("cmdline")),
         data_element("Extra", F.concat(F.lit("k"), F.col("k").cast("string"))),
     )
-    return flat.select(
+    events = flat.select(
         "event_id",
         "user_id",
         "us",
@@ -187,3 +188,4 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("evtx-xml").alias("sourceType"),
         F.when(F.col("value") >= 60, F.lit("Error")).when(F.col("value") >= 20, F.lit("Warning")).alias("level"),
     )
+    return to_event_schema(events, ["event_id", "user_id", "us"])

@@ -24,14 +24,14 @@ def _condition(name: str, test, where: str) -> None:
 
 _text = lambda: F.col("text")
 _bytes = lambda: F.encode("text", "UTF-8")
-_SET = ["license", "@mail", "%%%", "###", "tion"]
+_SET = ["icense", "@mail", "%%%", "###", "tion"]
 
 _condition("doc_any", lambda: S.any_string(_text(), _SET[:3]),
-           "contains(text, 'license') OR contains(text, '@mail') OR contains(text, '%%%')")
+           "contains(text, 'icense') OR contains(text, '@mail') OR contains(text, '%%%')")
 _condition("doc_all", lambda: S.all_strings(_text(), ["###", "%%%"]), "contains(text, '###') AND contains(text, '%%%')")
 _condition("doc_any_all_n", lambda: S.n_strings(_text(), _SET, 2),
            " + ".join(f"CAST(contains(text, '{s}') AS INT)" for s in _SET) + " >= 2")
-_condition("doc_nocase", lambda: S.nocase(_text(), "LiCeNsE"), "contains(lower(text), 'license')")
+_condition("doc_nocase", lambda: S.nocase(_text(), "LiCeNsE"), "contains(lower(text), 'icense')")
 _condition("doc_fullword", lambda: S.fullword(_text(), "the"),
            "regexp_matches(text, '(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)')")
 _condition("doc_regex", lambda: S.regex(_text(), r"[a-z]+\.[0-9]+@mail[0-9]+"), r"regexp_matches(text, '[a-z]+\.[0-9]+@mail[0-9]+')")
@@ -39,7 +39,7 @@ _condition("doc_at", lambda: S.at(_text(), "the", 4), "substr(text, 5, 3) = 'the
 _condition("doc_in_range", lambda: S.in_range(_text(), "tion", 10, 40), "contains(substr(text, 11, 34), 'tion')")
 _condition("doc_size", lambda: S.size_of(_text()) > 4000, "octet_length(encode(text)) > 4000")
 _condition("doc_magic", lambda: S.magic(_bytes(), "5468"), "starts_with(text, 'Th')")
-_condition("doc_wide", lambda: S.encoded(F.encode("text", "UTF-16LE"), "license", ["wide"]), "contains(text, 'license')")
+_condition("doc_wide", lambda: S.encoded(F.encode("text", "UTF-16LE"), "icense", ["wide"]), "contains(text, 'icense')")
 
 
 @query("doc_count", r"""
@@ -50,7 +50,7 @@ def doc_count(spark, sf_dir):
 
 
 @query("doc_encoded", """
-SELECT doc_id, contains(text, 'license') AS in_base64, contains(text, 'mail') AS in_xor FROM documents""")
+SELECT doc_id, contains(text, 'icense') AS in_base64, contains(text, 'mail') AS in_xor FROM documents""")
 def doc_encoded(spark, sf_dir):
     # texts are encoded here, then searched for encoded literals
     shift = F.repeat(F.lit("x"), (F.col("doc_id") % 3).cast("int"))
@@ -59,7 +59,7 @@ def doc_encoded(spark, sf_dir):
     xor_text = F.encode(F.translate("text", low, high), "UTF-8")
     return documents(spark, sf_dir).select(
         "doc_id",
-        S.encoded(base64_text, "license", ["base64"]).alias("in_base64"),
+        S.encoded(base64_text, "icense", ["base64"]).alias("in_base64"),
         S.encoded(xor_text, "mail", ["xor"], range(1, 2)).alias("in_xor"),
     )
 
