@@ -106,7 +106,11 @@ def _kind(position: int) -> Column:
 
 def flat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log with one column per attribute."""
-    events = table(spark, sf_dir, "events")
+    return flatten(table(spark, sf_dir, "events"))
+
+
+def flatten(events: DataFrame) -> DataFrame:
+    """Rows of ``events``, batch or stream, with the log's attributes."""
     i, text = F.col("event_id"), lambda c: c.cast("string")
     address = (
         F.when(i % 5 == 0, F.concat(F.lit("10."), text(i % 256), F.lit(".0."), text(F.col("user_id") % 256)))
@@ -145,8 +149,11 @@ def data_element(name: str, value: Column) -> Column:
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log in the event schema, with ``event_id`` and ``user_id`` besides."""
-    flat = flat_log(spark, sf_dir)
+    """The log in the event schema, with ``event_id``, ``user_id`` and ``us`` besides."""
+    return as_events(flat_log(spark, sf_dir))
+
+
+def as_events(flat: DataFrame) -> DataFrame:
     network = F.col("eid") == 3
     entries = {
         "Image": F.col("image"),
