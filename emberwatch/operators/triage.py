@@ -42,11 +42,12 @@ INTERNAL_PREFIXES = ["127.", "10.", "192.168.", "::1"]
 LABELS = [(80, "Critical"), (55, "High"), (30, "Medium"), (10, "Low")]
 
 
-def level_counts() -> dict[str, Column]:
-    """Matches per level; a missing or unknown level is low."""
+def level_counts(n: Column | None = None) -> dict[str, Column]:
+    """Matches per level; a missing or unknown level is low. ``n`` weighs rows that stand for several."""
     level = F.coalesce("level", F.lit("low"))
-    named = {n: F.count_if(level == n).alias(n) for n in ("critical", "high", "medium")}
-    return {**named, "low": F.count_if(~level.isin(*named)).alias("low")}
+    total = (lambda test: F.count_if(test)) if n is None else (lambda test: F.sum(F.when(test, n).otherwise(0)))
+    named = {name: total(level == name).alias(name) for name in ("critical", "high", "medium")}
+    return {**named, "low": total(~level.isin(*named)).alias("low")}
 
 
 def _grouped(df: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
@@ -59,19 +60,35 @@ def _factor(df: DataFrame, by: list[str], name: str, points: Column, detail: Col
     )
 
 
-def detection_points(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
+def match_totals(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Matches per rule: what all match factors are worked out from.
+
+    The factors read the same totals, so the matches are found once and their
+    exchange is used again.
+    """
+    return matches.groupBy(*(by or []), "level", "tags").agg(F.count(F.lit(1)).alias("n"))
+
+
+def event_totals(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Events per suspicious program, folder test and external address, for the event factors."""
+    keys = [suspicious_process().alias("process"), in_suspicious_folder().alias("folder"), external_address().alias("address")]
+    rows = events.select(*(by or []), *keys)
+    return rows.groupBy(*(by or []), "process", "folder", "address").agg(F.count(F.lit(1)).alias("n"))
+
+
+def detection_points(totals: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    counts = _grouped(matches, by, *level_counts().values())
+    counts = _grouped(totals, by, *level_counts(F.col("n")).values())
     raw = sum((F.col(n) * w for n, w in LEVEL_WEIGHT.items()), F.lit(0))
     detail = F.format_string("%d critical, %d high, %d medium, %d low", "critical", "high", "medium", "low")
     return _factor(counts, by, "detections", F.least(F.lit(40), raw), detail, raw > 0)
 
 
-def tactic_breadth(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
+def tactic_breadth(totals: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Distinct tags that name no technique."""
     by = by or []
     tag = F.regexp_replace(F.lower("tag"), r"^(.*?)attack\.", "$1")
-    tags = matches.select(*by, "tags").distinct().select(*by, F.explode("tags").alias("tag")).select(*by, tag.alias("tag"))
+    tags = totals.filter(F.col("n") > 0).select(*by, F.explode("tags").alias("tag")).select(*by, tag.alias("tag"))
     kept = tags.filter(~F.col("tag").startswith("t") & (F.length("tag") > 2))
     counts = _grouped(kept, by, F.count_distinct("tag").alias("n"))
     detail = F.format_string("%d distinct tactic(s)", "n")
@@ -101,30 +118,30 @@ def external_address() -> Column:
     return F.when(~any_of([address.startswith(p) for p in INTERNAL_PREFIXES]), address)
 
 
-def suspicious_processes(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+def suspicious_processes(totals: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    counts = _grouped(events, by, F.count_distinct(suspicious_process()).alias("n"))
+    counts = _grouped(totals.filter(F.col("n") > 0), by, F.count_distinct("process").alias("n"))
     detail = F.format_string("%d suspicious program(s)", "n")
     return _factor(counts, by, "processes", F.least(F.lit(15), F.col("n") * 3), detail, F.col("n") > 0)
 
 
-def unusual_folders(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+def unusual_folders(totals: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    counts = _grouped(events, by, F.count_if(in_suspicious_folder()).alias("n"))
+    counts = _grouped(totals, by, F.sum(F.when(F.col("folder"), F.col("n")).otherwise(0)).alias("n"))
     detail = F.format_string("%d execution(s) from unusual folders", "n")
     return _factor(counts, by, "folders", F.least(F.lit(10), F.ceil(F.col("n") / 5)), detail, F.col("n") > 0)
 
 
-def external_connections(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+def external_connections(totals: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    counts = _grouped(events, by, F.count_distinct(external_address()).alias("n"))
+    counts = _grouped(totals.filter(F.col("n") > 0), by, F.count_distinct("address").alias("n"))
     detail = F.format_string("%d unique external address(es)", "n")
     return _factor(counts, by, "network", F.least(F.lit(10), F.col("n") * 2), detail, F.col("n") > 0)
 
 
-def match_volume(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
+def match_volume(totals: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    counts = _grouped(matches, by, F.count(F.lit(1)).alias("n"))
+    counts = _grouped(totals, by, F.sum("n").alias("n"))
     detail = F.format_string("%d total matches", "n")
     points = F.least(F.lit(10), F.floor(F.col("n") / 50) * 2)
     return _factor(counts, by, "volume", points, detail, F.col("n") > 50)
@@ -132,13 +149,14 @@ def match_volume(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def factors(events: DataFrame, matches: DataFrame, by: list[str] | None = None) -> DataFrame:
     """All factor rows that score."""
+    found, seen = match_totals(matches, by), event_totals(events, by)
     parts = [
-        detection_points(matches, by),
-        tactic_breadth(matches, by),
-        suspicious_processes(events, by),
-        unusual_folders(events, by),
-        external_connections(events, by),
-        match_volume(matches, by),
+        detection_points(found, by),
+        tactic_breadth(found, by),
+        suspicious_processes(seen, by),
+        unusual_folders(seen, by),
+        external_connections(seen, by),
+        match_volume(found, by),
     ]
     result = parts[0]
     for part in parts[1:]:

@@ -43,8 +43,10 @@ factors AS (
 def _factor(name: str, function, source: str, factor: str) -> None:
     @query(name, with_log(MATCHES + _factors("host") + f"SELECT g AS host, factor, points, detail FROM factors WHERE factor = '{factor}'"))
     def run(spark, sf_dir):
-        rows = matches(spark, sf_dir) if source == "matches" else log_events(spark, sf_dir)
-        return function(rows, ["host"])
+        by = ["host"]
+        if source == "matches":
+            return function(T.match_totals(matches(spark, sf_dir), by), by)
+        return function(T.event_totals(log_events(spark, sf_dir), by), by)
 
 
 _factor("triage_sigma_points", T.detection_points, "matches", "detections")

@@ -54,7 +54,9 @@ SELECT doc_id, contains(text, 'icense') AS in_base64, contains(text, 'mail') AS
 def doc_encoded(spark, sf_dir):
     # texts are encoded here, then searched for encoded literals
     shift = F.repeat(F.lit("x"), (F.col("doc_id") % 3).cast("int"))
-    base64_text = F.encode(F.base64(F.encode(F.concat(shift, "text"), "UTF-8")), "UTF-8")
+    # base64() breaks its lines, which would cut literals in two
+    one_line = F.regexp_replace(F.base64(F.encode(F.concat(shift, "text"), "UTF-8")), r"\s", "")
+    base64_text = F.encode(one_line, "UTF-8")
     low, high = "".join(chr(c) for c in range(0x20, 0x80)), "".join(chr(c ^ 1) for c in range(0x20, 0x80))
     xor_text = F.encode(F.translate("text", low, high), "UTF-8")
     return documents(spark, sf_dir).select(

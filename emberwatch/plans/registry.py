@@ -31,5 +31,19 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFunction], QueryF
     return register
 
 
+#: Tables whose rows cost much work each: logs and texts.
+_HEAVY = ("events", "documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.
+
+    A file of one row group comes as one task, whatever the work per row; such
+    logs and texts are dealt out to all cores. Larger tables come split and
+    are left as they are.
+    """
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _HEAVY and frame.rdd.getNumPartitions() * 2 <= cores:
+        return frame.repartition(cores)
+    return frame
