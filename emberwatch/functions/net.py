@@ -44,7 +44,9 @@ def ipv6_hex(column: Column) -> Column:
     missing = F.lit(8) - F.size(left) - F.size(right)
     filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
     digits = F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), "")
-    shaped = text.rlike("^[0-9a-f:]+$") & text.contains(":") & (F.size(halves) <= 2)
+    # without a double colon all eight groups must be there
+    whole = (F.size(halves) == 2) | ((F.size(halves) == 1) & (F.size(left) == 8))
+    shaped = text.rlike("^[0-9a-f:]+$") & text.contains(":") & whole
     return F.when(shaped & F.forall(filled, lambda g: F.length(g).between(1, 4)) & (F.length(digits) == 32), digits)
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberwatch.functions.text import base64_offset_literals, quote_regex
 from emberwatch.operators.predicates import any_of
@@ -87,7 +88,7 @@ def encoded(content: Column, literal: str, forms: list[str], xor_keys: range = r
     return any_of([content.contains(F.unhex(F.lit(h))) for name in forms for h in known[name]])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def entropy(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Shannon entropy of the bytes in bits; one pass per value, no shuffle."""
 

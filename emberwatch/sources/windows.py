@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberwatch.functions.text import cut, empty_as_null, last_wins_map, leading_int, quote_regex
 from emberwatch.operators.skew import first_n, spread
@@ -133,7 +134,7 @@ def first_events(rows: DataFrame, n: int, file: str = "source_file", order: list
     return first_n(rows, [file], order, n, F.struct(*order))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def decoded(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Bytes as UTF-16LE and as UTF-8 text; what is not valid becomes a replacement mark."""
     for batch in contents:
