@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.fields import raw_data_value
 from emberwatch.functions.text import first_filled
-from emberwatch.operators.skew import numbered_parts
+from emberwatch.operators.skew import numbered_parts, once
 
 #: Event ids of network connections and name lookups.
 CONNECTION = 3
@@ -26,7 +26,7 @@ def field(*names: str) -> Column:
 def network_events(events: DataFrame, key: str) -> DataFrame:
     """Connection and lookup events with a process, their fields read once."""
     wanted = events.filter(F.col("eventId").isin(CONNECTION, DNS_QUERY))
-    return wanted.select(
+    fields = F.struct(
         F.col(key).alias("key"),
         "eventId",
         "timestamp",
@@ -39,7 +39,8 @@ def network_events(events: DataFrame, key: str) -> DataFrame:
         (field("Initiated") == "true").alias("initiated"),
         field("QueryName").alias("query"),
         field("QueryResults").alias("results"),
-    ).filter(F.col("guid") != "")
+    )
+    return once(wanted, fields, "_net").select("_net.*").filter(F.col("guid") != "")
 
 
 def first_images(network: DataFrame) -> DataFrame:

@@ -51,3 +51,12 @@ def spread(df: DataFrame, keep: list, values: Column, name: str) -> DataFrame:
     copy a costly array expression into a filter and so work it out twice.
     """
     return df.select(*keep, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
+def once(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """Add a costly column that later filters may read without it being worked out again.
+
+    A filter on a plain column is pushed below its projection with a copy of
+    the expression; it stays above a generator.
+    """
+    return df.select("*", F.explode_outer(F.array(column)).alias(name))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.text import empty_as_null, first_filled, last_wins_map, leading_int, stripped
 from emberwatch.functions.times import audit_time, epoch_time, syslog_time
+from emberwatch.operators.skew import once
 from emberwatch.schema import to_event_schema
 
 #: Line shapes.
@@ -111,7 +112,7 @@ def is_journal(entry: Column) -> Column:
 def parse_journal(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """JSON lines with at least one journal key."""
     raw = lines.withColumn("_line", stripped(F.col("value")))
-    frame = raw.withColumn("_entry", journal_map(F.col("_line"))).filter(is_journal(F.col("_entry")))
+    frame = once(raw, journal_map(F.col("_line")), "_entry").filter(is_journal(F.col("_entry")))
     get = lambda name: empty_as_null(F.element_at("_entry", name))
     unit = F.coalesce(get("_SYSTEMD_UNIT"), get("SYSLOG_IDENTIFIER"), F.lit("journal"))
     host = F.coalesce(get("_HOSTNAME"), get("HOSTNAME"))

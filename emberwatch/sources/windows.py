@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberwatch.functions.text import cut, empty_as_null, last_wins_map, leading_int, quote_regex
-from emberwatch.operators.skew import first_n, spread
+from emberwatch.operators.skew import first_n, once, spread
 from emberwatch.schema import to_event_schema
 
 #: Names of the event levels.
@@ -72,7 +72,7 @@ def parse_event_xml(
 ) -> DataFrame:
     """``<Event>`` texts in ``value`` to events; rows without a System part are left out."""
     parsed = F.from_xml(F.col("value"), _EVENT, {"ignoreNamespace": "true", "rowTag": "Event", "mode": "PERMISSIVE"})
-    frame = rows.withColumn("_event", parsed).filter(F.col("_event.System").isNotNull())
+    frame = once(rows, parsed, "_event").filter(F.col("_event.System").isNotNull())
     data = F.coalesce(F.col("_event.EventData.Data"), F.array().cast("array<struct<_Name:string,_VALUE:string>>"))
     named = F.filter(data, lambda d: F.coalesce(d["_Name"], F.lit("")) != "")
     if compact:
