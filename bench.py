@@ -14,6 +14,7 @@ import time
 from pyspark.sql import SparkSession
 
 from emberwatch.plans import catalog
+from emberwatch.session import STATIC_SETTINGS
 
 HEADLINES = [
     "sigma_prefilter",
@@ -61,6 +62,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(map=STATIC_SETTINGS)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -10,7 +10,7 @@ from emberwatch.operators.skew import small_side
 
 
 def actor_indicators(actors: DataFrame) -> DataFrame:
-    """Actors with an ``iocs`` array as unique (actor_id, type, value) rows."""
+    """Actors with an ``iocs`` array as unique (actor_id, type, value) rows; an actor may have several rows."""
     rows = actors.select("actor_id", "name", F.explode("iocs").alias("ioc"))
     return rows.select(
         "actor_id", "name", F.col("ioc.type").alias("type"), normalised(F.col("ioc.type"), F.col("ioc.value")).alias("value")

@@ -54,12 +54,10 @@ def threat_actor_join(spark, sf_dir):
     # each actor claims the indicators of some documents, in another spelling
     claimed = found.filter(F.col("type").isin("email", "hash", "ip")).select(
         F.pmod("doc_id", total).alias("actor_id"),
-        F.struct("type", F.concat(F.lit("  "), F.upper("value"), F.lit(" ")).alias("value")).alias("ioc"),
+        F.array(F.struct("type", F.concat(F.lit("  "), F.upper("value"), F.lit(" ")).alias("value"))).alias("iocs"),
     )
-    repository = (
-        claimed.groupBy("actor_id")
-        .agg(F.collect_set("ioc").alias("iocs"))
-        .join(supplier.select(F.col("s_suppkey").alias("actor_id"), F.col("s_name").alias("name")), "actor_id")
+    repository = claimed.join(
+        supplier.select(F.col("s_suppkey").alias("actor_id"), F.col("s_name").alias("name")), "actor_id"
     )
     return J.actor_matches(found, repository)
 

@@ -19,6 +19,12 @@ SQL_SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+#: Settings that only a new session takes.
+STATIC_SETTINGS = {
+    # rules make thousands of Columns; recording a call site for each is slow
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings above to an existing session."""

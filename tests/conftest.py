@@ -9,6 +9,8 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
 def make_session() -> SparkSession:
+    from emberwatch.session import STATIC_SETTINGS
+
     spark = (
         SparkSession.builder.master("local[8]")
         .appName("emberwatch-tests")
@@ -17,6 +19,7 @@ def make_session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(map=STATIC_SETTINGS)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
