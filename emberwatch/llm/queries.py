@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import byte_bpe, decontamination, line_dedup, near_dedup, quality_rules, secret_scan, token_counts, url_filters
+from emberwatch.llm import byte_bpe, decontamination, line_dedup, lm_scoring, near_dedup, quality_rules, secret_scan, token_counts, url_filters
 from emberwatch.llm.common import read_table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(read_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(read_table(spark, sf_dir, "documents"), UNIGRAM_PIECES)
 
@@ -51,6 +55,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFunction] = {
     "op1_url_filters": op1_url_filters,
     "op3_line_dedup": op3_line_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
