@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import byte_bpe, decontamination, line_dedup, lm_scoring, near_dedup, quality_rules, secret_scan, token_counts, url_filters
+from emberwatch.llm import byte_bpe, decontamination, line_dedup, lm_scoring, near_dedup, pii, quality_rules, secret_scan, token_counts, url_filters
 from emberwatch.llm.common import read_table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(read_table(spark, sf_dir, "pages"), url_filters.RULES)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(read_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(read_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFunction] = {
     "op1_url_filters": op1_url_filters,
+    "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_token_counts": op5_token_counts,

@@ -274,5 +274,6 @@ def summary(docs: DataFrame) -> DataFrame:
         return F.concat_ws(",", F.transform(spans, name))
 
     base = F.filter("spans", lambda s: s["via"] == "")
-    counts = [F.size(F.filter(base, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    of_kind = lambda n: F.size(F.filter(base, lambda s: s["kind"] == n)).cast("long")
+    counts = [of_kind(n).alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
     return found_in(docs).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_cut")
