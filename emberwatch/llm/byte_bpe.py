@@ -249,11 +249,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return coded.withColumn("decoded", decode(F.col("ids"), path))
 
 
-def summary(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Counts and digests of ``round_trip``."""
+def summary(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Counts and digests of ``round_trip``, if asked with the packed ids."""
     return round_trip(docs, path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if with_ids else []),
     )
