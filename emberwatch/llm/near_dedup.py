@@ -6,10 +6,13 @@
 3. Classes that share a band meet in a bucket. Every member gets one edge, to the bucket's smallest
    member: n - 1 edges, never all pairs.
 4. Edges whose set sizes or signatures rule a link out go; the rest is confirmed on the full sets.
-5. Where the members of a bucket are still in several components, those outside its largest one
-   are compared with the rest of the bucket. Nothing else can join two components.
+5. Stars lose links between members that are both far from the middle. Where the members of a bucket
+   are still in several components, the signatures of those outside its largest one are compared
+   with the others', in blocks; what the signatures do not rule out is confirmed like the rest.
+   No other pair of a bucket can join two components.
 
-Two sets of similarity 0.75 share no band with a probability of 2e-6.
+Two sets of similarity 0.75 share no band with a probability of 2e-6. A signature rules a pair out
+when its estimate is four standard deviations below a link.
 
 Nulls and edges: a null or blank text has no shingles, is a component of its own and kept. A row
 without doc_id has a null component, is kept and links nothing. Rows that share a doc_id share
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import written
@@ -33,8 +36,12 @@ BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
 #: A link needs ``100 * intersection >= PERCENT * union``.
 PERCENT = 75
-#: From this set size on, a signature with under half its bins equal is 7 deviations off a link.
-SURE = 300
+#: Standard deviations that an estimate must be off to rule a pair out.
+SURE = 4.0
+#: Members of a bucket that are compared with as many others in one go.
+CHUNK = 2048
+#: Size of the filter on document ids: 2^23 bits are 1 MB, whatever it is made from.
+FILTER_BITS = 1 << 23
 
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
@@ -69,12 +76,14 @@ def shingles(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, rows, np.bincount(rows, minlength=len(block.counts))
 
 
-def _signatures(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+def _signatures(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The densified signatures, and a byte per bin that is 0 where the bin was empty."""
     bins = ((values >> _U(32)) * _U(BINS)) >> _U(32)
     table = np.full(n * BINS, _EMPTY, _U)
     np.minimum.at(table, rows * BINS + bins.astype(np.int64), mix(values))
     table = table.reshape(n, BINS)
     filled = table != _EMPTY
+    marks = np.where(filled, (table % _U(255)).astype(np.uint8) + np.uint8(1), np.uint8(0))
     row, own = np.nonzero(~filled & filled.any(axis=1)[:, None])
     for step in range(BINS):
         if not len(row):
@@ -83,7 +92,7 @@ def _signatures(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         found = filled[row, donor]
         table[row[found], own[found]] = table[row[found], donor[found]]
         row, own = row[~found], own[~found]
-    return table
+    return table, marks
 
 
 def _bands(table: np.ndarray) -> np.ndarray:
@@ -105,9 +114,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             class_1, class_2 = np.zeros(n, _U), np.zeros(n, _U)
             np.add.at(class_1, rows, values)
             np.add.at(class_2, rows, mix(values ^ _U(0x5A17)))
-            table = _signatures(values, rows, n)
+            table, marks = _signatures(values, rows, n)
             some = sizes > 0
-            marks = (table & _U(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(block.first, n),
@@ -129,29 +137,56 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, int64_lists(values, sizes)], names=["doc_id", "shingles"])
 
 
-def _sizes_fit(a: Column, b: Column) -> Column:
-    """Sets whose sizes differ more than this cannot be similar enough."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def _possible(n_a: np.ndarray, n_b: np.ndarray, marks_a: np.ndarray, marks_b: np.ndarray) -> np.ndarray:
+    """Whether sizes and signatures (before densification) leave a link possible.
+
+    The bins that are not empty in both sample the union without putting back, which narrows the
+    estimate's spread.
+    """
+    least = PERCENT / 100
+    full = np.maximum(np.count_nonzero(marks_a | marks_b, axis=-1), 1)
+    equal = np.count_nonzero((marks_a == marks_b) & (marks_a > 0), axis=-1)
+    union = (n_a + n_b) / (1 + least)
+    spread = np.sqrt(least * (1 - least) / full * np.maximum(union - full, 1) / union)
+    sizes = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * PERCENT
+    return sizes & (equal / full >= least - SURE * spread)
 
 
-def _equal_bins(a: Column, b: Column) -> Column:
-    same = F.zip_with(F.split(F.hex(a), "(?<=\\G..)"), F.split(F.hex(b), "(?<=\\G..)"), lambda x, y: x == y)
-    return F.size(F.filter(same, lambda x: x))
+def _marks(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BINS)
 
 
 def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and signatures do not rule out."""
-    a = classes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("s_a"))
-    b = classes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("s_b"))
-    both = pairs.join(b, "b").join(a, "a").filter(_sizes_fit(F.col("n_a"), F.col("n_b")))
-    large = F.least("n_a", "n_b") >= SURE
-    return both.filter(~large | (_equal_bins(F.col("s_a"), F.col("s_b")) * 2 >= BINS)).select("a", "b")
+
+    @F.arrow_udf("boolean")
+    def possible(n_a: pa.Array, n_b: pa.Array, marks_a: pa.Array, marks_b: pa.Array) -> pa.Array:
+        return pa.array(_possible(np.asarray(n_a), np.asarray(n_b), _marks(marks_a), _marks(marks_b)))
+
+    side = lambda x: classes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.filter(possible("n_a", "n_b", "s_a", "s_b")).select("a", "b").distinct()
+
+
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of the ids.
+
+    A bitmap of hashed ids, of fixed size, keeps most other texts out of the shuffle; the join decides.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bitmap = ids.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("place"))
+    bitmap = bitmap.groupBy("part").agg(F.bitmap_construct_agg("place").alias("bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = F.expr("part = bitmap_bucket_number(pmod(xxhash64(doc_id), %d))" % FILTER_BITS)
+    near = docs.join(F.broadcast(bitmap), marked).filter(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return near.select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = _among(docs, ids).mapInArrow(_sets, "doc_id long, shingles array<long>")
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -159,6 +194,44 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.filter(shared * 100 >= union * PERCENT).select("a", "b").distinct()
 
 
+def _compared(block: pa.Table) -> pa.Table:
+    """Pairs of a block that a link may join: rows outside the main component with rows of others."""
+    order = {name: block.column(name).combine_chunks() for name in ("doc_id", "component", "n_shingles", "signature", "outside", "middle")}
+    ids, parts, sizes = (np.asarray(order[c]) for c in ("doc_id", "component", "n_shingles"))
+    outside, middle = (order[c].to_numpy(zero_copy_only=False) for c in ("outside", "middle"))
+    marks = _marks(order["signature"])
+    theirs, mine = np.flatnonzero(~outside & ~middle), np.flatnonzero(outside)
+    found: list[np.ndarray] = []
+    for i in mine:
+        others = theirs[parts[theirs] != parts[i]]
+        fits = others[_possible(sizes[i], sizes[others], marks[i], marks[others])]
+        found.append(np.stack([np.minimum(ids[i], ids[fits]), np.maximum(ids[i], ids[fits])]))
+    a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _left_open(members: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of different components that share a bucket, were not compared yet and may be linked.
+
+    Each row outside its bucket's largest component meets the others in blocks of ``CHUNK`` by
+    ``CHUNK`` rows, so a large bucket is many tasks.
+    """
+    at = members.filter("n > 2").join(found, "doc_id", "left")
+    at = at.select("bucket", "doc_id", "n", (F.col("doc_id") == F.col("center")).alias("middle"), F.coalesce("component_id", "doc_id").alias("component"))
+    parts = at.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
+    rows = at.join(largest.filter("parts > 1").drop("parts"), "bucket")
+    chunks = F.ceil(F.col("n") / CHUNK)
+    own = F.pmod(F.xxhash64("doc_id"), chunks)
+    every = F.sequence(F.lit(0).cast("long"), chunks - 1)
+    cell = lambda row, column: F.struct(row.alias("row"), column.alias("column"))
+    known = ["bucket", "doc_id", "component", "middle"]
+    left = rows.filter("component <> main AND NOT middle").select(*known, F.lit(True).alias("outside"), F.explode(F.transform(every, lambda c: cell(own, c))).alias("cell"))
+    right = rows.select(*known, F.lit(False).alias("outside"), F.explode(F.transform(every, lambda c: cell(c, own))).alias("cell"))
+    blocks_of = left.union(right).join(classes.select("doc_id", "n_shingles", "signature"), "doc_id")
+    return blocks_of.groupBy("bucket", "cell").applyInArrow(_compared, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The smallest id that each node of ``edges`` (a, b) can reach, as (doc_id, component_id).
 
@@ -196,20 +269,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(_confirmed(written(_promising(stars, classes), "pairs"), docs), "links")
     found = components(links)
 
-    # what stars leave open: buckets of three and more with several components
-    at = members.filter("n > 2").join(found, "doc_id", "left")
-    at = at.select("bucket", "doc_id", "center", F.coalesce("component_id", "doc_id").alias("component"))
-    parts = at.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
-    open_at = written(at.join(largest.filter("parts > 1"), "bucket"), "open")
-    outside = open_at.filter("component <> main").select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("of_a"))
-    rest = open_at.select("bucket", "center", F.col("doc_id").alias("b"), F.col("component").alias("of_b"), "main")
-    across = rest.join(outside, "bucket").filter(
-        "of_a <> of_b AND a <> center AND b <> center AND (of_b = main OR a < b)"
-    )
-    more = written(_promising(across.select("a", "b").distinct(), classes), "pairs")
-    links = links.union(_confirmed(more, docs))
-    labels = components(written(links, "links"))
+    more = written(_confirmed(written(_left_open(members, found, classes), "pairs"), docs), "links")
+    labels = found if more.isEmpty() else components(links.union(more))
 
     named = firsts.join(labels.withColumnRenamed("doc_id", "first_id"), "first_id", "left")
     named = named.select(*same, F.coalesce("component_id", "first_id").alias("of_class"))
