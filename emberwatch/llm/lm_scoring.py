@@ -183,7 +183,7 @@ def _bucket_sums(vocabulary: float) -> Callable[[pa.Table], pa.Table]:
         of_target = np.bincount(at, np.where(own, counts, 0), len(values))[at]
         of_other = np.bincount(at, np.where(own, 0, counts), len(values))[at]
         gain = _difference((keys & _U(1)).astype(bool), of_target - np.where(own, counts, 0), of_other - np.where(own, 0, counts), vocabulary)
-        sums = np.bincount(row, gain * counts, int(sizes.sum()))
+        sums = np.bincount(row, gain * counts, int(sizes.sum())).astype(np.float64)
         packed = [_packed(x) for x in np.split(sums, np.cumsum(sizes)[:-1])]
         hot, at = np.unique(np.concatenate(get("hot_at", np.int64)), return_inverse=True)
         hot_n = np.bincount(at, np.concatenate(get("hot_n", np.int64)), len(hot)).astype(np.int64)
@@ -220,7 +220,7 @@ def _hot_sums(hot: np.ndarray, of_target: np.ndarray, of_other: np.ndarray, voca
                 own = at >= 0
                 rows, at, counts, context = rows[own], at[own], counts[own], context[own]
                 sums = [
-                    np.bincount(rows, counts * _difference(context, np.maximum(of_target[at] - a, 0), np.maximum(of_other[at] - b, 0), vocabulary), n)
+                    np.bincount(rows, counts * _difference(context, np.maximum(of_target[at] - a, 0), np.maximum(of_other[at] - b, 0), vocabulary), n).astype(np.float64)
                     for a, b in ((counts, 0), (0, counts))
                 ]
                 named = [batch.column(i).slice(block.first, n) for i in (0, 1)]
@@ -241,11 +241,13 @@ def scored(docs: DataFrame, labels: DataFrame, vocabulary: float | None = None)
     docs = docs.select(doc_id.alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
     target = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
 
+    n_docs = docs.count()
+    if not n_docs:
+        return spark.createDataFrame([], "doc_id long, n_tokens long, score double")
     seen = Observation()
     survey = docs.select("text").mapInArrow(_survey, "key long, n long")
     survey = survey.observe(seen, F.approx_count_distinct(F.when(F.col("n") == 0, F.col("key")), VOCABULARY_RSD).alias("words"))
-    often = survey.filter("n > 0").groupBy("key").agg(F.sum("n").alias("n"))
-    n_docs = docs.count()
+    often = written(survey.filter("n > 0"), "often").groupBy("key").agg(F.sum("n").alias("n"))
     rows = often.filter(F.col("n") >= max(3.0, n_docs * HOT_SHARE)).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").toPandas()
     hot = np.sort(rows["key"].to_numpy(np.int64).view(_U))
     vocabulary = float(vocabulary or seen.get["words"])
