@@ -25,7 +25,7 @@ ODD_TEXTS = [
     (11, "another text under an id that is taken."),
     (None, "a text without an id, but with words enough for a few shingles"),
     (None, None),
-    (12, "+1 (187) 555-8851 a@b.example.org 4111 1111 1111 1111 10.0.0.1 token = \"abcdef0123\""),
+    (12, "+1 (187) 555-8851 a@b.example.org 4111 1111 1111 1111, 10.0.0.1 token = \"abcdef0123\""),
 ]
 
 
