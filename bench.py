@@ -9,12 +9,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from emberwatch.plans import catalog
-from emberwatch.session import STATIC_SETTINGS
+from emberwatch.session import INPUT_PARTITIONS, STATIC_SETTINGS
 
 HEADLINES = [
     "sigma_prefilter",
@@ -62,6 +63,8 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp())
+        .config(INPUT_PARTITIONS, cpus)
         .config(map=STATIC_SETTINGS)
         .getOrCreate()
     )

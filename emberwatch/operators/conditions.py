@@ -43,14 +43,6 @@ def selected(names: list[str], pattern: str) -> list[str]:
     return [n for n in names if fnmatchcase(n, pattern)]
 
 
-def one_of(selections: dict[str, Column], pattern: str = "them") -> Column:
-    return any_of([two_valued(selections[n]) for n in selected(list(selections), pattern)])
-
-
-def all_selected(selections: dict[str, Column], pattern: str = "them") -> Column:
-    return all_of([two_valued(selections[n]) for n in selected(list(selections), pattern)])
-
-
 def split_count(condition: str) -> tuple[str, CountTest | None]:
     """Separate the boolean part of a condition from a trailing count test."""
     head, bar, tail = condition.partition("|")
@@ -63,23 +55,38 @@ def split_count(condition: str) -> tuple[str, CountTest | None]:
     return head, CountTest(field or None, by, operator, int(number))
 
 
+_NAME = re.compile(r"[\w*.-]+")
+
+
 def condition(text: str, selections: dict[str, Column]) -> Column:
     """``sel and not 1 of filter_*`` to a Column.
 
-    Quantifiers become names of their own; the rest is the grammar of Python's
-    boolean expressions, so Python's ``ast`` gives precedence and brackets.
+    Quantifiers become terms of their own, and every term a neutral name; the
+    rest is the grammar of Python's boolean expressions, so Python's ``ast``
+    gives precedence and brackets, whatever the selections are called.
     """
-    terms = {name.lower(): two_valued(column) for name, column in selections.items()}
-    names = list(selections)
+    columns = [two_valued(c) for c in selections.values()]
+    places = {name.lower(): i for i, name in enumerate(selections)}
 
     def quantified(match: re.Match) -> str:
         amount, pattern = match.groups()
         fold = all_of if amount.lower() == "all" else any_of
-        key = f"quantified{len(terms)}"
-        terms[key] = fold([two_valued(selections[n]) for n in selected(names, pattern)])
-        return key
-
-    tree = ast.parse(_QUANTIFIER.sub(quantified, text).strip().lower(), mode="eval").body
+        columns.append(fold([two_valued(selections[n]) for n in selected(list(selections), pattern)]))
+        places[f"quantified{len(columns)}"] = len(columns) - 1
+        return f"quantified{len(columns)}"
+
+    def neutral(match: re.Match) -> str:
+        word = match.group().lower()
+        if word in places:
+            return f"term{places[word]}"
+        if word in ("and", "or", "not"):
+            return word
+        raise ValueError(f"unknown selection {word} in condition: {text}")
+
+    try:
+        tree = ast.parse(_NAME.sub(neutral, _QUANTIFIER.sub(quantified, text)).strip(), mode="eval").body
+    except SyntaxError as error:
+        raise ValueError(f"unsupported condition: {text}") from error
 
     def fold(node: ast.expr) -> Column:
         if isinstance(node, ast.BoolOp):
@@ -88,7 +95,7 @@ def condition(text: str, selections: dict[str, Column]) -> Column:
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
             return ~fold(node.operand)
         if isinstance(node, ast.Name):
-            return terms[node.id]
+            return columns[int(node.id.removeprefix("term"))]
         raise ValueError(f"unsupported condition: {text}")
 
     return fold(tree)

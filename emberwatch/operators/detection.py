@@ -7,22 +7,53 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators.conditions import CountTest
 from emberwatch.operators.predicates import all_of, any_of, expand_values, one_value, predicate, two_valued
-from emberwatch.operators.rules import CATEGORY_EVENTS, FieldSet, Rule, _values, rule_column
-from emberwatch.operators.skew import small_side, spread
+from emberwatch.operators.rules import CATEGORY_EVENTS, SERVICE_SOURCES, FieldSet, Rule, _values, rule_column
+from emberwatch.operators.skew import spread
+
+
+def unknown_source(logsource: dict) -> str | None:
+    """Why a Windows log source cannot be routed; such a rule sees no event."""
+    if logsource.get("product", "windows") != "windows":
+        return None
+    for kind, known in (("category", CATEGORY_EVENTS), ("service", SERVICE_SOURCES)):
+        name = logsource.get(kind)
+        if name and name not in known and (logsource.get("product") or kind == "category"):
+            return f"unknown {kind}: {name}"
+    return None
 
 
 def route_test(logsource: dict) -> Column:
     """Which events a log source lets a rule see."""
+    if unknown_source(logsource):
+        return F.lit(False)
     tests = []
-    category = logsource.get("category")
+    category, service = logsource.get("category"), logsource.get("service")
     if category in CATEGORY_EVENTS:
         pairs = CATEGORY_EVENTS[category]
         tests.append(any_of([(F.col("eventId") == e) & F.col("source").contains(s) for s, e in pairs]))
+    if service in SERVICE_SOURCES and logsource.get("product", "windows") == "windows":
+        tests.append(F.col("source").contains(SERVICE_SOURCES[service]))
     if logsource.get("product"):
         tests.append(F.col("platform") == logsource["product"])
     return two_valued(all_of(tests)) if tests else F.lit(True)
 
 
+def problems(rules: list[Rule]) -> dict[str, str]:
+    """Rules that cannot be translated, or whose Windows log is not known, with the reason."""
+    found = {}
+    for rule in rules:
+        try:
+            rule.timeframe  # noqa: B018
+            fields = FieldSet(rule.field_names(), rule.has_keywords())
+            rule_column(rule, fields)
+            reason = unknown_source(rule.logsource)
+        except (ValueError, KeyError, TypeError) as error:
+            reason = str(error)
+        if reason:
+            found[rule.rule_id] = reason
+    return found
+
+
 def logsource_table(spark: SparkSession) -> DataFrame:
     """The category map as a table (channel, eventId, category)."""
     rows = [(s, e, c) for c, pairs in CATEGORY_EVENTS.items() for s, e in pairs]
@@ -41,29 +72,76 @@ def rule_hits(
     route: bool = False,
     placeholders: dict[str, list[str]] | None = None,
     mapping: dict[str, str] | None = None,
+    time: str = "timestamp",
 ) -> DataFrame:
-    """One row per (event, rule) hit, in one scan without a shuffle.
+    """One row per (event, rule) hit, in one scan.
 
     The fields every rule needs are projected once. Rules with the same log
     source share its test, which comes first and so spares the predicates.
+    Nothing is shuffled, but for the hits of rules with a count test: these
+    keep the hits of the groups that pass it. A rule that cannot be translated
+    is left out (``problems`` names it).
     """
-    names = set().union(*[r.field_names() for r in rules])
-    fields = FieldSet(names, any(r.has_keywords() for r in rules), mapping)
-    by_source: dict[tuple, list[Rule]] = {}
+    counted: dict[str, Rule] = {}
+    usable = []
     for rule in rules:
-        by_source.setdefault(tuple(sorted(rule.logsource.items())) if route else (), []).append(rule)
-    carried = list(keep) + [c for c in ("eventId", "source", "platform") if route and c not in keep]
-    frame = fields.project(events, carried)
-    hits = []
-    for source, group in by_source.items():
-        tests = F.array_compact(
-            F.array(*[F.when(rule_column(r, fields, placeholders)[0], F.lit(r.rule_id)) for r in group])
-        )
-        gate = route_test(dict(source))
-        hits.append(F.when(gate, tests) if source else tests)
-    empty = F.array().cast("array<string>")
-    found = F.concat(*[F.coalesce(h, empty) for h in hits]) if len(hits) > 1 else hits[0]
-    return spread(frame, keep, found, "rule_id")
+        try:
+            if rule.count_test:
+                rule.timeframe  # noqa: B018
+                counted[rule.rule_id] = rule
+            usable.append((rule, rule.field_names()))
+        except ValueError:
+            continue
+    names = set().union(*[n for _, n in usable])
+    fields = FieldSet(names, any(r.has_keywords() for r, _ in usable), mapping)
+    by_source: dict[tuple, list[Column]] = {}
+    for rule, _ in usable:
+        try:
+            test, count = rule_column(rule, fields, placeholders)
+        except (ValueError, KeyError, TypeError):
+            continue
+        of_group = lambda name: fields.get(name).text if name else F.lit(None).cast("string")
+        hit = [F.lit(rule.rule_id).alias("rule_id")]
+        if counted:
+            hit += [of_group(count and count.by).alias("by"), of_group(count and count.field).alias("value")]
+        source = tuple(sorted(rule.logsource.items())) if route else ()
+        by_source.setdefault(source, []).append(F.when(test, F.struct(*hit)))
+    extra = [c for c in ("eventId", "source", "platform") if route and c not in keep]
+    extra += [time] if counted and time not in keep else []
+    frame = fields.project(events, [*keep, *extra])
+    kind = "array<struct<rule_id:string,by:string,value:string>>" if counted else "array<struct<rule_id:string>>"
+    empty = F.array().cast(kind)
+    hits = [empty]
+    for source, tests in by_source.items():
+        found = F.array_compact(F.array(*tests)).cast(kind)
+        hits.append(F.coalesce(F.when(route_test(dict(source)), found) if source else found, empty))
+    found = F.concat(*hits[1:]) if len(hits) > 2 else hits[-1]
+    carried = [*keep, *([time] if counted and time not in keep else [])]
+    rows = spread(frame, carried, found, "_hit").select(*carried, "_hit.*")
+    if not counted:
+        return rows
+    plain = rows.filter(~F.col("rule_id").isin(list(counted))).select(*keep, "rule_id")
+    return plain.unionByName(_counted_hits(rows, counted, time).select(*keep, "rule_id"))
+
+
+def _counted_hits(rows: DataFrame, counted: dict[str, Rule], time: str) -> DataFrame:
+    """Hits of the groups (rule, window of its timeframe, key) that pass the rule's count test.
+
+    Counts go through (group, value) first, so a hot group is many partial rows.
+    """
+    window, passes = F.lit(None).cast("long"), F.lit(False)
+    for rule_id, rule in counted.items():
+        own, count = F.col("rule_id") == rule_id, rule.count_test
+        if rule.timeframe:
+            window = F.when(own, F.floor(F.unix_seconds(time) / rule.timeframe)).otherwise(window)
+        passes = F.when(own, count.holds(F.col("n_values" if count.field else "n"))).otherwise(passes)
+    hits = rows.filter(F.col("rule_id").isin(list(counted))).withColumn("_window", window)
+    group = ["rule_id", "_window", "by"]
+    values = hits.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    groups = values.groupBy(*group).agg(F.sum("n").alias("n"), F.count("value").alias("n_values")).filter(passes)
+    groups = groups.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)))
+    same = all_of([F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
+    return hits.join(groups, same, "left_semi")
 
 
 def detect(events: DataFrame, rules: list[Rule], keep: list[str], **options) -> DataFrame:
@@ -87,7 +165,7 @@ def count_rule_hits(events: DataFrame, rule: Rule, keys: dict[str, Column]) -> D
 
 def enabled(rules: DataFrame, disabled: DataFrame) -> DataFrame:
     """Rules are on unless their id is in the disabled table."""
-    return rules.join(small_side(disabled.select("rule_id").distinct()), "rule_id", "left_anti")
+    return rules.join(disabled.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
 def explain_matches(

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from emberwatch.functions.text import base64_offset_literals, quote_regex
 from emberwatch.operators.predicates import any_of
-from emberwatch.operators.skew import small_side
 
 
 def strings_found(text: Column, strings: list[str]) -> Column:
@@ -109,4 +108,4 @@ def entropy(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def hash_match(documents: DataFrame, text: str, known: DataFrame) -> DataFrame:
     """Documents whose SHA-256 is in the known list."""
     hashed = documents.withColumn("sha256", F.sha2(F.col(text), 256))
-    return hashed.join(small_side(known.select("sha256").distinct()), "sha256", "left_semi")
+    return hashed.join(known.select("sha256").distinct(), "sha256", "left_semi")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.operators.indicators import normalised
-from emberwatch.operators.skew import small_side
 
 
 def actor_indicators(actors: DataFrame) -> DataFrame:
@@ -20,7 +19,7 @@ def actor_indicators(actors: DataFrame) -> DataFrame:
 def actor_matches(found: DataFrame, actors: DataFrame) -> DataFrame:
     """Indicators that an actor of the repository is known for."""
     keyed = found.withColumn("value", normalised(F.col("type"), F.col("value")))
-    return keyed.join(small_side(actor_indicators(actors)), ["type", "value"])
+    return keyed.join(actor_indicators(actors), ["type", "value"])
 
 
 def with_reputation(addresses: DataFrame, reputation: DataFrame, key: str) -> DataFrame:
@@ -28,7 +27,7 @@ def with_reputation(addresses: DataFrame, reputation: DataFrame, key: str) -> Da
 
     ``reputation`` has (key, score, reports, country, isp), any of them NULL.
     """
-    joined = addresses.join(small_side(reputation), key, "left")
+    joined = addresses.join(reputation, key, "left")
     score = F.coalesce("score", F.lit(0))
     detail = F.format_string(
         "%d%% confidence, %d reports, %s, ISP: %s",
@@ -50,7 +49,7 @@ def cache_split(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Lookups marked ``cached`` or not; results still loading are not in the cache."""
     done = cache.filter(~F.col("loading")).select("key").distinct().withColumn("_hit", F.lit(True))
     keyed = wanted.withColumn("key", cache_key(F.col("type"), F.col("value")))
-    return keyed.join(small_side(done), "key", "left").select(
+    return keyed.join(done, "key", "left").select(
         *keyed.columns, F.coalesce("_hit", F.lit(False)).alias("cached")
     )
 

@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.fields import raw_data_value
 from emberwatch.functions.text import first_filled
-from emberwatch.operators.skew import numbered_parts, once
+from emberwatch.operators.skew import once
 
 #: Event ids of network connections and name lookups.
 CONNECTION = 3
 DNS_QUERY = 22
 
-#: Connections and lookups in one row of the map at most; larger processes take several rows.
-PART_ROWS = 4096
-
 
 def field(*names: str) -> Column:
     """An event data value or the raw line's, the first name that has one; "" if none."""
@@ -48,23 +45,27 @@ def first_images(network: DataFrame) -> DataFrame:
     return network.groupBy("guid").agg(F.min_by("image", F.struct("timestamp", "key")).alias("image"))
 
 
-def process_map(events: DataFrame, key: str, rows: int = PART_ROWS) -> DataFrame:
-    """Per process its image, connections and lookups in time order.
-
-    A process with more than ``rows`` events gets several rows (``part``), each
-    with its share, so no list grows with the data.
-    """
+def process_map(events: DataFrame, key: str) -> DataFrame:
+    """Per process its image and how many connections and lookups it made, one row each."""
     network = network_events(events, key)
-    connection = F.struct(
-        "timestamp", "key", "ip", "port", "hostname", "protocol", "initiated"
+    totals = network.groupBy("guid").agg(
+        F.count_if(F.col("eventId") == CONNECTION).alias("connections"),
+        F.count_if(F.col("eventId") == DNS_QUERY).alias("lookups"),
+        F.min_by("image", F.struct("timestamp", "key")).alias("image"),
     )
-    lookup = F.struct("timestamp", "key", "query", "results")
-    parts = numbered_parts(network, ["guid"], F.pmod(F.col("key"), F.lit(2**31)), rows)
-    lists = parts.groupBy("guid", "part").agg(
-        F.array_sort(F.collect_list(F.when(F.col("eventId") == CONNECTION, connection))).alias("connections"),
-        F.array_sort(F.collect_list(F.when(F.col("eventId") == DNS_QUERY, lookup))).alias("dns_queries"),
+    return totals.select("guid", "image", "connections", "lookups")
+
+
+def process_activity(events: DataFrame, key: str) -> DataFrame:
+    """The connections and lookups behind the map, one row each, so that no list grows with a process."""
+    return network_events(events, key).select(
+        "guid",
+        "key",
+        "timestamp",
+        F.when(F.col("eventId") == CONNECTION, F.lit("connection")).otherwise(F.lit("lookup")).alias("kind"),
+        *(F.when(F.col("eventId") == CONNECTION, F.col(c)).alias(c) for c in ("ip", "port", "hostname", "protocol", "initiated")),
+        *(F.when(F.col("eventId") == DNS_QUERY, F.col(c)).alias(c) for c in ("query", "results")),
     )
-    return lists.join(first_images(network), "guid")
 
 
 def destinations(events: DataFrame, key: str) -> DataFrame:
@@ -82,8 +83,10 @@ def destinations(events: DataFrame, key: str) -> DataFrame:
     named = counted.join(first_images(network), "guid").groupBy("ip", "port", "image").agg(F.sum("n").alias("n"))
     per_port = named.groupBy("ip", "port").agg(F.sum("n").alias("n"))
     images = named.groupBy("ip").agg(F.count_distinct("image").alias("processes"))
-    # ports are numbers below 65536, which bounds the list
+    # of the texts that the field may hold only port numbers are listed, 65536 at most
+    is_port = F.col("port").rlike("^[0-9]{1,5}$") & (F.col("port").try_cast("int") <= 65535)
     ports = per_port.groupBy("ip").agg(
-        F.array_join(F.array_sort(F.collect_list("port")), ", ").alias("ports"), F.sum("n").alias("connections")
+        F.array_join(F.array_sort(F.collect_set(F.when(is_port, F.col("port").cast("int").cast("string")))), ", ").alias("ports"),
+        F.sum("n").alias("connections"),
     )
     return ports.join(images, "ip").orderBy(F.col("connections").desc(), "ip")

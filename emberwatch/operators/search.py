@@ -97,13 +97,13 @@ class SavedQuery:
 
 
 def kept_queries(queries: list[SavedQuery]) -> list[SavedQuery]:
-    """The newest saved queries; older ones fall out of the store."""
+    """What the store keeps when a query is added: the newest ones."""
     return sorted(queries, key=lambda q: (q.created_at, q.query_id), reverse=True)[:SAVED_QUERIES]
 
 
 def run_saved(events: DataFrame, queries: list[SavedQuery], key: str, text: Column) -> DataFrame:
     """(key, query_id) for every saved query that finds the event; one scan, no join."""
-    tests = [F.when(two_valued(text_matches(text, q.query, q.regex)), F.lit(q.query_id)) for q in kept_queries(queries)]
+    tests = [F.when(two_valued(text_matches(text, q.query, q.regex)), F.lit(q.query_id)) for q in queries]
     return spread(events, [key], F.array_compact(F.array(*tests)), "query_id")
 
 

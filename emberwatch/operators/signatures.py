@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators.skew import first_n, spread
 
-#: Fixed value: literals and events shown per file and signature.
+#: Fixed value: literals and events shown per file and signature; nothing is decided on them.
 SHOWN = 8
 
 #: Fixed value: events without a source file belong to this one.
@@ -96,7 +96,9 @@ def scan(events: DataFrame, signatures: list[Signature], file: str, text: Column
         F.max(F.when(F.col("needle") == -1, F.col("n"))).alias("event_count"),
         F.collect_set(F.when(F.col("needle") >= 0, F.col("needle"))).alias("found"),
     )
-    pairs = files.select("source_file", "event_count", "found", F.inline(_packed(signatures, needles)))
+    # only the signatures whose anchor the file holds leave its row
+    anchored = F.filter(_packed(signatures, needles), lambda s: F.array_contains(F.col("found"), s["anchor"]))
+    pairs = files.select("source_file", "event_count", "found", F.inline(anchored))
     matched = F.filter("literals", lambda i: F.array_contains(F.col("found"), i))
     passed = (
         F.array_contains("found", F.col("anchor"))
@@ -108,10 +110,10 @@ def scan(events: DataFrame, signatures: list[Signature], file: str, text: Column
     )
 
 
-def matched_events(
+def enough_by_itself(
     events: DataFrame, files: DataFrame, signatures: list[Signature], file: str, text: Column, key: str
 ) -> DataFrame:
-    """The first events of each matched file that hold enough literals by themselves."""
+    """The events of matched files that hold enough literals by themselves: (rule_id, source_file, key, event_literals)."""
     signatures = _usable(signatures)
     needles = _needles(signatures)
     source = F.coalesce(F.nullif(F.col(file), F.lit("")), F.lit(NO_FILE)).alias("source_file")
@@ -126,25 +128,28 @@ def matched_events(
     )
     # most events pass nothing and leave no row
     pairs = spread(hits, [key, "source_file", "hits"], passing, "pair")
-    shown = F.slice(_texts(needles, matched(F.col("pair"))), 1, SHOWN)
-    found = pairs.select(F.col("pair.rule_id").alias("rule_id"), "source_file", key, shown.alias("event_literals"))
-    wanted = files.select("rule_id", "source_file")
-    kept = found.join(wanted, ["rule_id", "source_file"], "left_semi")
-    return first_n(kept, ["rule_id", "source_file"], [F.col(key)], SHOWN, F.col(key))
+    literals = _texts(needles, matched(F.col("pair"))).alias("event_literals")
+    found = pairs.select(F.col("pair.rule_id").alias("rule_id"), "source_file", key, literals)
+    return found.join(files.select("rule_id", "source_file"), ["rule_id", "source_file"], "left_semi")
+
+
+def shown_events(found: DataFrame, key: str, shown: int = SHOWN) -> DataFrame:
+    """Of each file and rule the first ``shown`` events, with as many of their literals, for display."""
+    first = first_n(found, ["rule_id", "source_file"], [F.col(key)], shown, F.col(key))
+    return first.withColumn("event_literals", F.slice("event_literals", 1, shown))
 
 
 def passing_rules(files: DataFrame, events: DataFrame, strictness: str) -> DataFrame:
-    """Rules that hold up under ``permissive``, ``balanced`` or ``strict``, by number of files."""
-    per_file = events.groupBy("rule_id", "source_file").agg(F.count(F.lit(1)).alias("shown"))
-    joined = files.join(per_file, ["rule_id", "source_file"], "left")
-    literals = joined.select(
-        "rule_id", "min_matches", F.explode(F.slice("matched_literals", 1, SHOWN)).alias("literal")
-    )
+    """Rules that hold up under ``permissive``, ``balanced`` or ``strict``, by number of files.
+
+    Counts all files, all their literals and all events (``enough_by_itself``).
+    """
+    n_events = events.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_events"))
+    literals = files.select("rule_id", F.explode("matched_literals").alias("literal"))
     distinct = literals.groupBy("rule_id").agg(F.count_distinct("literal").alias("n_literals"))
-    totals = joined.groupBy("rule_id", "min_matches").agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum(F.coalesce("shown", F.lit(0))).alias("n_events")
-    )
-    frame = totals.join(distinct, "rule_id")
+    totals = files.groupBy("rule_id", "min_matches").agg(F.count(F.lit(1)).alias("n_files"))
+    frame = totals.join(distinct, "rule_id").join(n_events, "rule_id", "left")
+    frame = frame.withColumn("n_events", F.coalesce("n_events", F.lit(0)))
     tests = {
         "permissive": F.lit(True),
         "balanced": (F.col("n_events") >= 1) & (F.col("n_literals") >= F.least(F.lit(2), "min_matches")),

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 SALTS = 64
 
-#: Rows a broadcast side may have at most; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
 
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, spread: Column, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of every key.
@@ -25,25 +22,6 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, spread:
     return final if rank else final.drop(name)
 
 
-def numbered_parts(df: DataFrame, keys: list[str], spread: Column, rows: int) -> DataFrame:
-    """Add ``part`` so that (keys, part) holds about ``rows`` rows at most.
-
-    Keys with up to ``rows`` rows stay whole in part 0; larger ones are spread
-    over as many parts as their count asks for. No row is dropped.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.filter(F.col("_rows") > rows)
-    joined = df.join(hot, keys, "left")
-    parts = F.ceil(F.coalesce(F.col("_rows"), F.lit(1)) / rows)
-    return joined.withColumn("part", F.pmod(spread, parts)).drop("_rows")
-
-
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a lookup after checking its row count; leave larger ones to the planner."""
-    # limit keeps the check itself cheap on a table of any size
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def spread(df: DataFrame, keep: list, values: Column, name: str) -> DataFrame:
     """One row per element of an array.
 

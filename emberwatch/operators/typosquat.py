@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.operators.skew import small_side
 
 #: Largest edit distance that still counts as look-alike.
 DISTANCE = 3
@@ -81,8 +80,8 @@ def look_alikes(names: DataFrame, name: str, known: DataFrame, distance: int = D
         "ord",
         F.explode(F.sequence(F.length("legitimate") - distance, F.length("legitimate") + distance)).alias("size"),
     )
-    unknown = distinct.join(small_side(known.select(F.col("legitimate").alias("name")).distinct()), "name", "left_anti")
-    pairs = unknown.withColumn("size", F.length("name")).join(small_side(listed), "size")
+    unknown = distinct.join(known.select(F.col("legitimate").alias("name")).distinct(), "name", "left_anti")
+    pairs = unknown.withColumn("size", F.length("name")).join(listed, "size")
     near = pairs.withColumn("distance", F.levenshtein("name", "legitimate", distance)).filter(
         F.col("distance").between(1, distance)
     )

@@ -82,21 +82,19 @@ img AS (SELECT guid, arg_min(image, event_id) AS image FROM net GROUP BY guid)
 
 
 @query("process_network_map", with_log(_NETWORK + """
-SELECT net.guid, any_value(img.image) AS image, count(*) FILTER (eid = 3) AS connections, count(*) FILTER (eid = 22) AS lookups,
-  string_agg(ip || ':' || port, ' ' ORDER BY ts, event_id) FILTER (eid = 3) AS targets,
-  string_agg(q, ' ' ORDER BY ts, event_id) FILTER (eid = 22) AS queries
+SELECT net.guid, any_value(img.image) AS image, count(*) FILTER (eid = 3) AS connections, count(*) FILTER (eid = 22) AS lookups
 FROM net JOIN img USING (guid) GROUP BY net.guid"""))
 def process_network_map(spark, sf_dir):
-    rows = N.process_map(log_events(spark, sf_dir), "event_id")
-    text = lambda items, show: F.nullif(F.array_join(F.transform(items, show), " "), F.lit(""))
-    return rows.select(
-        "guid",
-        "image",
-        F.size("connections").cast("long").alias("connections"),
-        F.size("dns_queries").cast("long").alias("lookups"),
-        text("connections", lambda c: F.concat_ws(":", c["ip"], c["port"])).alias("targets"),
-        text("dns_queries", lambda d: d["query"]).alias("queries"),
-    )
+    return N.process_map(log_events(spark, sf_dir), "event_id")
+
+
+@query("process_network_activity", with_log(_NETWORK + """
+SELECT guid, event_id, CASE WHEN eid = 3 THEN 'connection' ELSE 'lookup' END AS kind,
+  CASE WHEN eid = 3 THEN ip || ':' || port END AS target, CASE WHEN eid = 22 THEN q END AS query FROM net"""))
+def process_network_activity(spark, sf_dir):
+    rows = N.process_activity(log_events(spark, sf_dir), "event_id")
+    target = F.when(F.col("kind") == "connection", F.concat_ws(":", "ip", "port"))
+    return rows.select("guid", F.col("key").alias("event_id"), "kind", target.alias("target"), "query")
 
 
 @query("external_destinations", with_log(_NETWORK + """

@@ -8,7 +8,7 @@ from emberwatch.operators import detection as D
 from emberwatch.operators import prefilter as PF
 from emberwatch.operators import signatures as S
 from emberwatch.operators.lookups import with_review
-from emberwatch.operators.rules import Rule
+from emberwatch.operators.rules import CATEGORY_EVENTS, SERVICE_SOURCES, Rule
 from emberwatch.plans.binding import log_events, with_log
 from emberwatch.plans.registry import query, table
 from emberwatch.sinks.matches import write_matches
@@ -250,6 +250,56 @@ def write_matches_query(spark, sf_dir):
     return spark.read.parquet(path).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Count tests with and without a timeframe, and a selection named like a Python keyword.
+COUNT_RULES = [
+    Rule("c1", "Failed Logons In An Hour", {
+        "selection": {"EventID": "4625"}, "timeframe": "1h", "condition": "selection | count() by Computer >= 2",
+    }),
+    Rule("c2", "Many Addresses In A Day", {
+        "import": {"EventID": "3"}, "timeframe": "1d", "condition": "import | count(DestinationIp) by Computer > 3",
+    }),
+    Rule("c3", "Rare Programs", {"selection": {"Image|endswith": "\\svch0st.exe"}, "condition": "selection | count() by SubjectUserName < 8"}),
+    Rule("c4", "All Together", {"selection": {"EventID": "22"}, "condition": "selection | count() > 1000000"}),
+    Rule("c5", "Not Translated", {"selection": {"EventID": "22"}, "condition": "selection | near other"}),
+    Rule("c6", "No Count", {"not_this": {"EventID": "4624"}, "is": {"Image|endswith": "\\cmd.exe"}, "condition": "is and not not_this"}),
+]
+
+
+@query("sigma_detect_count", with_log(r"""
+, h AS (SELECT event_id, 'c1' AS rule_id, us // 3600000000 AS w, host AS b, NULL AS v FROM log WHERE eid = 4625
+  UNION ALL SELECT event_id, 'c2', us // 86400000000, host, dst_ip FROM log WHERE eid = 3
+  UNION ALL SELECT event_id, 'c3', NULL, account, NULL FROM log WHERE ends_with(lower(image), '\svch0st.exe')),
+g AS (SELECT rule_id, w, b, count(*) AS n, count(DISTINCT v) AS d FROM h GROUP BY rule_id, w, b)
+SELECT h.event_id, h.rule_id FROM h JOIN g ON h.rule_id = g.rule_id AND h.b = g.b AND h.w IS NOT DISTINCT FROM g.w
+WHERE (h.rule_id = 'c1' AND n >= 2) OR (h.rule_id = 'c2' AND d > 3) OR (h.rule_id = 'c3' AND n < 8)
+UNION ALL SELECT event_id, 'c6' FROM log WHERE ends_with(lower(image), '\cmd.exe') AND eid <> 4624"""))
+def sigma_detect_count(spark, sf_dir):
+    return D.detect(log_events(spark, sf_dir), COUNT_RULES, ["event_id"]).select("event_id", "rule_id")
+
+
+def _routed_rules() -> list[Rule]:
+    """One rule that sees every event of its source, per category and service, and two that are not known."""
+    anything = {"selection": {"EventID|re": "."}, "condition": "selection"}
+    sources = [{"product": "windows", "category": c} for c in CATEGORY_EVENTS] + [{"product": "windows", "service": s} for s in SERVICE_SOURCES]
+    sources += [{"product": "windows", "category": "unheard_of"}, {"product": "windows", "service": "unheard-of"}, {"product": "linux"}]
+    return [Rule("-".join(s.values()), "any", anything, logsource=s) for s in sources]
+
+
+@query("sigma_detect_routed", with_log("""
+, kinds(rule_id, eids, part) AS (VALUES """ + ", ".join(
+    f"('windows-{c}', [{', '.join(str(e) for _, e in pairs)}], '{s}')" for c, all_ in CATEGORY_EVENTS.items()
+    for s in dict.fromkeys(s for s, _ in all_) for pairs in [[p for p in all_ if p[0] == s]]
+) + """),
+services(rule_id, part) AS (VALUES """ + ", ".join(f"('windows-{n}', '{s}')" for n, s in SERVICE_SOURCES.items()) + """)
+SELECT rule_id, eid, count(*) AS n FROM (
+  SELECT rule_id, eid FROM log JOIN kinds ON list_contains(eids, eid) AND contains(source, part)
+  UNION ALL SELECT rule_id, eid FROM log JOIN services ON contains(source, part)) GROUP BY rule_id, eid"""))
+def sigma_detect_routed(spark, sf_dir):
+    events = log_events(spark, sf_dir)
+    hits = D.rule_hits(events, _routed_rules(), ["event_id", "eventId"], route=True)
+    return hits.groupBy("rule_id", F.col("eventId").alias("eid")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- literal signatures
 
 SIGNATURES = [
@@ -286,8 +336,8 @@ event_hits AS (SELECT rule_id, source AS source_file, doc_id, list_filter(litera
 shown AS (SELECT e.rule_id, e.source_file, doc_id, e.found FROM event_hits e JOIN files USING (rule_id, source_file) WHERE rn <= 8),
 totals AS (SELECT rule_id, min_matches, count(*) AS n_files FROM files GROUP BY rule_id, min_matches),
 per_rule AS (SELECT rule_id, min_matches, n_files,
-    (SELECT count(*) FROM shown s WHERE s.rule_id = t.rule_id) AS n_events,
-    (SELECT count(DISTINCT u.l) FROM (SELECT rule_id, unnest(found[1:8]) AS l FROM files) u WHERE u.rule_id = t.rule_id) AS n_literals
+    (SELECT count(*) FROM event_hits e JOIN files f USING (rule_id, source_file) WHERE e.rule_id = t.rule_id) AS n_events,
+    (SELECT count(DISTINCT u.l) FROM (SELECT rule_id, unnest(found) AS l FROM files) u WHERE u.rule_id = t.rule_id) AS n_literals
   FROM totals t)"""
 
 
@@ -302,7 +352,7 @@ def _scan(spark, sf_dir):
 
 def _events(spark, sf_dir):
     documents = _documents(spark, sf_dir)
-    return S.matched_events(
+    return S.enough_by_itself(
         documents, _scan(spark, sf_dir), SIGNATURES, "source", S.event_text([F.col("text")]), "doc_id"
     )
 
@@ -317,7 +367,7 @@ def signature_scan(spark, sf_dir):
 @query("signature_events", _FILES + """
 SELECT rule_id, source_file, doc_id, array_to_string(found[1:8], '|') AS literals FROM shown""")
 def signature_events(spark, sf_dir):
-    found = _events(spark, sf_dir)
+    found = S.shown_events(_events(spark, sf_dir), "doc_id")
     return found.select("rule_id", "source_file", "doc_id", F.array_join("event_literals", "|").alias("literals"))
 
 

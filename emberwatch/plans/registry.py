@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.session import tune
+from emberwatch.session import INPUT_PARTITIONS, tune
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
@@ -36,14 +36,11 @@ _HEAVY = ("events", "documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.
+    """A driver table, as the session's file settings split it.
 
-    A file of one row group comes as one task, whatever the work per row; such
-    logs and texts are dealt out to all cores. Larger tables come split and
-    are left as they are.
+    A file of one row group cannot be split. Where ``INPUT_PARTITIONS`` is set,
+    logs and texts are dealt out to that many tasks first, whatever their size.
     """
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _HEAVY and frame.rdd.getNumPartitions() * 2 <= cores:
-        return frame.repartition(cores)
-    return frame
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return frame.repartition(int(parts)) if parts and name in _HEAVY else frame

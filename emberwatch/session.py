@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,9 @@ SQL_SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+#: Setting with the number of tasks that logs and texts are dealt out to when read; unset, they stay as split.
+INPUT_PARTITIONS = "spark.emberwatch.inputPartitions"
+
 #: Settings that only a new session takes.
 STATIC_SETTINGS = {
     # rules make thousands of Columns; recording a call site for each is slow
@@ -36,8 +40,9 @@ def tune(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only when that is unset
-    (local tests) is a fresh folder made and remembered on the context.
+    A cluster names it in ``spark.checkpoint.dir``; without the name a job there
+    ends, as no folder of one machine will do. Only a local session, which has
+    one machine, gets a fresh folder of its own, remembered on the context.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -46,7 +51,9 @@ def work_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="emberwatch-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 

@@ -5,24 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.functions.text import stripped
 from emberwatch.operators.predicates import any_of
-from emberwatch.operators.skew import first_n
 from emberwatch.schema import union_events
 from emberwatch.sources import linux, tables, windows
 
-#: Sampled characters and lines, and file names that hint at a format.
-SAMPLE_CHARS = 8192
-SAMPLE_LINES = 20
+#: File names that hint at a format.
 SYSLOG_HINTS = ["syslog", "messages", "auth.log", "secure", "kern.log", "daemon.log"]
 JOURNAL_HINTS = ["journal", "journalctl", "jsonl", "ndjson"]
 
-_HEAD = r"^[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+[^\s]+\s+[^:]+:\s*"
-
-
 @dataclass(frozen=True)
 class LogFormat:
     """A parser plug-in: how a sample is recognised, which lines give rows, and the parser."""
@@ -73,54 +67,37 @@ FORMATS = [
 ]
 
 
-def sample(lines: DataFrame) -> DataFrame:
-    """The first characters of each file, as lines (file, pos, value).
-
-    ``first_n`` bounds what any one task sees of a file before the offsets are summed.
-    """
-    head = first_n(lines, ["file"], [F.col("pos")], SAMPLE_CHARS, F.col("pos"))
-    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.length("value") + 1).over(before), F.lit(0))
-    return (
-        head.withColumn("_offset", offset)
-        .filter(F.col("_offset") < SAMPLE_CHARS)
-        .withColumn("value", F.left("value", (F.lit(SAMPLE_CHARS) - F.col("_offset")).cast("int")))
-        .drop("_offset")
-    )
-
-
-def sample_features(lines: DataFrame) -> DataFrame:
-    """Per file what its sample shows."""
-    shown = sample(lines).withColumn("_text", stripped(F.col("value"))).filter(F.col("_text") != "")
-    ranked = shown.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("pos")))
-    first = lambda test: F.coalesce(F.bool_or(F.when(F.col("_n") == 1, test)), F.lit(False))
-    text = F.col("_text")
-    return ranked.groupBy("file").agg(
-        (first(text.startswith("<?xml")) | F.bool_or(text.contains("<Events>") | text.contains("<Event "))).alias("xml_like"),
+def _marks() -> list[Column]:
+    """What all lines of a file show, as aggregates with a partial step."""
+    text = stripped(F.col("value"))
+    first = lambda test: F.coalesce(F.min_by(test, F.when(text != "", F.col("pos"))), F.lit(False))
+    some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    return [
+        (first(text.startswith("<?xml")) | some(text.rlike(r"<Events?[\s>]"))).alias("xml_like"),
         first(linux.is_journal(linux.journal_map(text))).alias("first_is_journal"),
         first(text.startswith("{") & text.endswith("}")).alias("first_is_object"),
-        F.bool_or(text.rlike(r"^type=\w+\s+msg=audit\(")).alias("has_audit"),
-        F.coalesce(F.bool_or((F.col("_n") <= SAMPLE_LINES) & text.rlike(_HEAD)), F.lit(False)).alias("has_syslog"),
-    )
+        some(text.rlike(r"^type=\w+\s+msg=audit\(")).alias("has_audit"),
+        some(text.rlike(linux.SYSLOG_LINE)).alias("has_syslog"),
+    ]
 
 
 def route(lines: DataFrame, platform: str, formats: list[LogFormat] | None = None) -> DataFrame:
     """(file, format, rows, reason): the first recognised format that yields a row.
 
-    Rows per format are counted in one pass over the lines, with a partial
-    count on every task; files are never put together.
+    Decides on whole files (file, pos, value), wherever their marks stand. Marks
+    and rows per format come from one pass with a partial aggregate on every
+    task; no text is shuffled.
     """
     own = [f for f in formats or FORMATS if f.platform == platform]
-    counted = lines.groupBy("file").agg(*[F.count_if(f.yields()).alias(f"_n_{i}") for i, f in enumerate(own)])
-    frame = counted.join(sample_features(lines), "file", "left")
-    features = ("xml_like", "first_is_journal", "first_is_object", "has_audit", "has_syslog")
-    frame = frame.fillna(False, list(features))
+    counts = [F.count_if(f.yields()).alias(f"_n_{i}") for i, f in enumerate(own)]
+    frame = lines.groupBy("file").agg(*counts, *_marks())
     chosen, rows, known = F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(False)
     for i, f in reversed(list(enumerate(own))):
         fits = f.recognised()
         chosen = F.when(fits & (F.col(f"_n_{i}") > 0), F.lit(f.name)).otherwise(chosen)
         rows = F.when(fits & (F.col(f"_n_{i}") > 0), F.col(f"_n_{i}")).otherwise(rows)
         known = known | fits
+    # fixed values: the two reasons
     reason = F.when(~known, F.lit("Unsupported log format")).when(chosen.isNull(), F.lit("No parseable events found"))
     return frame.select("file", chosen.alias("format"), rows.alias("rows"), reason.alias("reason"))
 

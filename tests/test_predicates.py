@@ -113,3 +113,51 @@ def test_addresses(spark):
     scopes = spark.createDataFrame([("10.1.1.1",), ("8.8.8.8",), ("::1",), ("2600::1",), ("nope",), ("1.2.3.400",)], "a string")
     assert [r[0] for r in scopes.select(ip_scope(F.col("a"))).collect()] == ["private", "public", "private", "public", None, None]
     assert scopes.filter(in_networks(F.col("a"), ["0.0.0.0/0"])).count() == 2
+
+
+@pytest.mark.parametrize("name", ["import", "is", "class", "sel.1", "a-b"])
+def test_selection_names(spark, name):
+    row = spark.createDataFrame([(True,)], "x boolean")
+    assert row.select(condition(f"{name} and not other", {name: F.col("x"), "other": ~F.col("x")})).first()[0]
+
+
+def test_problems_are_named_and_skipped(spark):
+    from emberwatch.operators.detection import problems, rule_hits
+    from emberwatch.operators.rules import Rule
+
+    selection = {"selection": {"Image": "a"}}
+    rules = [
+        Rule("good", "", {**selection, "condition": "selection"}),
+        Rule("aggregate", "", {**selection, "condition": "selection | near other"}),
+        Rule("syntax", "", {**selection, "condition": "selection and ("}),
+        Rule("missing", "", {**selection, "condition": "nothing"}),
+        Rule("frame", "", {**selection, "timeframe": "soon", "condition": "selection | count() > 1"}),
+        Rule("source", "", {**selection, "condition": "selection"}, logsource={"product": "windows", "category": "unheard_of"}),
+    ]
+    assert set(problems(rules)) == {"aggregate", "syntax", "missing", "frame", "source"}
+    data = F.create_map(F.lit("Image"), F.lit("a"))
+    events = spark.range(3).select(
+        "id", data.alias("eventData"), F.lit("").alias("rawLine"), F.lit(1).alias("eventId"), F.lit("Microsoft-Windows-Sysmon").alias("source"),
+        F.lit("windows").alias("platform"), F.timestamp_seconds("id").alias("timestamp"),
+    )
+    assert {(r.id, r.rule_id) for r in rule_hits(events, rules, ["id"], route=True).collect()} == {(i, "good") for i in range(3)}
+
+
+def test_count_tests_hold_back_matches(spark):
+    from emberwatch.operators.detection import detect
+    from emberwatch.operators.rules import Rule
+
+    body = {"selection": {"Image": "a"}}
+    rules = [
+        Rule("many", "", {**body, "condition": "selection | count() > 100"}),
+        Rule("span", "", {**body, "timeframe": "10s", "condition": "selection | count() by Host >= 3"}),
+        Rule("kinds", "", {**body, "condition": "selection | count(Kind) by Host > 1"}),
+    ]
+    rows = [(0, 0, "x", "k"), (1, 1, "x", "k"), (2, 2, "x", "l"), (3, 11, "x", "l"), (4, 3, "y", "k"), (5, 4, "y", "k"), (6, 5, "y", None)]
+    events = spark.createDataFrame(rows, "id long, at long, h string, k string").select(
+        "id", F.timestamp_seconds("at").alias("timestamp"), F.lit("").alias("rawLine"),
+        F.create_map(F.lit("Image"), F.lit("a"), F.lit("Host"), F.col("h"), F.lit("Kind"), F.col("k")).alias("eventData"),
+    )
+    events = events.withColumn("host", F.element_at("eventData", "Host")).withColumn("computer", F.lit(None).cast("string"))
+    found = {(r.rule_id, r.id) for r in detect(events, rules, ["id"]).collect()}
+    assert found == {("span", i) for i in (0, 1, 2, 4, 5, 6)} | {("kinds", i) for i in (0, 1, 2, 3)}
