@@ -185,7 +185,8 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
+    ids = written(ids, "ids")
     sets = _among(docs, ids).mapInArrow(_sets, "doc_id long, shingles array<long>")
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
@@ -233,7 +234,7 @@ def _left_open(members: DataFrame, found: DataFrame, classes: DataFrame) -> Data
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """The smallest id that each node of ``edges`` (a, b) can reach, as (doc_id, component_id).
+    """The smallest id that each node of ``edges`` (a, b) can reach, as (doc_id, component_id), but for that id itself.
 
     Alternating large and small stars: every node hangs its larger, then its smaller, neighbours
     on the smallest one. Minima come from partial aggregates, so a hub is no group of its own.
