@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.fields import extract_field
 from emberwatch.operators.predicates import any_of
+from emberwatch.operators.skew import spread
 
 
 @dataclass(frozen=True)
@@ -64,35 +65,38 @@ def _classes(rules: list[PrefilterRule], field_at: dict, filter_at: dict) -> dic
     }
 
 
-def _candidate(fields: str = "fields", filters: str = "filters") -> Column:
+def _candidates(classes: dict) -> Column:
+    """The classes whose rules an event with this outcome may match, picked inside the row."""
     on = lambda bits: lambda i: F.substr(F.col(bits), i + 1, F.lit(1)) == "1"
-    return (
-        (F.size(filters) == 0)
-        | ~F.exists(fields, on("present"))
-        | F.exists(filters, on("hit"))
+    packed = F.array(*[_class_literal(name, fields, filters) for name, (fields, filters, _) in classes.items()])
+    return F.filter(
+        packed,
+        lambda c: (F.size(c["filters"]) == 0) | ~F.exists(c["fields"], on("present")) | F.exists(c["filters"], on("hit")),
     )
 
 
+def _members(events: DataFrame, classes: dict) -> DataFrame:
+    rows = [(name, ids) for name, (_, _, ids) in classes.items()]
+    return events.sparkSession.createDataFrame(rows, "class string, rule_ids array<string>")
+
+
 def prefilter_counts(events: DataFrame, rules: list[PrefilterRule]) -> DataFrame:
     """Comparisons, candidates and quick rejects per rule.
 
     Events shrink to one row per distinct outcome before rules are looked at:
-    the only shuffle carries outcomes, and hot outcomes are summed map-side.
+    the first shuffle carries outcomes, and hot outcomes are summed map-side.
+    An outcome is then spread over its candidate classes only.
     """
     frame, field_at, filter_at = _outcomes(events, rules, [])
     outcomes = frame.groupBy("present", "hit").agg(F.count(F.lit(1)).alias("n"))
     classes = _classes(rules, field_at, filter_at)
-    packed = F.array(*[_class_literal(name, bits_f, bits_h) for name, (bits_f, bits_h, _) in classes.items()])
-    per_class = outcomes.select("present", "hit", "n", F.inline(packed))
-    counted = per_class.groupBy("class").agg(
-        F.sum("n").alias("comparisons"),
-        F.sum(F.when(_candidate(), F.col("n")).otherwise(F.lit(0))).alias("candidates"),
-    )
-    ids = [(name, rule_id) for name, (_, _, rule_ids) in classes.items() for rule_id in rule_ids]
-    members = events.sparkSession.createDataFrame(ids, "class string, rule_id string")
-    return counted.join(F.broadcast(members), "class").select(
-        "rule_id", "comparisons", "candidates", (F.col("comparisons") - F.col("candidates")).alias("rejects")
-    )
+    own = spread(outcomes, ["n"], F.transform(_candidates(classes), lambda c: c["class"]), "class")
+    counted = own.groupBy("class").agg(F.sum("n").alias("candidates"))
+    total = events.agg(F.count(F.lit(1)).alias("comparisons")).scalar()
+    members = _members(events, classes).select("class", F.explode("rule_ids").alias("rule_id"))
+    joined = members.join(counted, "class", "left").withColumn("comparisons", total)
+    candidates = F.coalesce("candidates", F.lit(0))
+    return joined.select("rule_id", "comparisons", candidates.alias("candidates"), (F.col("comparisons") - candidates).alias("rejects"))
 
 
 def _class_literal(name: str, fields: list[int], filters: list[int]) -> Column:
@@ -107,11 +111,8 @@ def prefilter_candidates(events: DataFrame, rules: list[PrefilterRule], key: str
     """
     frame, field_at, filter_at = _outcomes(events, rules, [key])
     classes = _classes(rules, field_at, filter_at)
-    packed = F.array(*[_class_literal(n, bf, bh) for n, (bf, bh, _) in classes.items()])
-    pairs = frame.select(key, "present", "hit", F.inline(packed)).filter(_candidate()).select(key, "class")
-    rows = [(name, ids) for name, (_, _, ids) in classes.items()]
-    members = events.sparkSession.createDataFrame(rows, "class string, rule_ids array<string>")
-    return pairs.join(F.broadcast(members), "class")
+    pairs = spread(frame, [key], F.transform(_candidates(classes), lambda c: c["class"]), "class")
+    return pairs.join(_members(events, classes), "class")
 
 
 def prefilter_totals(counts: DataFrame) -> DataFrame:

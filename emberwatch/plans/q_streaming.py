@@ -1,7 +1,8 @@
 """Streaming queries: the events table as a stream, run to its end.
 
-A stream emits what its watermark has closed, so the SQL leaves out the last
-windows in the same way.
+Windows are kept as they grow (update mode), so their results are whole at the
+stream's end. Sessions and sequences come out when the watermark has closed
+them, and their SQL leaves out the last ones in the same way.
 """
 
 from __future__ import annotations
@@ -26,40 +27,40 @@ _kind = lambda name: F.col("event_type") == name
 
 #: Watermark of the stream, one day behind, in whole milliseconds.
 _MARK = f"((SELECT max(us) FROM log) // 1000 * 1000 - {DAY})"
-_CLOSED_DAY = f"epoch_us(date_trunc('day', ts)) + {DAY} <= {_MARK}"
 
 
-def _daily(stream, name):
+def _daily(stream, name, keys=()):
     frame = stream.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
-    return append_to_table(frame, name)
+    return latest_updates(frame, name, [*keys, "day"])
 
 
 @query("stream_threshold_count", with_log(f"""
-SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM log WHERE {_CLOSED_DAY} GROUP BY 1, 2 HAVING count(*) > 3"""))
+SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM log GROUP BY 1, 2 HAVING count(*) > 3"""))
 def stream_threshold_count(spark, sf_dir):
-    return _daily(jobs.count_over(log_stream(spark, sf_dir), ["user_id"], "ts", "1 day", "1 day", 3), "threshold")
+    return _daily(jobs.count_over(log_stream(spark, sf_dir), ["user_id"], "ts", "1 day", "1 day", 3), "threshold", ["user_id"])
 
 
 @query("stream_threshold_global", with_log(f"""
-SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM log WHERE {_CLOSED_DAY} GROUP BY 1 HAVING count(*) > 20"""))
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM log GROUP BY 1 HAVING count(*) > 20"""))
 def stream_threshold_global(spark, sf_dir):
     return _daily(jobs.count_over(log_stream(spark, sf_dir), [], "ts", "1 day", "1 day", 20), "global")
 
 
 @query("stream_threshold_distinct", with_log(f"""
-SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT event_type) AS n FROM log WHERE {_CLOSED_DAY}
+SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT event_type) AS n FROM log
 GROUP BY 1, 2 HAVING count(DISTINCT event_type) > 2"""))
 def stream_threshold_distinct(spark, sf_dir):
     stream = log_stream(spark, sf_dir)
-    return _daily(jobs.distinct_over(stream, ["user_id"], "ts", "1 day", "1 day", "event_type", 2), "distinct")
+    seen = _daily(jobs.values_seen(stream, ["user_id"], "ts", "1 day", "1 day", "event_type"), "distinct", ["user_id", "event_type"])
+    return seen.groupBy("user_id", "day").agg(F.count("event_type").alias("n")).filter("n > 2")
 
 
 @query("stream_threshold_sum", with_log(f"""
-SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(sum(k) AS BIGINT) AS total FROM log WHERE {_CLOSED_DAY}
+SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(sum(k) AS BIGINT) AS total FROM log
 GROUP BY 1, 2 HAVING sum(k) > 150"""))
 def stream_threshold_sum(spark, sf_dir):
     stream = log_stream(spark, sf_dir)
-    return _daily(jobs.sum_over(stream, ["user_id"], "ts", "1 day", "1 day", F.col("k"), 150), "sum")
+    return _daily(jobs.sum_over(stream, ["user_id"], "ts", "1 day", "1 day", F.col("k"), 150), "sum", ["user_id"])
 
 
 def _exists(kind: str, low: int, high: int) -> str:
@@ -98,7 +99,7 @@ def stream_sequence(spark, sf_dir):
     stages = [(_kind(n), "user_id") for n in ("signup", "view", "purchase")]
     rows = staged(log_stream(spark, sf_dir).select("user_id", "ts", "event_type"), stages, "ts")
     found = append_to_table(sequences(rows, 3, 2 * DAY, "1 day"), "sequence")
-    return found.withColumnRenamed("key", "user_id")
+    return found.select(F.col("key").cast("long").alias("user_id"), "first_us", "last_us")
 
 
 @query("stream_session_events", with_log(SESSIONS + f"""

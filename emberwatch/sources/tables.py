@@ -63,7 +63,8 @@ def parse_cells(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def split_cells(line: Column, separator: str) -> Column:
     """One CSV line as an array of cells; quoted cells may hold the separator."""
     sep = quote_regex(separator)
-    pattern = f'{sep}("(?:[^"]|"")*"|[^{sep}]*)'
+    # possessive: a long cell is read in a loop, not by recursion
+    pattern = f'{sep}("(?:[^"]++|"")*+"|[^{sep}]*+)'
     cells = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(pattern), F.lit(1))
     inner = lambda c: F.regexp_replace(F.substr(c, F.lit(2), F.length(c) - 2), '""', '"')
     return F.transform(cells, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), inner(c)).otherwise(c))
@@ -81,7 +82,11 @@ def cells_of_lines(lines: DataFrame, separator: str = ",", keep: list[str] | Non
         split_cells(F.regexp_replace("_first.value", "^\ufeff", ""), separator).alias("_names"),
     )
     rows = lines.filter(F.trim("value") != "").join(headers, "file").filter(F.col("pos") > F.col("_pos"))
-    values = split_cells(F.col("value"), separator)
+    return _named(rows, split_cells(F.col("value"), separator), keep)
+
+
+def _named(rows: DataFrame, values: Column, keep: list[str] | None = None) -> DataFrame:
+    """Cells by the names of their file's header."""
     # a short row leaves its last cells NULL, surplus cells have no header
     paired = F.filter(F.arrays_zip(F.col("_names").alias("n"), values.alias("v")), lambda z: F.coalesce(z["n"], F.lit("")) != "")
     rows = rows.withColumn("_pairs", paired)
@@ -100,5 +105,19 @@ def read_lines(spark, path: str, pattern: str) -> DataFrame:
 
 
 def read_tables(spark, path: str, pattern: str = "*.csv", separator: str = ",") -> DataFrame:
-    """CSV files with headers, whatever those are, as events."""
-    return parse_cells(cells_of_lines(read_lines(spark, path, pattern), separator))
+    """CSV files with headers, whatever those are, as events; quoted cells may hold line breaks.
+
+    The built-in reader reads a file as wide as the widest header.
+    """
+    firsts = read_lines(spark, path, pattern).groupBy("file").agg(F.min(F.struct("pos", "value")).alias("_first"))
+    width = firsts.agg(F.max(F.size(split_cells(F.col("_first.value"), separator)))).first()[0] or 1
+    names = [f"_c{i}" for i in range(width)]
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("multiLine", True)
+    reader = reader.option("sep", separator).option("quote", '"').option("escape", '"').schema(", ".join(f"{n} string" for n in names))
+    rows = reader.csv(path).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.array(*names).alias("_values")
+    )
+    headers = rows.groupBy("file").agg(F.min(F.struct("row", "_values")).alias("_first"))
+    bare = F.transform("_first._values", lambda c: F.regexp_replace(c, "^\ufeff", ""))
+    joined = rows.join(headers.select("file", F.col("_first.row").alias("_row"), bare.alias("_names")), "file")
+    return parse_cells(_named(joined.filter(F.col("row") > F.col("_row")), F.col("_values")))

@@ -37,6 +37,15 @@ def distinct_over(
     return _opened(counted.filter(F.col("n") > more_than))
 
 
+def values_seen(stream: DataFrame, keys: list[str], ts: str, timeframe: str, delay: str, value: str) -> DataFrame:
+    """How often each value was seen per key and window, as it grows (update mode).
+
+    The rows of a window are its distinct values; state holds one row for each.
+    """
+    counted = _window(stream, ts, timeframe, delay).groupBy("_w", *keys, value).agg(F.count(F.lit(1)).alias("times"))
+    return _opened(counted)
+
+
 def sum_over(
     stream: DataFrame, keys: list[str], ts: str, timeframe: str, delay: str, value: Column, more_than
 ) -> DataFrame:

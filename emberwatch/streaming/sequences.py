@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Completed sequences: the completing event and the latest first event that leads to it.
-RESULT = "key long, first_us long, last_us long"
+RESULT = "key string, first_us long, last_us long"
 
 
 def staged(stream: DataFrame, stages: list[tuple[Column, str]], ts: str) -> DataFrame:
-    """(key, ts, us, stage) rows; each stage may keep the key in a column of its own."""
+    """(key, ts, us, stage) rows; each stage may keep the key, as text, in a column of its own."""
     us = F.unix_micros(ts).alias("us")
     rows = [
-        stream.filter(test).select(F.col(key).cast("long").alias("key"), F.col(ts).alias("ts"), us, F.lit(i).alias("stage"))
+        stream.filter(test).select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), us, F.lit(i).alias("stage"))
         for i, (test, key) in enumerate(stages)
     ]
     return reduce(lambda a, b: a.union(b), rows)
@@ -58,9 +58,13 @@ def sequences(rows: DataFrame, n_stages: int, span_us: int, delay: str) -> DataF
                 pending[stage] = max(pending.get(stage, -1), start)
         for reached, start in pending.items():
             starts[reached] = max(starts[reached], start)
-        state.update(([at for at, _ in waiting], [stage for _, stage in waiting], starts))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        over = max(starts) + span_us
+        if waiting or (max(starts) >= 0 and over >= closed):
+            state.update(([at for at, _ in waiting], [stage for _, stage in waiting], starts))
+            state.setTimeoutTimestamp(max((waiting[0][0] if waiting else over) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            # no start can be completed any more
+            state.remove()
         yield pd.DataFrame(found, columns=["key", "first_us", "last_us"])
 
     return (

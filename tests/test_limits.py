@@ -56,3 +56,16 @@ def test_strictness_counts_everything(spark):
     assert [(r.n_events, r.n_literals) for r in passing] == [(20, 12)]
     shown = signatures.shown_events(found, "id").collect()
     assert len(shown) == 8 and all(len(r.event_literals) == 8 for r in shown)
+
+
+def test_csv_with_long_cells_and_line_breaks(spark, tmp_path):
+    from emberwatch.sources import tables
+
+    long = "x" * 100_000
+    (tmp_path / "a.csv").write_text('\ufeffTimestamp,Message,Extra\n2024-01-02 03:04:05,"one\ntwo ""quoted""",1\n2024-01-02 03:04:06,"' + long + '",2\n')
+    (tmp_path / "b.csv").write_text("Message,User,More,Wide\nhello,kim,m\n")
+    rows = {r.message: r for r in tables.read_tables(spark, str(tmp_path)).collect()}
+    assert set(rows) == {'one\ntwo "quoted"', long, "hello"}
+    assert rows["hello"].user == "kim" and rows[long].eventData["Extra"] == "2"
+    line = spark.createDataFrame([(f'a,"{long}",b',)], "value string")
+    assert line.select(tables.split_cells(F.col("value"), ",").alias("c")).first().c == ["a", long, "b"]

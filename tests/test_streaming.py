@@ -27,8 +27,9 @@ def stream(spark, tmp_path):
 
 
 def test_sequence_over_batches(stream):
-    rows = staged(stream.select("k", "ts", "kind"), [(F.col("kind") == n, "k") for n in "abc"], "ts")
-    got = {(r["key"], r["first_us"], r["last_us"]) for r in append_to_table(sequences(rows, 3, 8 * HOUR, "3 hours"), "s").collect()}
+    named = stream.select(F.concat(F.lit("user-"), "k").alias("k"), "ts", "kind")
+    rows = staged(named, [(F.col("kind") == n, "k") for n in "abc"], "ts")
+    got = {(int(r["key"].removeprefix("user-")), r["first_us"], r["last_us"]) for r in append_to_table(sequences(rows, 3, 8 * HOUR, "3 hours"), "s").collect()}
     closed = (max(us for _, us, _ in ROWS) // 1000 - 3 * 3_600_000) * 1000
     expected = set()
     for k, c, kind in ROWS:
