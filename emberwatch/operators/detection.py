@@ -65,23 +65,16 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, title string, level string, tags array<string>")
 
 
-def rule_hits(
+def _hit_arrays(
     events: DataFrame,
     rules: list[Rule],
     keep: list[str],
-    route: bool = False,
-    placeholders: dict[str, list[str]] | None = None,
-    mapping: dict[str, str] | None = None,
-    time: str = "timestamp",
-) -> DataFrame:
-    """One row per (event, rule) hit, in one scan.
-
-    The fields every rule needs are projected once. Rules with the same log
-    source share its test, which comes first and so spares the predicates.
-    Nothing is shuffled, but for the hits of rules with a count test: these
-    keep the hits of the groups that pass it. A rule that cannot be translated
-    is left out (``problems`` names it).
-    """
+    route: bool,
+    placeholders: dict[str, list[str]] | None,
+    mapping: dict[str, str] | None,
+    time: str,
+) -> tuple[DataFrame, Column, list[str], dict[str, Rule]]:
+    """The fields of all rules, a row's hits as one array, the columns to carry, and the rules with a count test."""
     counted: dict[str, Rule] = {}
     usable = []
     for rule in rules:
@@ -101,7 +94,7 @@ def rule_hits(
         except (ValueError, KeyError, TypeError):
             continue
         of_group = lambda name: fields.get(name).text if name else F.lit(None).cast("string")
-        hit = [F.lit(rule.rule_id).alias("rule_id")]
+        hit = [F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.title).alias("title")]
         if counted:
             hit += [of_group(count and count.by).alias("by"), of_group(count and count.field).alias("value")]
         source = tuple(sorted(rule.logsource.items())) if route else ()
@@ -109,7 +102,8 @@ def rule_hits(
     extra = [c for c in ("eventId", "source", "platform") if route and c not in keep]
     extra += [time] if counted and time not in keep else []
     frame = fields.project(events, [*keep, *extra])
-    kind = "array<struct<rule_id:string,by:string,value:string>>" if counted else "array<struct<rule_id:string>>"
+    more = ",by:string,value:string" if counted else ""
+    kind = f"array<struct<rule_id:string,title:string{more}>>"
     empty = F.array().cast(kind)
     hits = [empty]
     for source, tests in by_source.items():
@@ -117,7 +111,28 @@ def rule_hits(
         hits.append(F.coalesce(F.when(route_test(dict(source)), found) if source else found, empty))
     found = F.concat(*hits[1:]) if len(hits) > 2 else hits[-1]
     carried = [*keep, *([time] if counted and time not in keep else [])]
-    rows = spread(frame, carried, found, "_hit").select(*carried, "_hit.*")
+    return frame, found, carried, counted
+
+
+def rule_hits(
+    events: DataFrame,
+    rules: list[Rule],
+    keep: list[str],
+    route: bool = False,
+    placeholders: dict[str, list[str]] | None = None,
+    mapping: dict[str, str] | None = None,
+    time: str = "timestamp",
+) -> DataFrame:
+    """One row per (event, rule) hit, in one scan.
+
+    The fields every rule needs are projected once. Rules with the same log
+    source share its test, which comes first and so spares the predicates.
+    Nothing is shuffled, but for the hits of rules with a count test: these
+    keep the hits of the groups that pass it. A rule that cannot be translated
+    is left out (``problems`` names it).
+    """
+    frame, found, carried, counted = _hit_arrays(events, rules, keep, route, placeholders, mapping, time)
+    rows = spread(frame, carried, found, "_hit").select(*carried, "_hit.*").drop("title")
     if not counted:
         return rows
     plain = rows.filter(~F.col("rule_id").isin(list(counted))).select(*keep, "rule_id")
@@ -214,20 +229,17 @@ def _reason(selection: str, name: str, value: Column, modifier: str, pattern: st
     )
 
 
-def matches_per_event(events: DataFrame, matches: DataFrame) -> DataFrame:
-    """Titles of the rules that matched an event with the same raw line and time.
+def titles_per_event(events: DataFrame, rules: list[Rule], keep: list[str], **options) -> DataFrame:
+    """Every event with the titles of the rules that hold for it, in order, from the detecting scan itself.
 
-    At most one title per rule and event goes into a list.
+    Events with the same raw line and time have the same titles. Rules with a
+    count test speak of groups, not of an event, and take no part.
     """
-    key = F.sha2(F.concat_ws("|", F.coalesce("rawLine", F.lit("")), F.unix_micros("timestamp").cast("string")), 256)
-    titles = (
-        matches.select(key.alias("_key"), "title")
-        .distinct()
-        .groupBy("_key")
-        .agg(F.array_join(F.array_sort(F.collect_list("title")), ", ").alias("titles"))
-    )
-    joined = events.withColumn("_key", key).join(titles, "_key", "left").drop("_key")
-    return joined.withColumn("titles", F.coalesce("titles", F.lit("")))
+    settings = {"route": False, "placeholders": None, "mapping": None, "time": "timestamp"} | options
+    own = [r for r in rules if "|" not in r.condition]
+    frame, found, _, _ = _hit_arrays(events, own, keep, **settings)
+    titles = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda h: h["title"]))), ", ")
+    return frame.select(*keep, titles.alias("titles"))
 
 
 def detection_stats(events: DataFrame, matches: DataFrame, rules: int) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Thresholds, proximity and ordered sequences over event tables."""
+"""Thresholds, proximity and ordered sequences over event tables.
+
+A slice of the time axis is an hour whatever the span: what a slice needs from
+the others comes as one row per slice, so a long span makes no large slice.
+"""
 
 from __future__ import annotations
 
@@ -47,7 +51,7 @@ def count_total(events: DataFrame, keys: list[str], more_than: int) -> DataFrame
 
 def trailing_count_over(events: DataFrame, keys: list[str], order: str, span: int, more_than: int) -> DataFrame:
     """Events that are the last of more than so many within ``span``, with the count as ``n``."""
-    counted = trailing_total(events, keys, order, span, {"n": F.lit(1).cast("long")}, max(span, HOUR))
+    counted = trailing_total(events, keys, order, span, {"n": F.lit(1).cast("long")}, HOUR)
     return counted.filter(F.col("n") > more_than)
 
 
@@ -59,9 +63,9 @@ def trailing_distinct_over(
     A value counts from one occurrence until its next, or until it is ``span`` old.
     """
     seen = events.select(*keys, value, order).distinct()
-    again = nearest(seen, [*keys, value], order, {"_again": (F.lit(True), {})}, max(span, HOUR))
+    again = nearest(seen, [*keys, value], order, {"_again": (F.lit(True), {})}, HOUR)
     counted = trailing_total(
-        again, keys, order, span, {"n": F.lit(1).cast("long")}, max(span, HOUR), F.col("_again.at")
+        again, keys, order, span, {"n": F.lit(1).cast("long")}, HOUR, F.col("_again.at")
     )
     return counted.groupBy(*keys, order).agg(F.max("n").alias("n")).filter(F.col("n") > more_than)
 
@@ -86,7 +90,7 @@ def near(
     tests = {**required, **excluded}
     frame = events.withColumn("_anchor", two_valued(anchor))
     frame = frame.filter(F.col("_anchor") | reduce(lambda a, b: a | b, [two_valued(t) for t in tests.values()]))
-    width = max(span, HOUR)
+    width = HOUR
     after = {f"_after_{n}": (two_valued(t), {}) for n, t in tests.items()}
     before = {f"_before_{n}": (two_valued(t), {}) for n, t in tests.items()}
     frame = nearest(frame, keys, order, after, width, later=True, same=True)
@@ -145,7 +149,6 @@ def sequence(
     if until is not None:
         rows.append(_marked(events.filter(two_valued(until)), stages[0].key, order, event_id, "_until"))
     frame = reduce(lambda a, b: a.unionByName(b), rows).filter(F.col("key").isNotNull())
-    width = max(width, span or 0)
     is_stage = lambda name: F.col("stage") == name
 
     carried: dict[str, Column] = {}
@@ -211,7 +214,7 @@ def sequence_bind(
         *[binding[n][1].alias(n) for n in names],
     )
     both = one.unionByName(two)
-    found = nearest(both, [*keys, *names], "at", {"_next": (F.col("stage") == "second", {"id": F.col("id")})}, max(width, span))
+    found = nearest(both, [*keys, *names], "at", {"_next": (F.col("stage") == "second", {"id": F.col("id")})}, width)
     hits = found.filter((F.col("stage") == "first") & (F.col("_next.at") - F.col("at") <= span))
     return hits.select(
         *keys, *names, F.col("id").alias("first_id"), F.col("at").alias("first_at"),

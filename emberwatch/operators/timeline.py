@@ -118,7 +118,7 @@ def sessions(df: DataFrame, keys: list[str], order: str, gap: int, width: int |
 
     A row opens a session when the row before it is more than ``gap`` away.
     """
-    width = width or max(gap, HOUR)
+    width = width or HOUR
     frame = sliced(df, order, width)
     inside = Window.partitionBy(*keys, "_slice").orderBy(order)
     frame = frame.withColumn("_previous", F.lag(order).over(inside))

@@ -191,9 +191,7 @@ def match_explain(spark, sf_dir):
 SELECT event_id, coalesce(titles, '') AS titles FROM log
 LEFT JOIN (SELECT event_id, string_agg(title, ', ' ORDER BY title) AS titles FROM matches GROUP BY event_id) USING (event_id)"""))
 def matches_per_event(spark, sf_dir):
-    events = log_events(spark, sf_dir)
-    found = D.detect(events, RULES, ["rawLine", "timestamp"], route=True)
-    return D.matches_per_event(events, found).select("event_id", "titles")
+    return D.titles_per_event(log_events(spark, sf_dir), RULES, ["event_id"], route=True)
 
 
 @query("match_event_join", with_log(MATCHES + """

@@ -99,7 +99,7 @@ def _found(source: str, key: str, column: str, types: list[str]) -> str:
     )
 
 
-_DOC_TYPES = ["ip", "domain", "url", "email", "hash", "base64"]
+_DOC_TYPES = list(I.PATTERNS)
 _DOC_FOUND = f"WITH found AS ({_found('documents', 'doc_id', 'text', _DOC_TYPES)})"
 
 
@@ -117,6 +117,13 @@ def ioc_extract_pages(spark, sf_dir):
     return I.extract(table(spark, sf_dir, "pages"), "url", ["page_id"], ["domain", "url"])
 
 
+@query("ioc_extract_html", f"""
+SELECT type, value, count(*) AS n FROM ({_found('pages', 'page_id', 'html', list(I.PATTERNS))}) GROUP BY type, value""")
+def ioc_extract_html(spark, sf_dir):
+    found = I.extract(table(spark, sf_dir, "pages"), "html", ["page_id"])
+    return found.groupBy("type", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("ioc_extract_events", with_log(", fields AS (SELECT event_id, unnest(["
     + "{'f': 'ip', 't': dst_ip}, {'f': 'processName', 't': image}, {'f': 'processCmd', 't': cmdline}, "
     + "{'f': 'Image', 't': image}, {'f': 'CommandLine', 't': cmdline}, {'f': 'ParentImage', 't': parent_image}, "
@@ -143,10 +150,9 @@ SELECT page_id, url FROM pages WHERE page_id IN (SELECT page_id FROM found WHERE
 def ioc_pivot(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     found = I.extract(pages, "url", ["page_id"], ["domain"])
-    counted = I.counts(found, "page_id")
-    best = counted.orderBy(F.col("n").desc(), "value").limit(1).select("type", "value")
-    hits = found.join(F.broadcast(best), ["type", "value"], "left_semi").select("page_id").distinct()
-    return pages.join(hits, "page_id", "left_semi")
+    # the most frequent indicator: one row
+    best = I.counts(found, "page_id").orderBy(F.col("n").desc(), "value").first()
+    return I.pivot(found, pages, "page_id", best["type"], best["value"])
 
 
 @query("ip_scope", with_log("""
