@@ -196,15 +196,22 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _compared(block: pa.Table) -> pa.Table:
-    """Pairs of a block that a link may join: rows outside the main component with rows of others."""
-    order = {name: block.column(name).combine_chunks() for name in ("doc_id", "component", "n_shingles", "signature", "outside", "middle")}
+    """Pairs of a block that a link may join: rows outside the main component with rows of others.
+
+    Two rows that share several buckets are compared in the one of their first shared band.
+    """
+    names = ("doc_id", "component", "n_shingles", "signature", "bands", "outside", "middle")
+    order = {name: block.column(name).combine_chunks() for name in names}
     ids, parts, sizes = (np.asarray(order[c]) for c in ("doc_id", "component", "n_shingles"))
     outside, middle = (order[c].to_numpy(zero_copy_only=False) for c in ("outside", "middle"))
-    marks = _marks(order["signature"])
+    marks, bands = _marks(order["signature"]), np.asarray(order["bands"].flatten()).reshape(-1, BANDS)
+    bucket = block.column("bucket")[0].as_py()
     theirs, mine = np.flatnonzero(~outside & ~middle), np.flatnonzero(outside)
     found: list[np.ndarray] = []
     for i in mine:
         others = theirs[parts[theirs] != parts[i]]
+        first = (bands[others] == bands[i]).argmax(axis=1)
+        others = others[bands[i, first] == bucket]
         fits = others[_possible(sizes[i], sizes[others], marks[i], marks[others])]
         found.append(np.stack([np.minimum(ids[i], ids[fits]), np.maximum(ids[i], ids[fits])]))
     a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
@@ -229,7 +236,7 @@ def _left_open(members: DataFrame, found: DataFrame, classes: DataFrame) -> Data
     known = ["bucket", "doc_id", "component", "middle"]
     left = rows.filter("component <> main AND NOT middle").select(*known, F.lit(True).alias("outside"), F.explode(F.transform(every, lambda c: cell(own, c))).alias("cell"))
     right = rows.select(*known, F.lit(False).alias("outside"), F.explode(F.transform(every, lambda c: cell(c, own))).alias("cell"))
-    blocks_of = left.union(right).join(classes.select("doc_id", "n_shingles", "signature"), "doc_id")
+    blocks_of = left.union(right).join(classes.select("doc_id", "n_shingles", "signature", "bands"), "doc_id")
     return blocks_of.groupBy("bucket", "cell").applyInArrow(_compared, "a long, b long").distinct()
 
 
