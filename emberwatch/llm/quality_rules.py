@@ -47,6 +47,9 @@ BOILERPLATE = (
 )
 
 _SPACE = r"[\x20\x09-\x0D]"
+_NUMBER = r"^[$#]?[0-9][0-9.,]*%?\z"
+_DOUBLED = r"([!?,;:])[!?,;:]+\z|\.\.\.\.\z"
+_END_MARK = r"\p{P}\z"
 
 
 def _words(text: Column) -> Column:
@@ -93,10 +96,10 @@ def _line_fails(line: Column) -> Column:
     def rules(words: Column) -> Column:
         n = F.size(words)
         share = lambda hits: F.size(hits) > n * MOST_MARKED
-        symbols = share(F.filter(words, lambda w: w.rlike(r"[#*$%&|<>]") & ~w.rlike(r"^[$#]?[0-9][0-9.,]*%?$")))
-        doubled = share(F.filter(words, lambda w: w.rlike(r"([!?,;:])[!?,;:]+$|\.\.\.\.$")))
+        symbols = share(F.filter(words, lambda w: w.rlike(r"[#*$%&|<>]") & ~w.rlike(_NUMBER)))
+        doubled = share(F.filter(words, lambda w: w.rlike(_DOUBLED)))
         again = (n >= 6) & share(F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.get(words, i) == F.get(words, i - 1)))
-        crumb = (n < CRUMB_WORDS) & ~F.rtrim(line).rlike(r"[\p{P}]$")
+        crumb = (n < CRUMB_WORDS) & ~F.rtrim(line).rlike(_END_MARK)
         return symbols | doubled | again | crumb
 
     low = F.lower(line)
@@ -155,3 +158,36 @@ def summary(docs: DataFrame) -> DataFrame:
     found = measured(docs.select("doc_id", "text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return found.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in names), F.round("quality.lost", 6).alias("lost"))
+
+
+_NOTICE = " OR ".join(f"contains(lower(line), '{phrase}')" for phrase in BOILERPLATE)
+
+ORACLE = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+word AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+gram AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: {{'i': i, 'g': array_to_string(w[i:i + {WINDOW - 1}], ' ')}})) AS x
+         FROM word WHERE len(w) >= {WINDOW}),
+twice AS (SELECT doc_id, x.g AS g, list(x.i) AS places FROM gram GROUP BY doc_id, x.g HAVING count(*) > 1),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM (SELECT doc_id, unnest(places) AS i FROM twice)) GROUP BY doc_id),
+line AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
+         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)),
+judged AS (SELECT doc_id, line, list_sum(list_transform(w, lambda x: length(x))) AS chars,
+    {_NOTICE}
+    OR len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]') AND NOT regexp_matches(x, '{_NUMBER}'))) > len(w) * {MOST_MARKED}
+    OR len(list_filter(w, lambda x: regexp_matches(x, '{_DOUBLED}'))) > len(w) * {MOST_MARKED}
+    OR (len(w) >= 6 AND len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > len(w) * {MOST_MARKED})
+    OR (len(w) < {CRUMB_WORDS} AND NOT regexp_matches(rtrim(line), '{_END_MARK}')) AS fails
+    FROM line WHERE len(w) > 0),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(chars) FILTER (fails), 0) AS lost, sum(chars) AS chars
+          FROM judged GROUP BY doc_id),
+base AS (SELECT word.doc_id, len(w) AS n_words, coalesce(l.chars, 0)::BIGINT AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+    coalesce(a.n, 0) AS n_repeat_words, CASE WHEN l.chars > 0 THEN l.lost / l.chars ELSE 0.0 END AS lost
+    FROM word LEFT JOIN lines l USING (doc_id) LEFT JOIN again a USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+    NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND lost <= {MOST_LOST} AS kept,
+    round(lost, 6) AS lost
+FROM base
+"""

@@ -72,6 +72,7 @@ QUERIES: dict[str, QueryFunction] = {
 ORACLES: dict[str, str] = {
     "op1_url_filters": url_filters.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
+    "op6_quality_rules": quality_rules.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op10_minhash_near_dedup": near_dedup.ORACLE,
 }
