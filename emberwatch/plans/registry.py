@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.session import INPUT_PARTITIONS, tune
+from emberwatch.session import INPUT_PARTITIONS, ship_code, tune
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFunction], QueryF
 
     def register(function: QueryFunction) -> QueryFunction:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_code(spark)
             return function(tune(spark), sf_dir)
 
         if name in QUERIES:
