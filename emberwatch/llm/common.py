@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.session import tune, work_dir
+from emberwatch.session import ship_code, tune, work_dir
 
 #: Texts are long: few of them, and few bytes, go to a Python worker at a time.
 TEXT_SETTINGS = {
@@ -25,27 +22,6 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_shipped: set[str] = set()
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application.
-
-    Tasks import it by name, wherever the driver was started. The archive is the driver's own;
-    executors fetch it from the driver's file server.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).parents[1]
-    archive = Path(tempfile.mkdtemp()) / f"{package.name}-code.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
-
-
 def tune_for_texts(spark: SparkSession) -> SparkSession:
     tune(spark)
     ship_code(spark)
