@@ -16,21 +16,20 @@ from emberwatch.llm.common import read_table, tune_for_texts, written
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    changed = {"text": F.col(text), "n_chars": F.char_length(text).cast("long")}
-    return docs.select(*(changed.get(c, F.col(c)).alias(c) for c in columns))
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that fail or lose too much with them."""
     tune_for_texts(spark)
-    return _with_text(quality_rules.cleaned(docs), "text", docs.columns)
+    return _counted(quality_rules.cleaned(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents have go from all of them."""
     tune_for_texts(spark)
-    return _with_text(line_dedup.drop_lines(docs), "kept_text", docs.columns)
+    return _counted(line_dedup.drop_lines(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as one, ``row``, so that none of their names can clash."""
+    return docs.select(docs["doc_id"], docs["text"], F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The columns that went into ``packed``, with another text."""
+    return rows.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once per row, however often the body names it.
 

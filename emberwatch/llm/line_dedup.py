@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import LOWER, SPACES, UPPER, ascii_lower, let, text_key, written
+from emberwatch.llm.common import LOWER, SPACES, UPPER, ascii_lower, let, packed, text_key, unpacked, written
 
 LEAST_DOCS = 10
 LEAST_CHARS = 1
@@ -45,22 +45,25 @@ def frequent_lines(docs: DataFrame) -> DataFrame:
     return counts.filter(F.col("n_docs") >= LEAST_DOCS).select("h1", "h2")
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns n_lines, n_dropped and kept_text added."""
-    named = docs.select(F.col("doc_id").cast("long").alias("_of_id"), F.col("text").cast("string").alias("text"))
-    placed = named.select("_of_id", text_key(F.col("text")).alias("_of_key"), F.posexplode(F.transform(_lines(F.col("text")), _key)).alias("place", "line"))
-    placed = placed.select("_of_id", "_of_key", "place", "line.h1", "line.h2").filter("h1 IS NOT NULL")
+def without_frequent(docs: DataFrame) -> DataFrame:
+    """doc_id, row (all columns but the text), n_lines, n_dropped and kept_text of each row of ``docs``."""
+    docs = packed(docs)
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    named = docs.select(doc_id.alias("doc_id"), text.alias("text"))
+    placed = named.select(
+        F.col("doc_id").alias("of_id"),
+        text_key(F.col("text")).alias("of_key"),
+        F.posexplode(F.transform(_lines(F.col("text")), _key)).alias("place", "line"),
+    )
+    placed = placed.select("of_id", "of_key", "place", "line.h1", "line.h2").filter("h1 IS NOT NULL")
     gone = placed.join(written(frequent_lines(named), "lines"), ["h1", "h2"])
-    gone = gone.groupBy("_of_id", "_of_key").agg(F.collect_set("place").alias("_gone"))
-
-    text = docs["text"].cast("string")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_of_id")) & (text_key(text) == F.col("_of_key"))
+    gone = gone.groupBy("of_id", "of_key").agg(F.collect_set("place").alias("gone"))
 
     def without(lines: Column) -> Column:
-        stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
         return F.struct(
             F.size(lines).cast("long").alias("n_lines"),
-            F.size("_gone").cast("long").alias("n_dropped"),
+            F.size("gone").cast("long").alias("n_dropped"),
             F.array_join(F.transform(stays, lambda place: F.get(lines, place)), "\n").alias("kept_text"),
         )
 
@@ -69,14 +72,20 @@ def drop_lines(docs: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("n_dropped"),
         F.coalesce(text, F.lit("")).alias("kept_text"),
     )
-    result = F.when(F.col("_gone").isNull(), whole).otherwise(let(_lines(text), without))
-    joined = docs.join(gone, same, "left").select(*(docs[c] for c in docs.columns), F.explode(F.array(result)).alias("_result"))
-    return joined.select(*docs.columns, "_result.*")
+    result = F.when(F.col("gone").isNull(), whole).otherwise(let(_lines(text), without))
+    same = doc_id.eqNullSafe(F.col("of_id")) & (text_key(text) == F.col("of_key"))
+    joined = docs.join(gone, same, "left").select("doc_id", "row", F.explode(F.array(result)).alias("result"))
+    return joined.select("doc_id", "row", "result.*")
+
+
+def drop_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` without the frequent lines in ``text``."""
+    return unpacked(without_frequent(docs), docs.columns, F.col("kept_text"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """Counts and digests of ``drop_lines``."""
-    found = drop_lines(docs.select("doc_id", "text"))
+    """Counts and digests of what stays."""
+    found = without_frequent(docs.select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import SPACES, let
+from emberwatch.llm.common import SPACES, let, packed, unpacked
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -110,8 +110,9 @@ def _line_fails(line: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``quality`` added: the measures, the cleaned text and the verdict."""
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    """doc_id, row (all columns but the text) and ``quality``: the measures, the cleaned text and the verdict."""
+    docs = packed(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def of_lines(lines: Column) -> Column:
         """Lines with a word, how many repeat an earlier one, and what stays of the lines."""
@@ -128,7 +129,7 @@ def measured(docs: DataFrame) -> DataFrame:
         _long(F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).alias("symbols"),
     )
     # a generator keeps the optimizer from copying the measures into what follows
-    found = docs.select("*", F.explode(F.array(parts)).alias("_m"))
+    found = docs.select("doc_id", "row", F.explode(F.array(parts)).alias("_m"))
     clean = F.regexp_replace(F.col("_m.lines.clean"), _SPACE + "+", "")
     n, repeated, chars = F.col("_m.words.n"), F.col("_m.words.repeated"), F.col("_m.words.chars")
     failed = (n < LEAST_WORDS) | (repeated * 100 > n * MOST_REPEATED)
@@ -144,13 +145,12 @@ def measured(docs: DataFrame) -> DataFrame:
         (~failed & (lost <= MOST_LOST)).alias("kept"),
         F.col("_m.lines.clean").alias("clean_text"),
     )
-    return found.select(*(docs[c] for c in docs.columns), F.explode(F.array(quality)).alias("quality"))
+    return found.select("doc_id", "row", F.explode(F.array(quality)).alias("quality"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their failing lines removed from ``text``."""
-    kept = measured(docs).filter("quality.kept")
-    return kept.select(*(F.col("quality.clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return unpacked(measured(docs).filter("quality.kept"), docs.columns, F.col("quality.clean_text"))
 
 
 def summary(docs: DataFrame) -> DataFrame:

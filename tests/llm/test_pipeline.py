@@ -6,7 +6,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from corpus_cases import SF, documents
+from corpus_cases import CLASHING, ODD_TEXTS, SF, documents, table
 from test_brute import brute_components, lowered
 
 from emberwatch.llm import common, quality_rules
@@ -82,3 +82,21 @@ def test_tokens(stages):
 def test_run(spark, stages):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.ids_sha256) for r in rows) == sorted((r.doc_id, r.ids_sha256) for r in stages["byte-level BPE"][1])
+
+
+@pytest.mark.parametrize("rows", [ODD_TEXTS, []], ids=["odd", "empty"])
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_tables(spark, rows, name, stage):
+    """Nulls, empty, long and repeated texts, columns named like the operators' own: kept rows come through whole."""
+    docs = table(spark, rows, [*CLASHING, "n_chars", "row", "gone", "kept_text", "clean_text", "of_id", "text_key"])
+    after = stage(spark, docs, SF)
+    found = after.collect()
+    if name == "byte-level BPE":
+        assert collections.Counter(r.doc_id for r in found) == collections.Counter(i for i, _ in rows)
+        return
+    assert after.columns == docs.columns
+    assert all(r[c] == "x" for r in found for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    kept = collections.Counter(r.doc_id for r in found)
+    assert not kept - collections.Counter(i for i, _ in rows)
+    if name in ("line dedup", "benchmark decontamination"):
+        assert kept.total() == len(rows)
