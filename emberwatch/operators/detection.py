@@ -184,24 +184,25 @@ def enabled(rules: DataFrame, disabled: DataFrame) -> DataFrame:
 
 
 def explain_matches(
-    events: DataFrame, matches: DataFrame, rules: list[Rule], key: str, placeholders: dict[str, list[str]] | None = None
+    events: DataFrame, rules: list[Rule], key: str, placeholders: dict[str, list[str]] | None = None
 ) -> DataFrame:
     """For every match the conditions that held: selection, field, modifier, value and pattern.
 
-    Only matched events are looked at again.
+    One scan: a row's reasons are built where its rule holds, and nowhere else.
     """
     names = set().union(*[r.field_names() for r in rules])
     fields = FieldSet(names, any(r.has_keywords() for r in rules))
-    matched = events.join(matches.select(key).distinct(), key, "left_semi")
-    frame = fields.project(matched, [key]).join(matches.select(key, "rule_id"), key)
-    reasons = []
+    frame = fields.project(events, [key])
+    empty = F.array().cast("array<struct<rule_id:string,selection:string,field:string,value:string,modifier:string,pattern:string>>")
+    found = [empty]
     for rule in rules:
-        own = F.col("rule_id") == rule.rule_id
+        reasons = []
+        add = lambda test, *reason: reasons.append(F.when(test, _reason(rule.rule_id, *reason)))  # noqa: B023, E731
         for selection, body in rule.selections.items():
             for part in body if isinstance(body, list) else [body]:
                 if not isinstance(part, dict):
                     test = two_valued(fields.raw().text.contains(str(part).lower()))
-                    reasons.append(F.when(own & test, _reason(selection, "rawLine", fields.raw().text, "contains", str(part))))
+                    add(test, selection, "rawLine", fields.raw().text, "contains", str(part))
                     continue
                 for name_key, value in part.items():
                     name, *modifiers = name_key.split("|")
@@ -209,18 +210,19 @@ def explain_matches(
                     shown = "|".join(modifiers) or "equals"
                     if "fieldref" in modifiers:
                         test = predicate(field, _values(value), modifiers, placeholders, fields.get)
-                        reasons.append(F.when(own & test, _reason(selection, name, field.text, shown, str(value))))
+                        add(test, selection, name, field.text, shown, str(value))
                         continue
                     groups, comparison = expand_values(_values(value), modifiers, placeholders)
                     for literal in [form for group in groups for form in group]:
-                        test = one_value(field, literal, comparison)
-                        reasons.append(F.when(own & test, _reason(selection, name, field.text, shown, literal)))
-    found = F.array_compact(F.array(*reasons))
-    return spread(frame, [key, "rule_id"], found, "reason").select(key, "rule_id", "reason.*")
+                        add(one_value(field, literal, comparison), selection, name, field.text, shown, literal)
+        holds, _ = rule_column(rule, fields, placeholders)
+        found.append(F.when(holds, F.array_compact(F.array(*reasons))).otherwise(empty))
+    return spread(frame, [key], F.concat(*found), "reason").select(key, "reason.*")
 
 
-def _reason(selection: str, name: str, value: Column, modifier: str, pattern: str | None) -> Column:
+def _reason(rule_id: str, selection: str, name: str, value: Column, modifier: str, pattern: str | None) -> Column:
     return F.struct(
+        F.lit(rule_id).alias("rule_id"),
         F.lit(selection).alias("selection"),
         F.lit(name).alias("field"),
         value.alias("value"),

@@ -165,11 +165,11 @@ def rule_toggle(spark, sf_dir):
     return D.enabled(rules, lines.select(F.col("l_partkey").alias("rule_id")))
 
 
-_EXPLAIN = [r for r in RULES if r.rule_id in ("r1", "r5")]
+_EXPLAIN = [r for r in RULES if r.rule_id != "r8"]
 
 
 @query("match_explain", with_log(MATCHES + r"""
-, m AS (SELECT event_id, rule_id FROM hits WHERE rule_id IN ('r1', 'r5'))
+, m AS (SELECT event_id, rule_id FROM hits WHERE rule_id <> 'r8')
 SELECT event_id, rule_id, 'selection' AS selection, 'Image' AS field, image AS value, 'endswith' AS modifier,
   '\powershell.exe' AS pattern FROM m JOIN log USING (event_id) WHERE rule_id = 'r1'
 UNION ALL
@@ -180,11 +180,20 @@ SELECT event_id, rule_id, 'selection', 'Image', image, 'contains', '\users\publi
 FROM m JOIN log USING (event_id) WHERE rule_id = 'r5' AND contains(lower(image), '\users\public\')
 UNION ALL
 SELECT event_id, rule_id, 'selection', 'Image', image, 'contains', '\temp\'
-FROM m JOIN log USING (event_id) WHERE rule_id = 'r5' AND contains(lower(image), '\temp\')"""))
+FROM m JOIN log USING (event_id) WHERE rule_id = 'r5' AND contains(lower(image), '\temp\')
+UNION ALL SELECT event_id, rule_id, 'selection', 'CommandLine', cmdline, 'windash|contains|all', p
+FROM m JOIN log USING (event_id), (VALUES (' -ma '), (' /ma ')) v(p) WHERE rule_id = 'r2' AND contains(lower(cmdline), p)
+UNION ALL SELECT event_id, rule_id, 'selection', 'CommandLine', cmdline, 'contains', 'lsass' FROM m JOIN log USING (event_id) WHERE rule_id = 'r2'
+UNION ALL SELECT event_id, rule_id, 'selection_parent', 'ParentImage', parent_image, 'endswith', '\winword.exe'
+FROM m JOIN log USING (event_id) WHERE rule_id = 'r3'
+UNION ALL SELECT event_id, rule_id, 'selection_child', 'Image', image, 'endswith', p
+FROM m JOIN log USING (event_id), (VALUES ('\cmd.exe'), ('\powershell.exe')) v(p) WHERE rule_id = 'r3' AND ends_with(lower(image), p)
+UNION ALL SELECT event_id, rule_id, 'selection', 'CommandLine', cmdline, 're', 'certutil\.exe .*http' FROM m JOIN log USING (event_id) WHERE rule_id = 'r4'
+UNION ALL SELECT event_id, rule_id, 'selection', 'EventID', CAST(eid AS VARCHAR), 'equals', '4625' FROM m JOIN log USING (event_id) WHERE rule_id = 'r6'
+UNION ALL SELECT event_id, rule_id, 'selection', 'DestinationIp', dst_ip, 'cidr', CASE WHEN dst_ip LIKE '203%' THEN '203.0.113.0/24' ELSE '2001:db8::/32' END
+FROM m JOIN log USING (event_id) WHERE rule_id = 'r7'"""))
 def match_explain(spark, sf_dir):
-    events = log_events(spark, sf_dir)
-    found = D.rule_hits(events, _EXPLAIN, ["event_id"])
-    return D.explain_matches(events, found, _EXPLAIN, "event_id")
+    return D.explain_matches(log_events(spark, sf_dir), _EXPLAIN, "event_id")
 
 
 @query("matches_per_event", with_log(MATCHES + """
