@@ -38,8 +38,3 @@ def epoch_time(value: Column) -> Column:
         .when(number.isNotNull(), F.timestamp_seconds(number))
         .otherwise(F.try_to_timestamp(text))
     )
-
-
-def micros(ts: Column) -> Column:
-    """Timestamp to microseconds since 1970, the order column of the timeline jobs."""
-    return F.unix_micros(ts.cast("timestamp"))

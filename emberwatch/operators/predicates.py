@@ -98,10 +98,6 @@ def match_endswith(field: Field, value: str) -> Column:
     return _text_match(field, value, "endswith")
 
 
-def match_number(field: Field, value: str) -> Column:
-    return field.text.try_cast("double") == F.lit(float(value))
-
-
 def match_regex(field: Field, value: str) -> Column:
     return field.text.rlike(value)
 

@@ -9,6 +9,8 @@ from emberwatch.operators import docscan as S
 from emberwatch.operators import indicators as I
 from emberwatch.plans.binding import log_events, with_log
 from emberwatch.plans.registry import query, table
+from emberwatch.session import scratch_path
+from emberwatch.sinks.stix import export_stix as write_stix
 from emberwatch.sinks.stix import indicator_objects
 
 
@@ -183,3 +185,15 @@ def export_stix(spark, sf_dir):
     return indicator_objects(counted, now, random_ids=False).select(
         "id", "name", "pattern", F.element_at("labels", 1).alias("label"), F.col("confidence").cast("long"), "created"
     )
+
+
+@query("export_stix_written", _DOC_FOUND + """
+SELECT 'indicator' AS type, count(DISTINCT type || value) AS n, count(DISTINCT type || value) AS ids FROM found
+WHERE type IN ('ip', 'domain', 'url', 'email', 'hash') UNION ALL SELECT 'identity', 1, 1""")
+def export_stix_written(spark, sf_dir):
+    """The whole export as JSON lines, identity object included, read back."""
+    path = scratch_path(spark, "stix")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    write_stix(I.counts(doc_indicators(spark, sf_dir), "doc_id"), now, path)
+    objects = spark.read.schema("type string, id string").json(path)
+    return objects.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))

@@ -9,6 +9,7 @@ from emberwatch.operators import rulecorpus as RC
 from emberwatch.operators.rules import load_rules as load, rule_issues, rule_validity
 from emberwatch.plans.binding import data_element, flat_log, with_log
 from emberwatch.plans.registry import query, table
+from emberwatch.session import scratch_path
 from emberwatch.sources import linux, routing, tables, windows
 
 _AS_OF = "2024-01-20 00:00:00"
@@ -417,7 +418,18 @@ WITH m AS (SELECT CASE WHEN lang = 'en' THEN 'windows' ELSE 'linux' END AS platf
 
 @query("bundle_rules", _MANIFEST + "SELECT * FROM m")
 def bundle_rules(spark, sf_dir):
-    return RC.bundle_manifest(_bundled(spark, sf_dir))
+    path = scratch_path(spark, "bundles")
+    RC.write_bundles(_bundled(spark, sf_dir), path)
+    return RC.bundle_manifest(spark.read.parquet(path))
+
+
+@query("bundle_rules_pruned", _MANIFEST + "SELECT category, rule_count, size_bytes FROM m WHERE platform = 'linux'")
+def bundle_rules_pruned(spark, sf_dir):
+    path = scratch_path(spark, "bundles")
+    RC.write_bundles(_bundled(spark, sf_dir), path)
+    # only the folders of one platform are read
+    own = spark.read.parquet(path).filter(F.col("platform") == "linux")
+    return RC.bundle_manifest(own).drop("platform")
 
 
 @query("platform_rule_counts", _MANIFEST + "SELECT platform, CAST(sum(rule_count) AS BIGINT) AS rules FROM m GROUP BY platform")

@@ -173,7 +173,3 @@ def file_catalog(paths: DataFrame, suffix: str = ".evtx") -> DataFrame:
     )
     kept = frame.filter(~F.col("category").isin(EXCLUDED_FOLDERS) & F.lower("file").endswith(suffix))
     return kept.select("category", pretty_name(F.col("file")).alias("name"), "file").orderBy("category", "name", "file")
-
-
-def catalog_totals(catalog: DataFrame) -> DataFrame:
-    return catalog.groupBy("category").agg(F.count(F.lit(1)).alias("samples"))
