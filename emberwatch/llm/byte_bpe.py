@@ -30,8 +30,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries a worker remembers at most, of chunks and of pairs; both only save time.
-REMEMBERED = 400_000
+#: Entries a worker remembers at most, of chunks, of pieces and of pairs; they only save time.
+REMEMBERED = 600_000
 #: Longer chunks are rare and not remembered.
 SHORT = 64
 #: Tokens decoded in one go.
@@ -100,8 +100,9 @@ class Vocabulary:
 
     def _longest(self, text: str, place: int) -> int:
         """The longest token at a place; the trie says how far any token could reach."""
-        end = place + self.trie.longest_prefix(text[place : place + self.widest])
-        while (found := self.ids.get(text[place:end])) is None:
+        reach, get = text[place : place + self.widest], self.ids.get
+        end = self.trie.longest_prefix(reach)
+        while (found := get(reach[:end])) is None:
             end -= 1
         return found
 
@@ -111,11 +112,11 @@ class Vocabulary:
         whole = self.ids.get(text)
         if whole is not None:
             return [whole]
-        sizes, shorter, pairs = self.sizes, self.shorter, self._pairs
+        sizes, shorter, pairs, longest = self.sizes, self.shorter, self._pairs, self._longest
         size = len(text)
         failed: set[int] = set()
         found: list[int] = []
-        place, token, last = 0, self._longest(text, 0), -1
+        place, token, last = 0, longest(text, 0), -1
         while True:
             end = place + sizes[token]
             if end not in failed:
@@ -126,7 +127,7 @@ class Vocabulary:
                     found.append(token)
                     if end == size:
                         return found
-                    place, token, last = end, self._longest(text, end), token
+                    place, token, last = end, longest(text, end), token
                     continue
             token = shorter[token]
             if token < 0:
@@ -136,28 +137,45 @@ class Vocabulary:
                 place -= sizes[token]
 
 
-class Chunks(dict):
-    """Packed ids of chunks of text by what follows their ``lead``; works out what it does not hold.
+class Remembered(dict):
+    """Packed ids by key; works out what it does not hold, and keeps it while there is room."""
+
+    def __missing__(self, key: str) -> bytes | None:
+        found = self.work_out(key)
+        if len(key) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = found
+        return found
+
+
+class Pieces(Remembered):
+    """Packed ids of a piece."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.encode = vocabulary.encode
+
+    def work_out(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Chunks(Remembered):
+    """Packed ids of what stands between two spaces, together with the first one.
 
     None marks a chunk that ends in white space, where a text must not be cut.
     """
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, lead: str):
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
         super().__init__()
-        self.vocabulary, self.find, self.lead = vocabulary, regex.compile(pattern).findall, lead
+        self.pieces, self.find = Pieces(vocabulary).__getitem__, regex.compile(pattern).findall
 
     def packed(self, text: str) -> bytes:
-        encode = self.vocabulary.encode
-        ids = [i for piece in self.find(text) for i in encode(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.pieces, self.find(text)))
 
-    def __missing__(self, rest: str) -> bytes | None:
-        found = None if _ends_in_space(rest) else self.packed(self.lead + rest)
-        if len(rest) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[rest] = found
-        return found
+    def work_out(self, rest: str) -> bytes | None:
+        return None if _ends_in_space(rest) else self.packed(" " + rest)
 
 
 def _ends_in_space(text: str) -> bool:
@@ -169,7 +187,7 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary(path)
-        self.spaced = Chunks(self.vocabulary, pattern, " ")
+        self.spaced = Chunks(self.vocabulary, pattern)
 
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
