@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.text import basename, first_filled
 from emberwatch.operators.predicates import any_of, two_valued
+from emberwatch.operators.skew import first_n
 
 #: Points per match level; unknown levels count as low.
 LEVEL_WEIGHT = {"critical": 25, "high": 12, "medium": 5, "low": 2}
@@ -38,6 +39,9 @@ SUSPICIOUS_FOLDERS = [
 #: Address prefixes that do not count as external.
 INTERNAL_PREFIXES = ["127.", "10.", "192.168.", "::1"]
 
+#: Fixed value: tactics and programs named in a detail text; all of them count.
+NAMES_SHOWN = 5
+
 #: Lowest score of each label.
 LABELS = [(80, "Critical"), (55, "High"), (30, "Medium"), (10, "Low")]
 
@@ -60,6 +64,16 @@ def _factor(df: DataFrame, by: list[str], name: str, points: Column, detail: Col
     )
 
 
+def _with_names(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Distinct values of ``name`` as n, and the first ``NAMES_SHOWN`` of them as names."""
+    distinct = rows.select(*by, name).distinct()
+    counts = _grouped(distinct, by, F.count(name).alias("n"))
+    # a test for null would be worked out again below the totals; the lists leave nulls out anyway
+    shown = first_n(distinct, by, [F.col(name).asc_nulls_last()], NAMES_SHOWN, F.col(name))
+    names = _grouped(shown, by, F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("names"))
+    return counts.join(names, by) if by else counts.withColumn("names", names.scalar())
+
+
 def match_totals(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Matches per rule: what all match factors are worked out from.
 
@@ -90,8 +104,8 @@ def tactic_breadth(totals: DataFrame, by: list[str] | None = None) -> DataFrame:
     tag = F.regexp_replace(F.lower("tag"), r"^(.*?)attack\.", "$1")
     tags = totals.filter(F.col("n") > 0).select(*by, F.explode("tags").alias("tag")).select(*by, tag.alias("tag"))
     kept = tags.filter(~F.col("tag").startswith("t") & (F.length("tag") > 2))
-    counts = _grouped(kept, by, F.count_distinct("tag").alias("n"))
-    detail = F.format_string("%d distinct tactic(s)", "n")
+    counts = _with_names(kept, by, "tag")
+    detail = F.format_string("%d distinct tactic(s): %s", "n", "names")
     return _factor(counts, by, "tactics", F.least(F.lit(15), F.col("n") * 3), detail, F.col("n") > 0)
 
 
@@ -120,8 +134,8 @@ def external_address() -> Column:
 
 def suspicious_processes(totals: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    counts = _grouped(totals.filter(F.col("n") > 0), by, F.count_distinct("process").alias("n"))
-    detail = F.format_string("%d suspicious program(s)", "n")
+    counts = _with_names(totals.filter(F.col("n") > 0), by, "process")
+    detail = F.col("names")
     return _factor(counts, by, "processes", F.least(F.lit(15), F.col("n") * 3), detail, F.col("n") > 0)
 
 

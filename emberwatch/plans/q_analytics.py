@@ -26,14 +26,16 @@ def _factors(key: str) -> str:
     count(*) FILTER (level = 'medium') AS m, count(*) FILTER (coalesce(level, 'low') NOT IN ('critical', 'high', 'medium')) AS l,
     count(*) AS n FROM matches GROUP BY 1),
 tags AS (SELECT DISTINCT {key} AS g, replace(lower(unnest(tags)), 'attack.', '') AS tag FROM matches),
-tn AS (SELECT g, count(*) AS n FROM tags WHERE NOT starts_with(tag, 't') AND length(tag) > 2 GROUP BY g),
+tn AS (SELECT g, count(*) AS n, array_to_string(list_sort(list(tag))[1:5], ', ') AS names FROM tags WHERE NOT starts_with(tag, 't') AND length(tag) > 2 GROUP BY g),
 ev AS (SELECT {key} AS g, count(DISTINCT CASE WHEN {_SUSPICIOUS} THEN split_part(image, chr(92), -1) END) AS p,
+    array_to_string(list_sort(list(DISTINCT CASE WHEN {_SUSPICIOUS} THEN split_part(image, chr(92), -1) END)
+      FILTER ({_SUSPICIOUS}))[1:5], ', ') AS pn,
     count(*) FILTER ({_FOLDERS}) AS f, count(DISTINCT CASE WHEN {_EXTERNAL} THEN dst_ip END) AS x FROM log GROUP BY 1),
 factors AS (
   SELECT g, 'detections' AS factor, least(40, 25 * c + 12 * h + 5 * m + 2 * l) AS points, CAST(c AS VARCHAR) || ' critical, '
     || CAST(h AS VARCHAR) || ' high, ' || CAST(m AS VARCHAR) || ' medium, ' || CAST(l AS VARCHAR) || ' low' AS detail FROM lv
-  UNION ALL SELECT g, 'tactics', least(15, 3 * n), CAST(n AS VARCHAR) || ' distinct tactic(s)' FROM tn
-  UNION ALL SELECT g, 'processes', least(15, 3 * p), CAST(p AS VARCHAR) || ' suspicious program(s)' FROM ev WHERE p > 0
+  UNION ALL SELECT g, 'tactics', least(15, 3 * n), CAST(n AS VARCHAR) || ' distinct tactic(s): ' || names FROM tn
+  UNION ALL SELECT g, 'processes', least(15, 3 * p), pn FROM ev WHERE p > 0
   UNION ALL SELECT g, 'folders', least(10, CAST(ceil(f / 5) AS BIGINT)), CAST(f AS VARCHAR) || ' execution(s) from unusual folders' FROM ev WHERE f > 0
   UNION ALL SELECT g, 'network', least(10, 2 * x), CAST(x AS VARCHAR) || ' unique external address(es)' FROM ev WHERE x > 0
   UNION ALL SELECT g, 'volume', least(10, 2 * (n // 50)), CAST(n AS VARCHAR) || ' total matches' FROM lv WHERE n > 50)
