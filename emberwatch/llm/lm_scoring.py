@@ -93,7 +93,7 @@ def _packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-_SENT = "block long, bucket int, keys binary, ends binary, counts binary, per_row binary, target binary, hot_at binary, hot_n binary, ids binary, texts binary, tokens binary"
+_SENT = "block long, bucket int, keys binary, ends binary, counts binary, rows binary, hot_at binary, hot_n binary, ids binary, texts binary, tokens binary"
 _SENT_NAMES = [c.split()[0] for c in _SENT.split(", ")]
 
 
@@ -106,7 +106,10 @@ def _find(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _deal(hot: np.ndarray, buckets: int) -> _Arrow:
-    """Per block a row per bucket: the n-grams of its texts, and of the hot ones just how many there are."""
+    """Per block a row per bucket that it has something for: the n-grams of its texts, and of the hot ones how many there are.
+
+    ``rows`` has, for each n-gram, twice its text's place in the block, and one more in a target text.
+    """
     of_hot = ((hot >> _U(KEY_BITS)) % _U(buckets)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +132,12 @@ def _deal(hot: np.ndarray, buckets: int) -> _Arrow:
                 order = np.argsort(bucket, kind="stable")
                 rows, keys, counts = rows[order], keys[order], counts[order]
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
+                used = np.flatnonzero((np.diff(edges) > 0) | (np.diff(hot_edges) > 0))
+                # one row, if need be an empty one, names the block's texts
+                for b in used if len(used) else [0]:
                     part, own_hot = slice(edges[b], edges[b + 1]), some[hot_edges[b] : hot_edges[b + 1]]
                     more = {}
-                    if b == 0:
+                    if not len(used) or b == used[0]:
                         more = {"ids": ids[own], "texts": texts[own], "tokens": block.counts.astype(np.int64)}
                     yield _sent(
                         number,
@@ -140,8 +145,7 @@ def _deal(hot: np.ndarray, buckets: int) -> _Arrow:
                         keys=keys[part].astype(np.uint32),
                         ends=(keys[part] >> _U(32)).astype(np.uint8),
                         counts=counts[part],
-                        per_row=np.bincount(rows[part], minlength=n).astype(np.int32),
-                        target=target[own],
+                        rows=(rows[part] * 2 + target[own][rows[part]]).astype(np.int32),
                         hot_at=own_hot,
                         hot_n=by_side[own_hot],
                         **more,
@@ -162,35 +166,40 @@ def _difference(context: np.ndarray, target: np.ndarray, other: np.ndarray, voca
     return np.where(context, 1.0, -1.0) * (np.log(target + mass) - np.log(other + mass))
 
 
-_SUMS = "block long, sums binary, hot_at binary, hot_n binary, ids binary, texts binary, tokens binary"
+_SUMS = "block long, rows binary, sums binary, hot_at binary, hot_n binary, ids binary, texts binary, tokens binary"
 
 
 def _bucket_sums(vocabulary: float) -> Callable[[pa.Table], pa.Table]:
-    """All n-grams of a bucket: counts over all blocks, then a sum per block and row.
+    """All n-grams of a bucket: counts over all blocks, then a sum for each text of a block that has any.
 
     The last row of the result has the counts of the bucket's hot n-grams.
     """
 
     def run(table: pa.Table) -> pa.Table:
         get = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-        per_row, target = get("per_row", np.int32), get("target", np.uint8)
-        sizes = np.array([len(x) for x in per_row])
+        places = get("rows", np.int32)
+        block = np.repeat(np.arange(len(places)), [len(x) for x in places])
         keys = np.concatenate(get("keys", np.uint32)).astype(_U) | np.concatenate(get("ends", np.uint8)).astype(_U) << _U(32)
         counts = np.concatenate(get("counts", np.int32)).astype(np.float64)
-        row = np.repeat(np.arange(sizes.sum()), np.concatenate(per_row))
-        own = np.concatenate(target)[row].astype(bool)
+        place = np.concatenate(places)
+        own = (place & 1).astype(bool)
         values, at = np.unique(keys, return_inverse=True)
         of_target = np.bincount(at, np.where(own, counts, 0), len(values))[at]
         of_other = np.bincount(at, np.where(own, 0, counts), len(values))[at]
         gain = _difference((keys & _U(1)).astype(bool), of_target - np.where(own, counts, 0), of_other - np.where(own, 0, counts), vocabulary)
-        sums = np.bincount(row, gain * counts, int(sizes.sum())).astype(np.float64)
-        packed = [_packed(x) for x in np.split(sums, np.cumsum(sizes)[:-1])]
+        # places ascend within a block, so the n-grams of a text are neighbours
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        sums = np.add.reduceat(gain * counts, first) if len(first) else np.zeros(0)
+        cuts = np.searchsorted(block[first], np.arange(1, len(places)))
+        packed = [[_packed(x) for x in np.split(values, cuts)] for values in (place[first] >> 1, sums)]
         hot, at = np.unique(np.concatenate(get("hot_at", np.int64)), return_inverse=True)
         hot_n = np.bincount(at, np.concatenate(get("hot_n", np.int64)), len(hot)).astype(np.int64)
-        last = {"block": [-1], "sums": [None], "hot_at": [_packed(hot)], "hot_n": [_packed(hot_n)]}
+        last = {"block": [-1], "hot_at": [_packed(hot)], "hot_n": [_packed(hot_n)]}
         rest = ("ids", "texts", "tokens")
-        nothing = [None] * len(packed)
-        rows = {"block": table.column("block").to_pylist(), "sums": packed, "hot_at": nothing, "hot_n": nothing}
+        nothing = [None] * len(places)
+        rows = {"block": table.column("block").to_pylist(), "rows": packed[0], "sums": packed[1], "hot_at": nothing, "hot_n": nothing}
         rows |= {c: table.column(c).to_pylist() for c in rest}
         kinds = pa.schema([(c, pa.int64() if c == "block" else pa.binary()) for c in rows])
         return pa.table({c: v + last.get(c, [None]) for c, v in rows.items()}, schema=kinds)
@@ -203,8 +212,10 @@ _SCORED = "doc_id long, key long, n_tokens long, rare double"
 
 def _block_sums(table: pa.Table) -> pa.Table:
     """The sums of a block's rows over all buckets."""
-    total = np.sum([np.frombuffer(x) for x in table.column("sums").to_pylist()], axis=0)
     ids, texts, tokens = (next(np.frombuffer(x, np.int64) for x in table.column(c).to_pylist() if x is not None) for c in ("ids", "texts", "tokens"))
+    total = np.zeros(len(ids))
+    for rows, sums in zip(*(table.column(c).to_pylist() for c in ("rows", "sums")), strict=True):
+        total[np.frombuffer(rows, np.int32)] += np.frombuffer(sums)
     return pa.table({"doc_id": ids, "key": texts, "n_tokens": tokens, "rare": total})
 
 
@@ -253,7 +264,8 @@ def scored(docs: DataFrame, labels: DataFrame, vocabulary: float | None = None)
     vocabulary = float(vocabulary or seen.get["words"])
 
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flagged = docs.join(target, "doc_id", "left").select("doc_id", "key", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    # texts and labels meet by doc_id at every size: the blocks below stand on sorted partitions
+    flagged = docs.join(target.hint("merge"), "doc_id", "left").select("doc_id", "key", F.coalesce("target", F.lit(False)).alias("target"), "text")
     sent = flagged.sortWithinPartitions("doc_id", "key").mapInArrow(_deal(hot, buckets), _SENT)
     sums = written(sent.groupBy("bucket").applyInArrow(_bucket_sums(vocabulary), _SUMS), "sums")
 
