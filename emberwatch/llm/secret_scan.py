@@ -10,8 +10,11 @@ opened again; the list is done when no layer gives a new one.
 Kinds and rules are those of ``PATTERNS``; a match that fails its length is dropped and not tried
 again. Spans count code points, with the end exclusive.
 
-A compressed stream is opened up to ``MAX_BYTES`` bytes, which is what bounds a task's memory; a
-stream with more is scanned up to there and counted in ``n_cut``. Nothing else is cut.
+Compressed streams are found anywhere in decoded bytes and opened member by member, a damaged one
+up to the damage. Bytes need not be clean: those that are no UTF-8 stand as U+FFFD, and UTF-16 is
+read too. A stream's content is scanned whole, in pieces of ``MAX_BYTES`` that overlap by a quarter,
+which is what bounds a task's memory; ``n_cut`` counts the streams that took more than one piece.
+In those, a match or wrapped blob longer than the overlap (16 MB) may be seen in parts only.
 
 Nulls and edges: a null text counts as empty. Other columns pass through untouched.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import html
 import lzma
 import re
@@ -48,7 +52,15 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&(?:quot|apos|amp|lt|gt|equals|colon|lowbar);")
 _ONE_ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f�]")
+_HEADS = re.compile(rb"(?P<gzip>\x1f\x8b\x08[\x00-\x1f])|(?P<zlib>\x78[\x01\x5e\x9c\xda])|(?P<bzip2>BZh[1-9](?:1AY&SY|\x17rE8P\x90))|(?P<xz>\xfd7zXZ\x00)")
+_OPENERS = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
+
+#: Characters of the shortest match, ``token=`` and six; bytes without so many of ASCII in a row hold none, in no layer.
+LEAST = 12
+_PLAIN = re.compile(rb"[\t\r\n\x20-\x7e]{12,}")
+_WIDE = re.compile(rb"((?:[\t\r\n\x20-\x7e]\x00){12,})|(?:\x00[\t\r\n\x20-\x7e]){12,}")
+#: Bytes that are read and unpacked at a time.
+CHUNK, STEP = 16 << 10, 1 << 20
 
 
 @dataclass
@@ -88,50 +100,136 @@ def matches(text: str) -> Iterator[tuple[str, int, int]]:
                 yield kind, m.start(), m.end()
 
 
-def _readable(data: bytes) -> str | None:
-    """The text of readable UTF-8."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if not text or _CONTROL.search(text) else text
-
-
-def _inflated(data: bytes) -> tuple[bytes, str, bool] | None:
-    """What a compressed stream holds, the stream's name, and whether it had more."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            name, stream = "gzip", zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            name, stream = "zlib", zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            name, stream = "bzip2", bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            name, stream = "xz", lzma.LZMADecompressor()
-        else:
-            return None
-        found = stream.decompress(data, MAX_BYTES)
-        return found, name, len(found) == MAX_BYTES and not stream.eof
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-        return None
+def _same(spot: int, n: int) -> np.ndarray:
+    """``n`` times one origin, without the memory."""
+    return np.broadcast_to(np.int64(spot), n)
+
+
+def _utf8(data: bytes, starts: np.ndarray, ends: np.ndarray, via: str) -> Layer:
+    """Bytes, each with its origin, as UTF-8; a byte that is none becomes one U+FFFD."""
+    codes = np.frombuffer(data.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), "<u4")
+    bad = (codes >= 0xD800) & (codes < 0xE000)
+    size = np.where(bad, 1, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))
+    text = np.where(bad, 0xFFFD, codes).astype("<u4").tobytes().decode("utf-32-le")
+    if starts.strides == (0,):
+        return Layer(text, _same(starts[0], len(text)), _same(ends[0], len(text)), via)
+    last = np.cumsum(size)
+    return Layer(text, starts[last - size], ends[last - 1], via)
+
+
+def _utf16(data: bytes, starts: np.ndarray, ends: np.ndarray, order: str, at: int, via: str) -> Layer:
+    """The same as UTF-16 from byte ``at`` on, a character a unit."""
+    units = np.frombuffer(data, f"{order}u2", (len(data) - at) // 2, at).astype("<u4")
+    text = np.where((units >= 0xD800) & (units < 0xE000), 0xFFFD, units).astype("<u4").tobytes().decode("utf-32-le")
+    end = at + 2 * len(units)
+    return Layer(text, starts[at:end:2], ends[at + 1 : end : 2], via)
+
+
+def _wide(data: bytes, starts: np.ndarray, ends: np.ndarray, via: str) -> Iterator[tuple[Layer, int]]:
+    """The UTF-16 texts in bytes."""
+    if b"\0" in data:
+        for order, at in sorted({("<" if m.group(1) else ">", m.start() % 2) for m in _WIDE.finditer(data)}):
+            yield _utf16(data, starts, ends, order, at, via), 0
+
+
+def _texts(data: bytes, starts: np.ndarray, ends: np.ndarray, via: str) -> Iterator[tuple[Layer, int]]:
+    """The texts that bytes may be, where they are long enough to hold a match."""
+    if _PLAIN.search(data):
+        yield _utf8(data, starts, ends, via), 0
+    yield from _wide(data, starts, ends, via)
+
 
+def _head(data: bytes) -> str | None:
+    """The name of the compressed stream that begins like this."""
+    m = _HEADS.match(data)
+    return m and m.lastgroup
 
-def _from_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray, via: str) -> tuple[Layer | None, int]:
-    """Bytes, each with its origin, as a layer, and how many streams had more than is opened.
+
+def _sliced(data: bytes, start: int) -> Iterator[bytes]:
+    return (data[i : i + CHUNK] for i in range(start, len(data), CHUNK))
+
+
+def _members(source: Iterator[bytes], ends: list[int]) -> Iterator[bytes]:
+    """What the members of a compressed stream hold, in steps, up to the first byte that belongs to none or is damaged.
+
+    ``ends`` gets how many bytes of the source whole members take, and how many were read of all.
+    """
+    data, read = b"", 0
+    while True:
+        while len(data := data.lstrip(b"\0")) < 10 and (more := next(source, b"")):
+            data, read = data + more, read + len(more)
+        name = _head(data)
+        if not name:
+            ends[1] = ends[0]
+            return
+        stream = _OPENERS[name]()
+        try:
+            while not stream.eof:
+                found = stream.decompress(data, STEP)
+                data = stream.unused_data if stream.eof else getattr(stream, "unconsumed_tail", b"")
+                if found:
+                    yield found
+                elif not stream.eof and not data:
+                    data = next(source, b"")
+                    read += len(data)
+                    if not data:
+                        ends[1] = read
+                        return
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+            ends[1] = read
+            return
+        ends[0] = read - len(data)
+
+
+def _pieces(steps: Iterator[bytes]) -> Iterator[bytes]:
+    """Steps in pieces of about MAX_BYTES that overlap by a quarter, from a line's start where there is one."""
+    piece, overlap, size = [], MAX_BYTES // 4, 0
+    for step in steps:
+        piece.append(step)
+        size += len(step)
+        while size > MAX_BYTES:
+            whole = b"".join(piece)
+            data, at = whole[:MAX_BYTES], MAX_BYTES - overlap
+            yield data
+            at = data.rfind(b"\n", at - overlap, at) + 1 or at
+            piece, size = [whole[at:]], size - at
+    if size:
+        yield b"".join(piece)
+
+
+def _streams(data: bytes, start: int) -> Iterator[tuple[str, bytes, bool]]:
+    """What the stream at ``start`` holds, and the streams in it: their names, a piece, and whether it is a second one."""
+    opened, known, names, head = lambda: _sliced(data, start), set(), "", data[start : start + 10]
+    while name := _head(head):
+        names = f"{names}>{name}"
+        opened = lambda inner=opened: _members(inner(), [0, 0])
+        n, first = 0, b""
+        for n, piece in enumerate(_pieces(opened()), 1):
+            first = first or piece
+            yield names, piece, n == 2
+        mark = hashlib.blake2b(first).digest()
+        if mark in known:
+            return
+        known.add(mark)
+        if n == 1:
+            opened = lambda whole=first: _sliced(whole, 0)
+        head = first[:10]
+
+
+def _from_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray, via: str) -> Iterator[tuple[Layer | None, int]]:
+    """Layers of the compressed streams that begin anywhere in bytes, each with 1 where a stream proves longer than a piece.
 
     What a compressed stream gives comes from the stream as a whole.
     """
-    cut, known = 0, set()
-    while (opened := _inflated(data)) and data not in known:
-        known.add(data)
-        data, name, more = opened
-        via, cut = f"{via}>{name}", cut + more
-        starts, ends = np.full(len(data), starts.min()), np.full(len(data), ends.max())
-    text = _readable(data)
-    if text is None:
-        return None, cut
-    first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    return Layer(text, starts[first], ends[np.append(first[1:], len(data)) - 1], via), cut
+    at = 0
+    while m := _HEADS.search(data, at):
+        at, size = m.start(), [0, 0]
+        if any([bool(step) for step in _members(_sliced(data, at), size)]):
+            begin, end = int(starts[at : at + size[1]].min()), int(ends[at : at + size[1]].max())
+            for names, piece, cut in _streams(data, at):
+                yield None, int(cut)
+                yield from _texts(piece, _same(begin, len(piece)), _same(end, len(piece)), via + names)
+        at += max(size[0], 1)
 
 
 def _replaced(layer: Layer, runs: list[tuple[int, int, Layer]], via: str) -> Layer:
@@ -148,25 +246,30 @@ def _replaced(layer: Layer, runs: list[tuple[int, int, Layer]], via: str) -> Lay
     return Layer("".join([*text, layer.text[at:]]), starts, ends, f"{layer.via}>{via}")
 
 
-def _percent(layer: Layer) -> tuple[list[Layer], int]:
+def _percent(layer: Layer) -> Iterator[tuple[Layer | None, int]]:
     if "%" not in layer.text:
-        return [], 0
-    runs, apart, cut = [], [], 0
+        return
+    runs = []
     for m in _PERCENT.finditer(layer.text):
         data = bytes.fromhex(m.group().replace("%", ""))
         starts, ends = layer.spots(m.start(), m.end())
-        inner, more = _from_bytes(data, starts.reshape(-1, 3).min(axis=1), ends.reshape(-1, 3).max(axis=1), f"{layer.via}>url")
-        cut += more
-        if inner:
-            runs.append((m.start(), m.end(), inner))
+        starts, ends, via = starts.reshape(-1, 3).min(axis=1), ends.reshape(-1, 3).max(axis=1), f"{layer.via}>url"
+        inner = _utf8(data, starts, ends, via)
+        if _head(data):
+            # a name beside the run and the value in its stream stay side by side
+            opened = next((new for new, _ in _from_bytes(data, starts, ends, via) if new), inner)
+            inner = opened if len(opened.text) < MAX_BYTES else inner
+        if len(data) >= LEAST:
+            yield from _from_bytes(data, starts, ends, via)
+            yield from _wide(data, starts, ends, via)
+        runs.append((m.start(), m.end(), inner))
     if runs:
-        apart.append(_replaced(layer, runs, "url"))
-    return apart, cut
+        yield _replaced(layer, runs, "url"), 0
 
 
-def _escapes(layer: Layer) -> tuple[list[Layer], int]:
+def _escapes(layer: Layer) -> Iterator[tuple[Layer | None, int]]:
     if "\\" not in layer.text and "&" not in layer.text:
-        return [], 0
+        return
     runs = []
     for m in _ESCAPE.finditer(layer.text):
         if m.group()[0] == "&":
@@ -183,25 +286,32 @@ def _escapes(layer: Layer) -> tuple[list[Layer], int]:
         if len(text) != len(units) or any(0xD800 <= ord(c) < 0xE000 for c in text):
             continue
         runs.append((m.start(), m.end(), _layer(text, [layer.source(start, end) for _, start, end in units], layer.via)))
-    return ([_replaced(layer, runs, "unicode")] if runs else []), 0
+    if runs:
+        yield _replaced(layer, runs, "unicode"), 0
 
 
-def _base64(layer: Layer) -> tuple[list[Layer], int]:
-    found, cut = [], 0
+def _base64(layer: Layer) -> Iterator[tuple[Layer | None, int]]:
     for m in _BASE64.finditer(layer.text):
         run = m.group().rstrip("=").translate({45: 43, 95: 47})
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        data = base64.b64decode(run + "=" * (-len(run) % 4))
-        if data[:1] > b"\x7f" and data[:1] < b"\xc2" or (data[:1] < b"\t" and data[:1] != b""):
+        if len(run) < 16:
             continue
+        starts, ends = layer.spots(m.start(), m.start() + len(run))
+        data = base64.b64decode(run[: len(run) - (len(run) % 4 == 1)] + "=" * (-(len(run) - (len(run) % 4 == 1)) % 4))
         # byte i comes from the characters that hold its first and its last bit
-        starts, ends = layer.spots(m.start(), m.end())
-        bits = np.arange(len(data)) * 8
-        inner, more = _from_bytes(data, starts[bits // 6], ends[(bits + 7) // 6], f"{layer.via}>base64")
-        cut += more
-        if inner:
-            found.append(inner)
-    return found, cut
+        via = f"{layer.via}>base64"
+        if starts.strides == (0,):
+            starts, ends = _same(starts[0], len(data)), _same(ends[0], len(data))
+        else:
+            bits = np.arange(len(data)) * 8
+            starts, ends = starts[bits // 6], ends[(bits + 7) // 6]
+        yield from _from_bytes(data, starts, ends, via)
+        yield from _texts(data, starts, ends, via)
+
+
+def _inner(layer: Layer) -> Iterator[tuple[Layer | None, int]]:
+    """What is wrapped in a layer, one after another, and 1 for a stream that is longer than a piece."""
+    for unwrap in (_percent, _escapes, _base64):
+        yield from unwrap(layer)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int]:
@@ -210,20 +320,25 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int]:
     ``via`` names the layers that a span was found through; it is empty for the text itself.
     """
     found: dict[tuple[int, int, int], str] = {}
-    work, known, cut = [Layer(text, None, None, "")], set(), 0
+    work, known, cut = [(Layer(text, None, None, ""), None)], set(), 0
     while work:
-        layer = work.pop()
-        for kind, start, end in matches(layer.text):
-            start, end = layer.source(start, end)
-            found.setdefault((start, KINDS.index(kind), end), layer.via.lstrip(">"))
-        for unwrap in (_percent, _escapes, _base64):
-            inner, more = unwrap(layer)
+        layer, news = work.pop()
+        if layer:
+            for kind, start, end in matches(layer.text):
+                start, end = layer.source(start, end)
+                found.setdefault((start, KINDS.index(kind), end), layer.via.lstrip(">"))
+            news = _inner(layer)
+            del layer
+        for new, more in news:
             cut += more
-            for new in inner:
-                mark = (new.text, int(new.starts[0]), int(new.ends[-1]))
-                if mark not in known:
-                    known.add(mark)
-                    work.append(new)
+            if new is None:
+                continue
+            mark = (hashlib.blake2b(new.text.encode()).digest(), int(new.starts[0]), int(new.ends[-1]))
+            if mark not in known:
+                known.add(mark)
+                # the rest comes after what is in this one, so that one piece a level is held
+                work += [(None, news), (new, None)]
+                break
     return sorted((*span, via) for span, via in found.items()), cut
 
 

@@ -5,6 +5,7 @@ import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import re
@@ -284,6 +285,41 @@ def test_secret_cut_streams(monkeypatch):
     assert secret_scan.scan(f"see {bomb}")[1] == 1
 
 
+def _wrapped(data):
+    return "see " + base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize("packed", [gzip.compress, bz2.compress, lzma.compress, zlib.compress])
+def test_secret_members(packed):
+    blob = packed(b"nothing here " * 9) + packed(SECRET.encode())
+    assert {k for _, k, _, _ in secret_scan.scan(_wrapped(blob))[0]} == {0, 2}
+    assert secret_scan.scan(_wrapped(b"\x00\x01\x02" + blob))[0]
+    # the second layer of a stream, and what comes before a damaged place
+    assert secret_scan.scan(_wrapped(packed(blob)))[0]
+    noise = random.Random(3).randbytes(40_000)
+    assert secret_scan.scan(_wrapped(gzip.compress(SECRET.encode() + noise)[:-20_000]))[0]
+
+
+def test_secret_in_every_piece(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_BYTES", 1000)
+    for before in (0, 700, 990, 1500, 2990, 9000):
+        for fill in (b"a ", b"\xc3\xa9", b"-\n"):
+            blob = gzip.compress((fill * 5000)[:before] + b" " + SECRET.encode() + b" " + fill * 3000)
+            found, cut = secret_scan.scan(_wrapped(blob))
+            assert {k for _, k, _, _ in found} == {0, 2} and cut == 1
+            assert secret_scan.scan(_wrapped(gzip.compress(blob)))[0]
+
+
+def test_secret_bytes_not_clean():
+    for data in (SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), b"\xff\x00\x07 " + SECRET.encode() + b"\x01\xe9", f"é中 {SECRET} 中".encode("utf-16-le"), f"é中 {SECRET} 中".encode("utf-16-be")):
+        assert {k for _, k, _, _ in secret_scan.scan(_wrapped(data))[0]} == {0, 2}
+        assert {k for _, k, _, _ in secret_scan.scan(_wrapped(gzip.compress(data)))[0]} == {0, 2}
+        assert {k for _, k, _, _ in secret_scan.scan("see " + "".join(f"%{b:02x}" for b in data))[0]} == {0, 2}
+    found = secret_scan.scan(_wrapped(b"\xff\xfe\x01" + b"password=abcdefgh" + b"\xff"))[0]
+    # bytes 3 to 20 of the blob, which starts at the fifth character
+    assert [(s, e) for s, _, e, _ in found] == [(8, 31)]
+
+
 # byte-level BPE
 
 
