@@ -10,6 +10,10 @@ opened again; the list is done when no layer gives a new one.
 Kinds and rules are those of ``PATTERNS``; a match that fails its length is dropped and not tried
 again. Spans count code points, with the end exclusive.
 
+A base64 run is decoded at all four alignments, as text may be glued to its front. Runs that only line
+breaks separate are decoded each and joined, since lines may be one blob or several; a secret over
+a line's end can so be listed whole and in part.
+
 Compressed streams are found anywhere in decoded bytes and opened member by member, a damaged one
 up to the damage. Bytes need not be clean: those that are no UTF-8 stand as U+FFFD, and UTF-16 is
 read too. A stream's content is scanned whole, in pieces of ``MAX_BYTES`` that overlap by a quarter,
@@ -51,7 +55,10 @@ MAX_BYTES = 64 << 20
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&(?:quot|apos|amp|lt|gt|equals|colon|lowbar);")
 _ONE_ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+#: Runs that only line breaks separate.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+[\r\n][\x20\t\r\n]*+[A-Za-z0-9+/_-]++)++")
+_BREAKS = re.compile(r"[\x20\t\r\n]+")
 _HEADS = re.compile(rb"(?P<gzip>\x1f\x8b\x08[\x00-\x1f])|(?P<zlib>\x78[\x01\x5e\x9c\xda])|(?P<bzip2>BZh[1-9](?:1AY&SY|\x17rE8P\x90))|(?P<xz>\xfd7zXZ\x00)")
 _OPENERS = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
 
@@ -290,22 +297,40 @@ def _escapes(layer: Layer) -> Iterator[tuple[Layer | None, int]]:
         yield _replaced(layer, runs, "unicode"), 0
 
 
-def _base64(layer: Layer) -> Iterator[tuple[Layer | None, int]]:
-    for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=").translate({45: 43, 95: 47})
-        if len(run) < 16:
+def _decoded(run: str, starts: np.ndarray, ends: np.ndarray, via: str) -> Iterator[tuple[Layer | None, int]]:
+    """Layers of a run of base64 that may begin at any of its first four characters."""
+    run = run.translate({45: 43, 95: 47})
+    for skip in range(4):
+        n = len(run) - skip
+        n -= n % 4 == 1
+        data = base64.b64decode(run[skip : skip + n] + "=" * (-n % 4))
+        if not (_PLAIN.search(data) or _HEADS.search(data) or _WIDE.search(data)):
             continue
-        starts, ends = layer.spots(m.start(), m.start() + len(run))
-        data = base64.b64decode(run[: len(run) - (len(run) % 4 == 1)] + "=" * (-(len(run) - (len(run) % 4 == 1)) % 4))
-        # byte i comes from the characters that hold its first and its last bit
-        via = f"{layer.via}>base64"
         if starts.strides == (0,):
-            starts, ends = _same(starts[0], len(data)), _same(ends[0], len(data))
+            first, last = _same(starts[0], len(data)), _same(ends[0], len(data))
         else:
+            # byte i comes from the characters that hold its first and its last bit
             bits = np.arange(len(data)) * 8
-            starts, ends = starts[bits // 6], ends[(bits + 7) // 6]
-        yield from _from_bytes(data, starts, ends, via)
-        yield from _texts(data, starts, ends, via)
+            first, last = starts[skip + bits // 6], ends[skip + (bits + 7) // 6]
+        yield from _from_bytes(data, first, last, via)
+        yield from _texts(data, first, last, via)
+
+
+def _base64(layer: Layer) -> Iterator[tuple[Layer | None, int]]:
+    via = f"{layer.via}>base64"
+    for m in _BASE64.finditer(layer.text):
+        yield from _decoded(m.group(), *layer.spots(*m.span()), via)
+    if "\n" not in layer.text and "\r" not in layer.text:
+        return
+    for m in _LINES.finditer(layer.text):
+        run = _BREAKS.sub("", m.group())
+        if len(run) < 16:
+            continue
+        starts, ends = layer.spots(*m.span())
+        if starts.strides != (0,):
+            own = np.frombuffer(m.group().encode(), np.uint8) > 0x20
+            starts, ends = starts[own], ends[own]
+        yield from _decoded(run, starts, ends, via)
 
 
 def _inner(layer: Layer) -> Iterator[tuple[Layer | None, int]]:

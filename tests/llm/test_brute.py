@@ -319,6 +319,30 @@ def test_secret_bytes_not_clean():
     # bytes 3 to 20 of the blob, which starts at the fifth character
     assert [(s, e) for s, _, e, _ in found] == [(8, 31)]
 
+@pytest.mark.parametrize("glued", ["", "a", "com/r/", "com/path-", "x_", "id/ab/cd/"])
+def test_secret_glued_base64(glued):
+    for data in (SECRET.encode(), gzip.compress(SECRET.encode())):
+        text = base64.b64encode(data).decode().rstrip("=")
+        whole = f"go https://example.{glued}{text}"
+        found = [(s, e) for s, k, e, _ in secret_scan.scan(whole)[0] if k == 0]
+        assert found and all(len(whole) - len(text) <= s < e <= len(whole) for s, e in found)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\n\n"])
+@pytest.mark.parametrize("width", [9, 64, 76])
+def test_secret_wrapped_base64(end, width):
+    noise = random.Random(4).randbytes(600)
+    for data in (noise + b" " + SECRET.encode() + b" " + noise, gzip.compress(noise + SECRET.encode())):
+        text = base64.b64encode(data).decode()
+        blob = end.join(text[i : i + width] for i in range(0, len(text), width))
+        for front in ("see:\n", "word\n", ""):
+            whole = f"{front}{blob}\nthe end"
+            found = [(s, e) for s, k, e, _ in secret_scan.scan(whole)[0] if k == 0]
+            assert any("".join(whole[s:e].split()) in text and e - s >= 57 for s, e in found)
+    # lines that are blobs of their own
+    lines = [base64.b64encode(x).decode() for x in (b"password=abcdef123", b"token=zzzzzzzzzzzz")]
+    assert {(0, 24), (25, 49)} <= {(s, e) for s, _, e, _ in secret_scan.scan("\n".join(lines))[0]}
+
 
 # byte-level BPE
 
