@@ -104,6 +104,29 @@ def test_pii_adds_only_what_looks_alike(spark):
     assert found[901].spans == ""
 
 
+PLAIN = [(i, f"The {w} is here, and 12 of them are at 10.30, look @ it, v1.2 of 2024.") for i, w in enumerate(("house", "tree", "road") * 20, 1000)]
+HIDDEN = [
+    (1, "mail name (at) site (dot) org now", "email:5:29"),
+    (2, "write to name @ site.org, please", "email:9:24"),
+    (3, "host 10[.]20[.]0[.]9 is up", "ip:5:20"),
+    (4, "call +1/187/555/8851 today", "phone:6:20"),
+    (5, "we are user (at) home or user @ home today", ""),
+    (6, "host 10[.]20[.]0[.]999 is up", ""),
+    (7, "pay 4111.1111.1111.1111 now", "card:4:23"),
+    (8, "pay 4111.1111.1111.1112 now", ""),
+]
+
+
+@pytest.mark.parametrize("others", ["none", "plain", "documents"])
+def test_pii_adds_hidden_spans(spark, docs, others):
+    own = [(-i, text) for i, text, _ in HIDDEN]
+    rows = table(spark, own + PLAIN * (others == "plain"))
+    rows = rows.union(docs.select("doc_id", "text")) if others == "documents" else rows
+    found = by_id(pii.summary(rows).collect())
+    assert {i: found[-i].spans for i, *_ in HIDDEN} == {i: spans for i, _, spans in HIDDEN}
+    assert not any(found[i].spans for i, _ in PLAIN * (others == "plain"))
+
+
 # language models
 
 
