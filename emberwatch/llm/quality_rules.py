@@ -2,7 +2,7 @@
 
 Every line is judged by itself: punctuation (symbols, shouting, separators, crumbs without an end),
 navigation (menus, tables of links, the same word again and again) and boilerplate (notices that
-sites put on every page). Failing lines are removed; a document that loses more than ``MOST_LOST``
+sites put on every page, where they make up a good share of the line's words). Failing lines are removed; a document that loses more than ``MOST_LOST``
 of its words' characters with them is rejected, and so is one that fails the base rules on its
 words. All measures are array and string functions within a row: nothing is shuffled.
 
@@ -27,6 +27,8 @@ SYMBOLS = "#*$%&|<>"
 MOST_LOST = 0.3
 #: Share of a line's words that may hold a symbol, end in a doubled mark, or repeat the word before.
 MOST_MARKED = 0.3
+#: Share of a line's words that lie in notices, from which on it is one.
+NOTICE_SHARE = 0.2
 #: A line of fewer words needs an end mark.
 CRUMB_WORDS = 3
 
@@ -102,10 +104,19 @@ def _line_fails(line: Column) -> Column:
         crumb = (n < CRUMB_WORDS) & ~F.rtrim(line).rlike(_END_MARK)
         return symbols | doubled | again | crumb
 
+    def noticed(low: Column) -> Column:
+        """Words of the notices in a line."""
+        found = F.lit(0)
+        for phrase in BOILERPLATE:
+            times = F.size(F.split(low, phrase, -1)) - 1
+            found = found + F.when(low.contains(phrase), times * len(phrase.split())).otherwise(0)
+        return found
+
     low = F.lower(line)
-    notice = F.lit(False)
+    any_notice = F.lit(False)
     for phrase in BOILERPLATE:
-        notice = notice | low.contains(phrase)
+        any_notice = any_notice | low.contains(phrase)
+    notice = any_notice & (let(low, noticed) >= F.size(_words(line)) * NOTICE_SHARE)
     return notice | let(_words(line), rules)
 
 

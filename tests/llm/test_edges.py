@@ -116,3 +116,11 @@ def test_url_ties_and_order(spark):
     assert pick(Rule("allow", "b", "/cd"), Rule("block", "a.b", "/")).rule == "a.b/"
     assert pick(Rule("allow", "a.b", "/c"), Rule("block", "a.b", "/c")).verdict == "block"
     assert pick(Rule("allow", "b", "/cd"), Rule("block", "a.b", "/c")).rule == "a.b/c"
+
+
+def test_notice_in_a_long_line(spark):
+    prose = " ".join(f"word{i}" for i in range(60))
+    one_line = f"{prose} and a click here opens it, {prose.replace('word', 'term')}."
+    texts = {1: one_line, 2: f"{one_line}\nMore of the same.", 3: f"{prose}.\nPlease click here to go on.", 4: f"{prose}.\nBy use of this site you accept our Terms of Use and the Privacy Policy of ours."}
+    kept = {r.doc_id: r.text for r in quality_rules.cleaned(table(spark, list(texts.items()))).collect()}
+    assert kept == {1: texts[1], 2: texts[2], 3: f"{prose}.", 4: f"{prose}."}
