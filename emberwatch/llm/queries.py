@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import byte_bpe, decontamination, line_dedup, lm_scoring, near_dedup, pii, quality_rules, secret_scan, token_counts, url_filters
+from emberwatch.llm import (
+    byte_bpe,
+    decontamination,
+    hard_negatives,
+    lexical_search,
+    line_dedup,
+    lm_scoring,
+    near_dedup,
+    pii,
+    quality_rules,
+    secret_scan,
+    spot_signatures,
+    token_counts,
+    url_filters,
+)
 from emberwatch.llm.common import read_table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +70,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.summary(read_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.summary(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, QueryFunction] = {
     "op1_url_filters": op1_url_filters,
     "op2_pii": op2_pii,
@@ -67,6 +93,9 @@ QUERIES: dict[str, QueryFunction] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_spot_signatures": op11_spot_signatures,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,4 +104,7 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op10_minhash_near_dedup": near_dedup.ORACLE,
+    "op11_spot_signatures": spot_signatures.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }

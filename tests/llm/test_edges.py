@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from corpus_cases import CLASHING, LONG, ODD_TEXTS, RUN, table
 
-from emberwatch.llm import byte_bpe, common, decontamination, line_dedup, lm_scoring, near_dedup, pii, quality_rules, secret_scan, token_counts, url_filters
+from emberwatch.llm import byte_bpe, common, decontamination, line_dedup, lm_scoring, near_dedup, pii, quality_rules, secret_scan, spot_signatures, token_counts, url_filters
 
 RANKS, PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -29,6 +29,7 @@ OPERATORS = {
     "secret_scan": secret_scan.summary,
     "byte_bpe": lambda d: byte_bpe.summary(d, RANKS, public_tokenizers.PATTERN),
     "near_dedup": near_dedup.near_duplicates,
+    "spot_signatures": spot_signatures.summary,
 }
 
 
