@@ -149,21 +149,37 @@ def following(ids: DataFrame) -> DataFrame:
     return found.select("doc_id", "key", F.col("next.doc_id").alias("next_id"), F.col("next.key").alias("next_key"))
 
 
+def _packed(found: Column) -> Column:
+    """Signatures as bytes, half as long as their digits; this is what moves."""
+    return F.unhex(F.array_join(found, ""))
+
+
+def _unpacked(packed: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.hex(packed)), F.lit(f".{{{DIGITS}}}"), F.lit(0))
+
+
 def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, text and of each row: ``tail``, the start of the next text that replaces its end, and ``next``, that text's signatures."""
+    """doc_id and text of each row, ``tail``, the start of the next text that replaces its end, and ``next``, that text's signatures.
+
+    Rows go by ``ident``, the id with null as 0, and ``key``, a hash of the text whose lowest bit says that the id is
+    null. Both joins are plain equalities over the very same columns of the texts, so one exchange of these serves both.
+    """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = named.withColumn("key", text_key(F.col("text")))
-    light = texts.select("doc_id", "key", F.char_length("text").alias("n_chars")).distinct()
-    light = written(light, "lengths")
-    after = following(light.select("doc_id", "key"))
-    same = lambda ident, key: F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col("key") == F.col(key))
-    lengths = light.select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"), "n_chars")
-    before = after.join(lengths, same("of_id", "of_key")).select("of_id", "of_key", "n_chars", "next_id", "next_key")
-    given = texts.join(before.hint("shuffle_hash"), same("next_id", "next_key"))
+    zero = F.lit(0).cast("long")
+    key = F.shiftleft(text_key(F.col("text")), 1) + F.col("doc_id").isNull().cast("long")
+    texts = named.select(F.coalesce("doc_id", zero).alias("ident"), key.alias("key"), "text")
+    doc_id = F.when(F.col("key").bitwiseAND(1) == 0, F.col("ident"))
+    light = written(texts.select("ident", "key", F.char_length("text").alias("n_chars")).distinct(), "lengths")
+    lengths = light.select(F.col("ident").alias("of_ident"), F.col("key").alias("of_key"), "n_chars")
+    before = following(light.select(doc_id.alias("doc_id"), "key")).select(
+        F.coalesce("doc_id", zero).alias("of_ident"), F.col("key").alias("of_key"), F.coalesce("next_id", zero).alias("ident"), F.col("next_key").alias("key")
+    )
+    before = before.join(lengths, ["of_ident", "of_key"])
+    given = texts.join(before.hint("shuffle_hash"), ["ident", "key"])
     start = F.left("text", F.floor(F.col("n_chars") / 3).cast("int"))
-    given = given.select("of_id", "of_key", start.alias("tail"), signatures(F.col("text")).alias("next"))
-    given = given.dropDuplicates(["of_id", "of_key"])
-    return texts.join(given, same("of_id", "of_key")).select("doc_id", "text", "tail", "next")
+    given = given.select(F.col("of_ident").alias("ident"), F.col("of_key").alias("key"), start.alias("tail"), _packed(signatures(F.col("text"))).alias("next"))
+    found = texts.join(given.dropDuplicates(["ident", "key"]), ["ident", "key"])
+    return found.select(doc_id.alias("doc_id"), "text", "tail", _unpacked(F.col("next")).alias("next"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
