@@ -20,6 +20,8 @@ from emberwatch.session import INPUT_PARTITIONS, STATIC_SETTINGS
 HEADLINES = [
     "sigma_prefilter",
     "sigma_detect",
+    "sigma_detect_bundle",
+    "sigma_detect_count",
     "matches_per_event",
     "match_explain",
     "signature_scan",

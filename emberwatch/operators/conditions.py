@@ -58,22 +58,30 @@ def split_count(condition: str) -> tuple[str, CountTest | None]:
 _NAME = re.compile(r"[\w*.-]+")
 
 
-def condition(text: str, selections: dict[str, Column]) -> Column:
-    """``sel and not 1 of filter_*`` to a Column.
+@dataclass(frozen=True)
+class Node:
+    """``and``, ``or`` or ``not`` over parts, which are nodes or names of selections; ``or`` of nothing is never true."""
+
+    kind: str
+    parts: tuple[Node | str, ...]
+
+
+def condition_tree(text: str, names: list[str]) -> Node | str:
+    """``sel and not 1 of filter_*`` as a tree over selection names.
 
     Quantifiers become terms of their own, and every term a neutral name; the
     rest is the grammar of Python's boolean expressions, so Python's ``ast``
     gives precedence and brackets, whatever the selections are called.
     """
-    columns = [two_valued(c) for c in selections.values()]
-    places = {name.lower(): i for i, name in enumerate(selections)}
+    terms: list[Node | str] = list(names)
+    places = {name.lower(): i for i, name in enumerate(names)}
 
     def quantified(match: re.Match) -> str:
         amount, pattern = match.groups()
-        fold = all_of if amount.lower() == "all" else any_of
-        columns.append(fold([two_valued(selections[n]) for n in selected(list(selections), pattern)]))
-        places[f"quantified{len(columns)}"] = len(columns) - 1
-        return f"quantified{len(columns)}"
+        chosen = tuple(selected(names, pattern))
+        terms.append(Node("and" if chosen and amount.lower() == "all" else "or", chosen))
+        places[f"quantified{len(terms)}"] = len(terms) - 1
+        return f"quantified{len(terms)}"
 
     def neutral(match: re.Match) -> str:
         word = match.group().lower()
@@ -88,14 +96,27 @@ def condition(text: str, selections: dict[str, Column]) -> Column:
     except SyntaxError as error:
         raise ValueError(f"unsupported condition: {text}") from error
 
-    def fold(node: ast.expr) -> Column:
+    def fold(node: ast.expr) -> Node | str:
         if isinstance(node, ast.BoolOp):
-            parts = [fold(value) for value in node.values]
-            return all_of(parts) if isinstance(node.op, ast.And) else any_of(parts)
+            return Node("and" if isinstance(node.op, ast.And) else "or", tuple(fold(value) for value in node.values))
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-            return ~fold(node.operand)
+            return Node("not", (fold(node.operand),))
         if isinstance(node, ast.Name):
-            return columns[int(node.id.removeprefix("term"))]
+            return terms[int(node.id.removeprefix("term"))]
         raise ValueError(f"unsupported condition: {text}")
 
     return fold(tree)
+
+
+def condition(text: str, selections: dict[str, Column]) -> Column:
+    """The tree of a condition as one Column."""
+
+    def fold(node: Node | str) -> Column:
+        if isinstance(node, str):
+            return two_valued(selections[node])
+        parts = [fold(part) for part in node.parts]
+        if node.kind == "not":
+            return ~parts[0]
+        return all_of(parts) if node.kind == "and" else any_of(parts)
+
+    return fold(condition_tree(text, list(selections)))

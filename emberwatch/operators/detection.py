@@ -5,37 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.operators.conditions import CountTest
-from emberwatch.operators.predicates import all_of, any_of, expand_values, one_value, predicate, two_valued
-from emberwatch.operators.rules import CATEGORY_EVENTS, SERVICE_SOURCES, FieldSet, Rule, _values, rule_column
+from emberwatch.operators.bundle import bundle_rows, compile_bundle
+from emberwatch.operators.counting import counted_hits
+from emberwatch.operators.predicates import expand_values, one_value, predicate, two_valued
+from emberwatch.operators.routes import route_test, unknown_source
+from emberwatch.operators.rules import CATEGORY_EVENTS, FieldSet, Rule, _values, rule_column
 from emberwatch.operators.skew import spread
-
-
-def unknown_source(logsource: dict) -> str | None:
-    """Why a Windows log source cannot be routed; such a rule sees no event."""
-    if logsource.get("product", "windows") != "windows":
-        return None
-    for kind, known in (("category", CATEGORY_EVENTS), ("service", SERVICE_SOURCES)):
-        name = logsource.get(kind)
-        if name and name not in known and (logsource.get("product") or kind == "category"):
-            return f"unknown {kind}: {name}"
-    return None
-
-
-def route_test(logsource: dict) -> Column:
-    """Which events a log source lets a rule see."""
-    if unknown_source(logsource):
-        return F.lit(False)
-    tests = []
-    category, service = logsource.get("category"), logsource.get("service")
-    if category in CATEGORY_EVENTS:
-        pairs = CATEGORY_EVENTS[category]
-        tests.append(any_of([(F.col("eventId") == e) & F.col("source").contains(s) for s, e in pairs]))
-    if service in SERVICE_SOURCES and logsource.get("product", "windows") == "windows":
-        tests.append(F.col("source").contains(SERVICE_SOURCES[service]))
-    if logsource.get("product"):
-        tests.append(F.col("platform") == logsource["product"])
-    return two_valued(all_of(tests)) if tests else F.lit(True)
+from emberwatch.session import cut_lineage
 
 
 def problems(rules: list[Rule]) -> dict[str, str]:
@@ -72,16 +48,14 @@ def _hit_arrays(
     route: bool,
     placeholders: dict[str, list[str]] | None,
     mapping: dict[str, str] | None,
-    time: str,
-) -> tuple[DataFrame, Column, list[str], dict[str, Rule]]:
-    """The fields of all rules, a row's hits as one array, the columns to carry, and the rules with a count test."""
-    counted: dict[str, Rule] = {}
+    counting: bool = False,
+) -> tuple[DataFrame, Column]:
+    """The fields of all rules, and a row's hits as one array, with the count's key and value if ``counting``."""
     usable = []
     for rule in rules:
         try:
             if rule.count_test:
                 rule.timeframe  # noqa: B018
-                counted[rule.rule_id] = rule
             usable.append((rule, rule.field_names()))
         except ValueError:
             continue
@@ -95,23 +69,20 @@ def _hit_arrays(
             continue
         of_group = lambda name: fields.get(name).text if name else F.lit(None).cast("string")
         hit = [F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.title).alias("title")]
-        if counted:
+        if counting:
             hit += [of_group(count and count.by).alias("by"), of_group(count and count.field).alias("value")]
         source = tuple(sorted(rule.logsource.items())) if route else ()
         by_source.setdefault(source, []).append(F.when(test, F.struct(*hit)))
     extra = [c for c in ("eventId", "source", "platform") if route and c not in keep]
-    extra += [time] if counted and time not in keep else []
     frame = fields.project(events, [*keep, *extra])
-    more = ",by:string,value:string" if counted else ""
+    more = ",by:string,value:string" if counting else ""
     kind = f"array<struct<rule_id:string,title:string{more}>>"
     empty = F.array().cast(kind)
     hits = [empty]
     for source, tests in by_source.items():
         found = F.array_compact(F.array(*tests)).cast(kind)
         hits.append(F.coalesce(F.when(route_test(dict(source)), found) if source else found, empty))
-    found = F.concat(*hits[1:]) if len(hits) > 2 else hits[-1]
-    carried = [*keep, *([time] if counted and time not in keep else [])]
-    return frame, found, carried, counted
+    return frame, F.concat(*hits[1:]) if len(hits) > 2 else hits[-1]
 
 
 def rule_hits(
@@ -122,41 +93,49 @@ def rule_hits(
     placeholders: dict[str, list[str]] | None = None,
     mapping: dict[str, str] | None = None,
     time: str = "timestamp",
+    indexed: bool = False,
 ) -> DataFrame:
     """One row per (event, rule) hit, in one scan.
 
     The fields every rule needs are projected once. Rules with the same log
     source share its test, which comes first and so spares the predicates.
-    Nothing is shuffled, but for the hits of rules with a count test: these
-    keep the hits of the groups that pass it. A rule that cannot be translated
-    is left out (``problems`` names it).
+    ``indexed`` is for bundles of hundreds of rules and more: an index of necessary
+    literals picks each row's candidates (``bundle``), and only rules that the
+    index cannot take are predicates in the plan. Nothing is shuffled, but for the hits of rules
+    with a count test (``counting``): these keep the hits at which it passes. A rule that cannot be
+    translated is left out (``problems`` names it).
     """
-    frame, found, carried, counted = _hit_arrays(events, rules, keep, route, placeholders, mapping, time)
-    rows = spread(frame, carried, found, "_hit").select(*carried, "_hit.*").drop("title")
+    counted = _counted(rules)
+    carried = [*keep, *([time] if counted and time not in keep else [])]
+    left = rules
+    parts = []
+    if indexed:
+        bundle = compile_bundle(rules, route, placeholders, mapping)
+        parts.append(bundle_rows(events, bundle, carried, bool(counted)))
+        left = bundle.left_out
+    if left or not indexed:
+        frame, found = _hit_arrays(events, left, carried, route, placeholders, mapping, bool(counted))
+        parts.append(spread(frame, carried, found, "_hit").select(*carried, "_hit.*").drop("title"))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if not counted:
         return rows
     plain = rows.filter(~F.col("rule_id").isin(list(counted))).select(*keep, "rule_id")
-    return plain.unionByName(_counted_hits(rows, counted, time).select(*keep, "rule_id"))
+    # the hits are counted and then picked: worked out once
+    hits = cut_lineage(rows.filter(F.col("rule_id").isin(list(counted))))
+    return plain.unionByName(counted_hits(hits, counted, time).select(*keep, "rule_id"))
 
 
-def _counted_hits(rows: DataFrame, counted: dict[str, Rule], time: str) -> DataFrame:
-    """Hits of the groups (rule, window of its timeframe, key) that pass the rule's count test.
-
-    Counts go through (group, value) first, so a hot group is many partial rows.
-    """
-    window, passes = F.lit(None).cast("long"), F.lit(False)
-    for rule_id, rule in counted.items():
-        own, count = F.col("rule_id") == rule_id, rule.count_test
-        if rule.timeframe:
-            window = F.when(own, F.floor(F.unix_seconds(time) / rule.timeframe)).otherwise(window)
-        passes = F.when(own, count.holds(F.col("n_values" if count.field else "n"))).otherwise(passes)
-    hits = rows.filter(F.col("rule_id").isin(list(counted))).withColumn("_window", window)
-    group = ["rule_id", "_window", "by"]
-    values = hits.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
-    groups = values.groupBy(*group).agg(F.sum("n").alias("n"), F.count("value").alias("n_values")).filter(passes)
-    groups = groups.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)))
-    same = all_of([F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
-    return hits.join(groups, same, "left_semi")
+def _counted(rules: list[Rule]) -> dict[str, Rule]:
+    """The rules with a count test that can be translated."""
+    found = {}
+    for rule in rules:
+        try:
+            if rule.count_test:
+                rule.timeframe  # noqa: B018
+                found[rule.rule_id] = rule
+        except ValueError:
+            continue
+    return found
 
 
 def detect(events: DataFrame, rules: list[Rule], keep: list[str], **options) -> DataFrame:
@@ -165,19 +144,6 @@ def detect(events: DataFrame, rules: list[Rule], keep: list[str], **options) ->
     return hits.join(F.broadcast(rule_table(events.sparkSession, rules)), "rule_id")
 
 
-def count_rule_hits(events: DataFrame, rule: Rule, keys: dict[str, Column]) -> DataFrame:
-    """A rule with ``| count() by key`` over the whole table."""
-    fields = FieldSet(rule.field_names() | set(), rule.has_keywords())
-    test, count = rule_column(rule, fields)
-    assert isinstance(count, CountTest)
-    columns = {"_by": keys[count.by] if count.by else F.lit("all")}
-    if count.field:
-        columns["_value"] = keys[count.field]
-    frame = fields.project(events.withColumns(columns), list(columns)).filter(test)
-    total = F.count_distinct("_value") if count.field else F.count(F.lit(1))
-    return frame.groupBy("_by").agg(total.alias("n")).filter(count.holds(F.col("n"))).withColumnRenamed("_by", "key")
-
-
 def enabled(rules: DataFrame, disabled: DataFrame) -> DataFrame:
     """Rules are on unless their id is in the disabled table."""
     return rules.join(disabled.select("rule_id").distinct(), "rule_id", "left_anti")
@@ -237,9 +203,9 @@ def titles_per_event(events: DataFrame, rules: list[Rule], keep: list[str], **op
     Events with the same raw line and time have the same titles. Rules with a
     count test speak of groups, not of an event, and take no part.
     """
-    settings = {"route": False, "placeholders": None, "mapping": None, "time": "timestamp"} | options
+    settings = {"route": False, "placeholders": None, "mapping": None} | options
     own = [r for r in rules if "|" not in r.condition]
-    frame, found, _, _ = _hit_arrays(events, own, keep, **settings)
+    frame, found = _hit_arrays(events, own, keep, **settings)
     titles = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda h: h["title"]))), ", ")
     return frame.select(*keep, titles.alias("titles"))
 

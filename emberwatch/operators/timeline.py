@@ -85,12 +85,12 @@ def trailing_total(
     df: DataFrame,
     keys: list[str],
     order: str,
-    span: int,
+    span: int | Column,
     amounts: dict[str, Column],
     width: int = HOUR,
     expires: Column | None = None,
 ) -> DataFrame:
-    """Sums over the rows of the key in ``[order - span, order]``.
+    """Sums over the rows of the key in ``[order - span, order]``; a row may have a span of its own.
 
     Every row adds its amount when it happens and takes it back once it is
     older than ``span`` (or at ``expires``): a running total over twice the

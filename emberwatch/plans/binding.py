@@ -84,7 +84,9 @@ LOG = f"""log AS (
     CAST(([80, 443, 8080, 4444])[event_id % 4 + 1] AS VARCHAR) AS dst_port,
     'f' || CAST(event_id % 5 AS VARCHAR) AS source_file,
     'user' || CAST(user_id % 20 AS VARCHAR) AS account,
-    event_type || ' by user ' || CAST(user_id AS VARCHAR) || ' value ' || CAST(CAST(value AS BIGINT) AS VARCHAR) AS message
+    event_type || ' by user ' || CAST(user_id AS VARCHAR) || ' value ' || CAST(CAST(value AS BIGINT) AS VARCHAR) AS message,
+    '<Data Name="Image">' || image || '</Data><Data Name="CommandLine">' || coalesce(cmdline, '') || '</Data><Data Name="Extra">k'
+      || CAST(k AS VARCHAR) || '</Data>' AS raw
   FROM events)"""
 
 

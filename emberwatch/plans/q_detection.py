@@ -165,11 +165,8 @@ def rule_toggle(spark, sf_dir):
     return D.enabled(rules, lines.select(F.col("l_partkey").alias("rule_id")))
 
 
-_EXPLAIN = [r for r in RULES if r.rule_id != "r8"]
-
-
 @query("match_explain", with_log(MATCHES + r"""
-, m AS (SELECT event_id, rule_id FROM hits WHERE rule_id <> 'r8')
+, m AS (SELECT event_id, rule_id FROM hits)
 SELECT event_id, rule_id, 'selection' AS selection, 'Image' AS field, image AS value, 'endswith' AS modifier,
   '\powershell.exe' AS pattern FROM m JOIN log USING (event_id) WHERE rule_id = 'r1'
 UNION ALL
@@ -191,9 +188,12 @@ FROM m JOIN log USING (event_id), (VALUES ('\cmd.exe'), ('\powershell.exe')) v(p
 UNION ALL SELECT event_id, rule_id, 'selection', 'CommandLine', cmdline, 're', 'certutil\.exe .*http' FROM m JOIN log USING (event_id) WHERE rule_id = 'r4'
 UNION ALL SELECT event_id, rule_id, 'selection', 'EventID', CAST(eid AS VARCHAR), 'equals', '4625' FROM m JOIN log USING (event_id) WHERE rule_id = 'r6'
 UNION ALL SELECT event_id, rule_id, 'selection', 'DestinationIp', dst_ip, 'cidr', CASE WHEN dst_ip LIKE '203%' THEN '203.0.113.0/24' ELSE '2001:db8::/32' END
-FROM m JOIN log USING (event_id) WHERE rule_id = 'r7'"""))
+FROM m JOIN log USING (event_id) WHERE rule_id = 'r7'
+UNION ALL SELECT event_id, rule_id, 'selection', 'CommandLine', NULL, 'equals', NULL FROM m WHERE rule_id = 'r8'
+UNION ALL SELECT event_id, rule_id, 'keywords', 'rawLine', lower(raw), 'contains', p
+FROM m JOIN log USING (event_id), (VALUES ('svch0st'), ('k77<')) v(p) WHERE rule_id = 'r8' AND contains(lower(raw), p)"""))
 def match_explain(spark, sf_dir):
-    return D.explain_matches(log_events(spark, sf_dir), _EXPLAIN, "event_id")
+    return D.explain_matches(log_events(spark, sf_dir), RULES, "event_id")
 
 
 @query("matches_per_event", with_log(MATCHES + """
@@ -272,18 +272,67 @@ COUNT_RULES = [
 ]
 
 
-@query("sigma_detect_count", with_log(r"""
-, h AS (SELECT event_id, 'c1' AS rule_id, us // 3600000000 AS w, host AS b, NULL AS v FROM log WHERE eid = 4625
-  UNION ALL SELECT event_id, 'c2', us // 86400000000, host, dst_ip FROM log WHERE eid = 3
-  UNION ALL SELECT event_id, 'c3', NULL, account, NULL FROM log WHERE ends_with(lower(image), '\svch0st.exe')),
-g AS (SELECT rule_id, w, b, count(*) AS n, count(DISTINCT v) AS d FROM h GROUP BY rule_id, w, b)
-SELECT h.event_id, h.rule_id FROM h JOIN g ON h.rule_id = g.rule_id AND h.b = g.b AND h.w IS NOT DISTINCT FROM g.w
-WHERE (h.rule_id = 'c1' AND n >= 2) OR (h.rule_id = 'c2' AND d > 3) OR (h.rule_id = 'c3' AND n < 8)
+def _ending(span: int, test: str) -> str:
+    """SQL: a window of the span that ends at the row or at one up to ``span`` later passes."""
+    return f"SELECT event_id, bool_or(n {test}) OVER (PARTITION BY host ORDER BY us RANGE BETWEEN CURRENT ROW AND {span} FOLLOWING) AS hit"
+
+
+@query("sigma_detect_count", with_log(rf"""
+, n1 AS (SELECT *, count(*) OVER (PARTITION BY host ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n
+  FROM log WHERE eid = 4625),
+n2 AS (SELECT *, count(DISTINCT dst_ip) OVER (PARTITION BY host ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n
+  FROM log WHERE eid = 3),
+c1 AS ({_ending(3600000000, ">= 2")} FROM n1), c2 AS ({_ending(86400000000, "> 3")} FROM n2),
+c3 AS (SELECT event_id, count(*) OVER (PARTITION BY account) AS n FROM log WHERE ends_with(lower(image), '\svch0st.exe'))
+SELECT event_id, 'c1' AS rule_id FROM c1 WHERE hit UNION ALL SELECT event_id, 'c2' FROM c2 WHERE hit
+UNION ALL SELECT event_id, 'c3' FROM c3 WHERE n < 8
 UNION ALL SELECT event_id, 'c6' FROM log WHERE ends_with(lower(image), '\cmd.exe') AND eid <> 4624"""))
 def sigma_detect_count(spark, sf_dir):
     return D.detect(log_events(spark, sf_dir), COUNT_RULES, ["event_id"]).select("event_id", "rule_id")
 
 
+def bundle_rules(n: int = 2000) -> list[Rule]:
+    """A bundle of the size that is in use, in eight shapes; as there, most rules hold for few events or none."""
+
+    def rule(i: int) -> dict:
+        program = ["\\cmd.exe", "\\powershell.exe", "\\winword.exe"][i % 3]
+        return [
+            {"selection": {"message|contains": [f"by user {i // 8} value 1", f"by user {i // 8} value 7"]}, "condition": "selection"},
+            {"selection": {"Image|endswith": program, "CommandLine|contains": f"tool{i}.exe"}, "condition": "selection"},
+            {"selection": {"EventID": "3"}, "keywords": [f"k{i % 97}<"], "condition": "selection and keywords"},
+            {
+                "selection": {"QueryName|endswith": f"q{i % 9}.example.com", "SubjectUserName": f"USER{i % 20}"},
+                "filter_main": {"Image|contains": "\\Public\\"},
+                "filter_other": {"ParentImage|endswith": "\\services.exe", "EventID": "22"},
+                "condition": "selection and not 1 of filter_*",
+            },
+            {"selection": {"DestinationIp|startswith": f"203.0.113.{i % 60}", "DestinationPort": ["443", "4444"]}, "condition": "selection"},
+            {"selection": {"CommandLine|contains|all": ["certutil", f"a{i}.exe"]}, "condition": "selection"},
+            {
+                "selection_a": {"Image|endswith": "\\cmd.exe", "SubjectUserName": f"user{i % 20}"},
+                "selection_b": {"ParentImage|endswith": "\\wmiprvse.exe", "message|contains": f" user {i % 150} "},
+                "condition": "1 of selection_*",
+            },
+            {"selection": {"CommandLine|re": f"invoke-x{i}", "Image|endswith": "\\powershell.exe"}, "condition": "selection"},
+        ][i % 8]
+
+    return [Rule(f"b{i}", f"Rule {i}", rule(i)) for i in range(n)]
+
+
+@query("sigma_detect_bundle", with_log(r"""
+SELECT event_id, 'b' || i AS rule_id FROM log JOIN range(2000) r(i) ON CASE i % 8
+  WHEN 0 THEN contains(message, 'by user ' || (i // 8) || ' value 1') OR contains(message, 'by user ' || (i // 8) || ' value 7')
+  WHEN 2 THEN eid = 3 AND k = i % 97
+  WHEN 3 THEN eid = 22 AND event_id % 9 = i % 9 AND account = 'user' || (i % 20)
+    AND NOT contains(lower(image), '\public\') AND NOT ends_with(lower(parent_image), '\services.exe')
+  WHEN 4 THEN eid = 3 AND starts_with(dst_ip, '203.0.113.' || (i % 60)) AND dst_port IN ('443', '4444')
+  WHEN 6 THEN (ends_with(lower(image), '\cmd.exe') AND account = 'user' || (i % 20))
+    OR (ends_with(lower(parent_image), '\wmiprvse.exe') AND contains(message, ' user ' || (i % 150) || ' '))
+  ELSE false END"""))
+def sigma_detect_bundle(spark, sf_dir):
+    return D.rule_hits(log_events(spark, sf_dir), bundle_rules(), ["event_id"], indexed=True)
+
+
 def _routed_rules() -> list[Rule]:
     """One rule that sees every event of its source, per category and service, and two that are not known."""
     anything = {"selection": {"EventID|re": "."}, "condition": "selection"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators import conditions as C
 from emberwatch.operators import predicates as P
-from emberwatch.operators.detection import count_rule_hits
+from emberwatch.operators.detection import rule_hits
 from emberwatch.operators.rules import FieldSet, Rule, selection_column
 from emberwatch.plans.binding import log_events, with_log
 from emberwatch.plans.registry import query, table
@@ -137,10 +137,11 @@ _condition("cond_not_one_of", "selection_image and not 1 of filter_*", f"{_IMAGE
 
 
 @query("cond_count", with_log(r"""
-SELECT host AS key, count(*) AS n FROM log WHERE ends_with(lower(image), '\cmd.exe')
-GROUP BY host HAVING count(*) > 15"""))
+, c AS (SELECT *, count(*) OVER (PARTITION BY host ORDER BY us RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW) AS n
+  FROM log WHERE ends_with(lower(image), '\cmd.exe'))
+SELECT event_id FROM (
+  SELECT event_id, bool_or(n > 1) OVER (PARTITION BY host ORDER BY us RANGE BETWEEN CURRENT ROW AND 7200000000 FOLLOWING) AS hit FROM c) WHERE hit"""))
 def cond_count(spark, sf_dir):
-    rule = Rule(
-        "count", "count", {"selection": {"Image|endswith": "\\cmd.exe"}, "condition": "selection | count() by host > 15"}
-    )
-    return count_rule_hits(log_events(spark, sf_dir), rule, {"host": F.col("host")})
+    selection = {"Image|endswith": "\\cmd.exe"}
+    rule = Rule("count", "count", {"selection": selection, "timeframe": "2h", "condition": "selection | count() by host > 1"})
+    return rule_hits(log_events(spark, sf_dir), [rule], ["event_id"]).select("event_id")
