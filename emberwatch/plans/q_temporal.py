@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberwatch.operators import temporal as T
+from emberwatch.operators.boundsequence import BoundStage, sequence_bound
 from emberwatch.operators.timeline import sessions
 from emberwatch.plans.binding import flat_log, with_log
 from emberwatch.plans.registry import query, table
@@ -156,6 +157,24 @@ def sequence_bind(spark, sf_dir):
     return found.select("user_id", "program", "first_id", "second_id")
 
 
+@query("sequence_bind_prefix", with_log(rf"""
+, a AS (SELECT event_id, user_id, us, lower(regexp_extract(image, '([^\\]+)$', 1)) AS name, regexp_extract(image, '^(.*\\)', 1) AS folder
+  FROM log WHERE event_type = 'click'),
+b AS (SELECT a.*, arg_min(l.event_id, l.us) AS run_id, min(l.us) AS run_us FROM a JOIN log l ON l.user_id = a.user_id AND l.us > a.us
+  AND l.event_type <> 'click' AND contains(lower(l.cmdline), a.name) GROUP BY ALL),
+c AS (SELECT b.event_id AS first_id, b.user_id, b.us, b.run_id, arg_min(l.event_id, l.us) AS child_id, min(l.us) AS child_us
+  FROM b JOIN log l ON l.user_id = b.user_id AND l.us > b.run_us AND starts_with(l.parent_image, b.folder) GROUP BY ALL)
+SELECT user_id, first_id, run_id, child_id FROM c WHERE child_us - us <= {5 * DAY}"""))
+def sequence_bind_prefix(spark, sf_dir):
+    name, folder = F.regexp_extract("image", r"([^\\]+)$", 1), F.regexp_extract("image", r"^(.*\\)", 1)
+    stages = [
+        BoundStage("run", ~_kind("click"), F.col("cmdline"), name, "contains", ignore_case=True),
+        BoundStage("child", F.lit(True), F.col("parent_image"), folder, "startswith"),
+    ]
+    found = sequence_bound(flat_log(spark, sf_dir), _kind("click"), stages, ["user_id"], "us", "event_id", 5 * DAY)
+    return found.select("user_id", "first_id", "run_id", "child_id")
+
+
 @query("sequence_turns", """
 SELECT a.conv_id, a.turn AS system_at, min(b.turn) AS user_at, min(c.turn) AS assistant_at
 FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn > a.turn AND b.role = 'user'
