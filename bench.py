@@ -25,6 +25,7 @@ HEADLINES = [
     "matches_per_event",
     "match_explain",
     "signature_scan",
+    "signature_scan_bundle",
     "signature_events",
     "doc_any_all_n",
     "doc_entropy",

@@ -66,23 +66,71 @@ def magic(content: Column, hex_prefix: str) -> Column:
     return F.substring(content, 1, len(hex_prefix) // 2) == F.unhex(F.lit(hex_prefix))
 
 
-def encoded_forms(literal: str, xor_keys: range = range(1, 256)) -> dict[str, list[str]]:
-    """Hex forms of a literal: wide, base64 at every offset, and xor with single bytes."""
-    plain = literal.encode()
+def encoded_forms(literal: str) -> dict[str, list[str]]:
+    """Hex forms of a literal: wide, and base64 at every offset."""
     return {
         "wide": [literal.encode("utf-16-le").hex().upper()],
-        "base64": [f.encode().hex().upper() for f in base64_offset_literals(plain)],
-        "xor": [bytes(b ^ key for b in plain).hex().upper() for key in xor_keys],
+        "base64": [f.encode().hex().upper() for f in base64_offset_literals(literal.encode())],
     }
 
 
-def encoded(content: Column, literal: str, forms: list[str], xor_keys: range = range(1, 256)) -> Column:
-    """Any of the chosen encoded forms occurs in the bytes.
+def xor_places(content: Column, literal: str) -> Column:
+    """Every place where the literal stands xored with one byte, plain text included as key 0: array<struct<at, key>>.
+
+    The xor of neighbouring bytes is the same under every key, so one search for the literal's own
+    neighbour xors replaces one search per key; the first byte then tells the key. The literal has two bytes or more.
+    """
+    wanted = np.frombuffer(literal.encode(), np.uint8)
+    if len(wanted) < 2:
+        raise ValueError("a literal of one byte is found under some key at every place")
+    difference = (wanted[1:] ^ wanted[:-1]).tobytes()
+
+    @F.arrow_udf("array<struct<at:int,key:int>>")
+    def places(contents: pa.Array) -> pa.Array:
+        column = contents.cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        cuts = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        rows, at, keys = [], [], []
+        for row in range(len(column)):
+            own = data[cuts[row] : cuts[row + 1]]
+            steps = (own[1:] ^ own[:-1]).tobytes()
+            place = steps.find(difference)
+            while place >= 0:
+                rows.append(row)
+                at.append(place)
+                keys.append(int(own[place] ^ wanted[0]))
+                place = steps.find(difference, place + 1)
+        counts = np.bincount(np.array(rows, np.int64), minlength=len(column)) if rows else np.zeros(len(column), np.int64)
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        found = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(keys, pa.int32())], names=["at", "key"])
+        return pa.ListArray.from_arrays(pa.array(ends), found)
+
+    return F.when(content.isNotNull(), places(content))
+
+
+def xor_keys(content: Column, literal: str, keys: range = range(1, 256)) -> Column:
+    """The keys, of those asked for, under which the literal stands in the bytes, in order."""
+    found = F.array_sort(F.array_distinct(F.transform(xor_places(content, literal), lambda p: p["key"])))
+    return F.filter(found, lambda k: (k >= keys.start) & (k < keys.stop))
+
+
+@F.arrow_udf(T.BinaryType())
+def xored(contents: pa.Array, keys: pa.Array) -> pa.Array:
+    """Bytes xored with a key of their row, which decodes what is encoded so."""
+    pairs = zip(contents, keys)
+    mixed = [None if c.as_py() is None or k.as_py() is None else (np.frombuffer(c.as_py(), np.uint8) ^ np.uint8(k.as_py())).tobytes() for c, k in pairs]
+    return pa.array(mixed, pa.binary())
+
+
+def encoded(content: Column, literal: str, forms: list[str], keys: range = range(1, 256)) -> Column:
+    """Any of the chosen encoded forms, ``wide``, ``base64`` and ``xor``, occurs in the bytes.
 
     Forms are compared as bytes, so a hit never straddles two bytes.
     """
-    known = encoded_forms(literal, xor_keys)
-    return any_of([content.contains(F.unhex(F.lit(h))) for name in forms for h in known[name]])
+    known = encoded_forms(literal)
+    tests = [content.contains(F.unhex(F.lit(h))) for name in forms if name != "xor" for h in known[name]]
+    return any_of(tests + [F.size(xor_keys(content, literal, keys)) > 0] * ("xor" in forms))
 
 
 #: Bytes whose places are counted in one go.

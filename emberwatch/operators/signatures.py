@@ -8,12 +8,15 @@ never put together, whatever its size.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.operators.skew import first_n, spread
+from emberwatch.operators.grams import found_grams, grams, rarest
+from emberwatch.operators.skew import first_n, once, spread
 
 #: Fixed value: literals and events shown per file and signature; nothing is decided on them.
 SHOWN = 8
@@ -51,85 +54,114 @@ def _needles(signatures: list[Signature]) -> list[str]:
     return sorted({n for s in signatures for n in (s.anchor, *s.literals, *s.exclusions)})
 
 
-def _hits(text: Column, needles: list[str]) -> Column:
-    """Numbers of the literals found in the text."""
-    return F.array_compact(F.array(*[F.when(text.contains(n), F.lit(i)) for i, n in enumerate(needles)]))
+def _listed(values: list[str]) -> Column:
+    """Texts as one constant array, whatever their number."""
+    return F.split(F.lit("\0".join(values)), "\0") if values else F.array().cast("array<string>")
 
 
-def _numbers(needles: list[str], names: tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(needles.index(n)) for n in names]).cast("array<int>")
+def hits(text: Column, needles: list[str]) -> Column:
+    """Numbers of the literals found in the text.
 
-
-def _packed(signatures: list[Signature], needles: list[str]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(s.rule_id).alias("rule_id"),
-                F.lit(needles.index(s.anchor)).alias("anchor"),
-                _numbers(needles, s.literals).alias("literals"),
-                _numbers(needles, s.exclusions).alias("exclusions"),
-                F.lit(s.min_matches).alias("min_matches"),
+    One pass over the text's grams finds the literals whose rarest gram it has, and only these are searched for.
+    Literals shorter than a gram, or with a zero character, are searched for one by one.
+    """
+    common = Counter(g for n in needles for g in set(grams(n)))
+    filed: dict[str, list[int]] = {}
+    alone = []
+    for i, needle in enumerate(needles):
+        gram = rarest(needle, common) if "\0" not in needle else None
+        if gram is None:
+            alone.append(i)
+        else:
+            filed.setdefault(gram, []).append(i)
+    known = sorted(filed)
+    # the needles of a gram stand together: a gram names the first of them and their number
+    order = [i for g in known for i in filed[g]]
+    starts = dict(zip(known, accumulate([0, *(len(filed[g]) for g in known)])))
+    texts, grams_, first = _listed([needles[i] for i in order]), _listed(known), _listed([str(starts[g]) for g in known])
+    number, size = _listed([str(i) for i in order]), _listed([str(len(filed[g])) for g in known])
+
+    def of_gram(g: Column) -> Column:
+        at = F.array_position(grams_, g).cast("int") - 1
+        start = F.get(first, at).cast("int")
+        return F.sequence(start, start + F.get(size, at).cast("int") - 1)
+
+    places = F.filter(F.flatten(F.transform(found_grams(text, known), of_gram)), lambda p: text.contains(F.get(texts, p)))
+    found = F.transform(places, lambda p: F.get(number, p).cast("int")) if known else F.array().cast("array<int>")
+    if not alone:
+        return found
+    return F.concat(found, F.array_compact(F.array(*[F.when(text.contains(needles[i]), F.lit(i)) for i in alone])))
+
+
+def _tables(events: DataFrame, signatures: list[Signature], needles: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What a literal is to which rule, and the rules; both are the driver's own, and broadcast."""
+    number = {n: i for i, n in enumerate(needles)}
+    roles, rules = [], []
+    for i, s in enumerate(signatures):
+        own = {"anchor": (s.anchor,), "literal": s.literals, "exclusion": s.exclusions}
+        roles += [(number[n], i, role) for role, names in own.items() for n in dict.fromkeys(names)]
+        rules.append((i, s.rule_id, [number[n] for n in s.literals], list(s.literals), [number[n] for n in s.exclusions], s.min_matches))
+    spark = events.sparkSession
+    return (
+        F.broadcast(spark.createDataFrame(roles, "needle int, rule int, role string")),
+        F.broadcast(
+            spark.createDataFrame(
+                rules, "rule int, rule_id string, literals array<int>, texts array<string>, exclusions array<int>, min_matches int"
             )
-            for s in signatures
-        ]
+        ),
     )
 
 
-def _texts(needles: list[str], numbers: Column) -> Column:
-    table = F.array(*[F.lit(n) for n in needles])
-    return F.transform(numbers, lambda i: F.get(table, i))
+def _matched(found: str) -> Column:
+    """The rule's literals among the found numbers, as texts, in the rule's order."""
+    pairs = F.filter(F.arrays_zip("literals", "texts"), lambda p: F.array_contains(found, p["literals"]))
+    return F.transform(pairs, lambda p: p["texts"])
 
 
 def scan(events: DataFrame, signatures: list[Signature], file: str, text: Column) -> DataFrame:
     """Matched (file, rule) pairs with all literals found and the file's event count.
 
-    The shuffle carries one row per (file, literal) and task, never text.
+    The shuffles carry rows per (file, literal) and per (file, rule), never text; rules come in as rows,
+    so their number does not widen the plan.
     """
     signatures = _usable(signatures)
     needles = _needles(signatures)
+    roles, rules = _tables(events, signatures, needles)
     source = F.coalesce(F.nullif(F.col(file), F.lit("")), F.lit(NO_FILE)).alias("source_file")
-    hits = events.select(source, _hits(text, needles).alias("hits"))
+    found = once(events.select(source, text.alias("_text")), hits(F.col("_text"), needles), "hits")
     # number -1 counts the file's events in the same pass
-    exploded = spread(hits, ["source_file"], F.array_append("hits", F.lit(-1)), "needle")
+    exploded = spread(found, ["source_file"], F.array_append("hits", F.lit(-1)), "needle")
     counted = exploded.groupBy("source_file", "needle").agg(F.count(F.lit(1)).alias("n"))
-    files = counted.groupBy("source_file").agg(
-        F.max(F.when(F.col("needle") == -1, F.col("n"))).alias("event_count"),
-        F.collect_set(F.when(F.col("needle") >= 0, F.col("needle"))).alias("found"),
-    )
-    # only the signatures whose anchor the file holds leave its row
-    anchored = F.filter(_packed(signatures, needles), lambda s: F.array_contains(F.col("found"), s["anchor"]))
-    pairs = files.select("source_file", "event_count", "found", F.inline(anchored))
-    matched = F.filter("literals", lambda i: F.array_contains(F.col("found"), i))
-    passed = (
-        F.array_contains("found", F.col("anchor"))
-        & ~F.arrays_overlap("found", "exclusions")
-        & (F.size(matched) >= F.col("min_matches"))
-    )
-    return pairs.filter(passed).select(
-        "rule_id", "source_file", "event_count", "min_matches", _texts(needles, matched).alias("matched_literals")
+    is_role = lambda role: F.col("role") == role
+    pairs = counted.join(roles, "needle").groupBy("source_file", "rule").agg(
+        F.bool_or(is_role("anchor")).alias("anchored"),
+        F.bool_or(is_role("exclusion")).alias("excluded"),
+        F.collect_set(F.when(is_role("literal"), F.col("needle"))).alias("found"),
     )
+    pairs = pairs.filter(F.col("anchored") & ~F.col("excluded")).join(rules, "rule")
+    pairs = pairs.withColumn("matched_literals", _matched("found")).filter(F.size("matched_literals") >= F.col("min_matches"))
+    totals = counted.filter(F.col("needle") == -1).select("source_file", F.col("n").alias("event_count"))
+    return pairs.join(totals, "source_file").select("rule_id", "source_file", "event_count", "min_matches", "matched_literals")
 
 
 def enough_by_itself(
     events: DataFrame, files: DataFrame, signatures: list[Signature], file: str, text: Column, key: str
 ) -> DataFrame:
-    """The events of matched files that hold enough literals by themselves: (rule_id, source_file, key, event_literals)."""
+    """The events of matched files that hold enough literals by themselves: (rule_id, source_file, key, event_literals).
+
+    An event meets the rules of its literals, each at the first literal that it has, so nothing is grouped.
+    """
     signatures = _usable(signatures)
     needles = _needles(signatures)
+    roles, rules = _tables(events, signatures, needles)
     source = F.coalesce(F.nullif(F.col(file), F.lit("")), F.lit(NO_FILE)).alias("source_file")
-    hits = events.select(key, source, _hits(text, needles).alias("hits"))
-
-    def matched(pair: Column) -> Column:
-        return F.filter(pair["literals"], lambda i: F.array_contains("hits", i))
-
-    passing = F.filter(
-        _packed(signatures, needles),
-        lambda s: ~F.arrays_overlap(F.col("hits"), s["exclusions"]) & (F.size(matched(s)) >= s["min_matches"]),
-    )
-    # most events pass nothing and leave no row
-    pairs = spread(hits, [key, "source_file", "hits"], passing, "pair")
-    literals = _texts(needles, matched(F.col("pair"))).alias("event_literals")
-    found = pairs.select(F.col("pair.rule_id").alias("rule_id"), "source_file", key, literals)
+    found = once(events.select(key, source, text.alias("_text")), hits(F.col("_text"), needles), "hits")
+    met = spread(found, [key, "source_file", "hits"], F.col("hits"), "needle")
+    met = met.join(roles.filter(F.col("role") == "literal"), "needle").join(rules, "rule")
+    met = met.filter(F.col("needle") == F.element_at(F.array_intersect("hits", "literals"), 1))
+    met = met.withColumn("event_literals", _matched("hits"))
+    passing = ~F.arrays_overlap("hits", "exclusions") & (F.size("event_literals") >= F.col("min_matches"))
+    found = met.filter(passing).select("rule_id", "source_file", key, "event_literals")
     return found.join(files.select("rule_id", "source_file"), ["rule_id", "source_file"], "left_semi")
 
 

@@ -461,3 +461,22 @@ def signature_log_scan(spark, sf_dir):
     signature = S.Signature("log1", "svch0st", ("svch0st", "lsass", "signup by", "nowhere"), 2)
     files = S.scan(log_events(spark, sf_dir), [signature], "sourceFile", S.log_event_text())
     return files.select("rule_id", "source_file", "event_count", F.array_join("matched_literals", "|").alias("literals"))
+
+
+def signature_bundle(n: int = 2000) -> list[S.Signature]:
+    """Signatures in the number that is in use; most of their literals are in no text."""
+    anchors, parts = ["license", "@mail", "%%%", "the "], ["tion", "ouel", "###", "ment"]
+    return [S.Signature(f"y{i}", anchors[i % 4], (f"@mail{i % 50}", f"needle-{i}", parts[i // 4 % 4], f"w{i}x"), 2) for i in range(n)]
+
+
+@query("signature_scan_bundle", """
+WITH body AS (SELECT source AS source_file, count(*) AS event_count, string_agg(lower(text), chr(10)) AS body FROM documents GROUP BY source),
+sig AS (SELECT i, ['license', '@mail', '%%%', 'the '][i % 4 + 1] AS anchor,
+    ['@mail' || (i % 50), 'needle-' || i, ['tion', 'ouel', '###', 'ment'][(i // 4) % 4 + 1], 'w' || i || 'x'] AS literals FROM range(2000) r(i)),
+needle AS (SELECT DISTINCT anchor AS n FROM sig UNION SELECT DISTINCT unnest(literals) FROM sig),
+hit AS (SELECT source_file, event_count, list(n) AS found FROM body, needle WHERE contains(body, n) GROUP BY ALL)
+SELECT 'y' || i AS rule_id, source_file, event_count, array_to_string(list_filter(literals, lambda x: list_contains(found, x)), '|') AS literals
+FROM hit, sig WHERE list_contains(found, anchor) AND len(list_filter(literals, lambda x: list_contains(found, x))) >= 2""")
+def signature_scan_bundle(spark, sf_dir):
+    files = S.scan(_documents(spark, sf_dir), signature_bundle(), "source", S.event_text([F.col("text")]))
+    return files.select("rule_id", "source_file", "event_count", F.array_join("matched_literals", "|").alias("literals"))

@@ -51,21 +51,25 @@ def doc_count(spark, sf_dir):
     return counted.filter(F.col("n") > 5)
 
 
-@query("doc_encoded", """
-SELECT doc_id, contains(text, 'icense') AS in_base64, contains(text, 'mail') AS in_xor FROM documents""")
+#: "mail" under each key that leaves it text, as the search in the plain text that SQL can do.
+_XORED = ", ".join(f"({k}, {' || '.join(f'chr({ord(c) ^ k})' for c in 'mail')})" for k in range(128) if all(ord(c) ^ k for c in "mail"))
+
+
+@query("doc_encoded", f"""
+WITH form(k, literal) AS (VALUES {_XORED}),
+hit AS (SELECT doc_id, list(DISTINCT xor(CAST(doc_id % 255 + 1 AS INTEGER), k) ORDER BY xor(CAST(doc_id % 255 + 1 AS INTEGER), k)) AS keys
+  FROM documents, form WHERE contains(text, literal) AND xor(CAST(doc_id % 255 + 1 AS INTEGER), k) <> 0 GROUP BY doc_id)
+SELECT doc_id, contains(text, 'icense') AS in_base64, keys IS NOT NULL AS in_xor, coalesce(array_to_string(keys, ','), '') AS xor_keys
+FROM documents LEFT JOIN hit USING (doc_id)""")
 def doc_encoded(spark, sf_dir):
-    # texts are encoded here, then searched for encoded literals
+    # texts are encoded here, each with a key of its own, then searched for encoded literals under all keys
     shift = F.repeat(F.lit("x"), (F.col("doc_id") % 3).cast("int"))
     # base64() breaks its lines, which would cut literals in two
     one_line = F.regexp_replace(F.base64(F.encode(F.concat(shift, "text"), "UTF-8")), r"\s", "")
     base64_text = F.encode(one_line, "UTF-8")
-    low, high = "".join(chr(c) for c in range(0x20, 0x80)), "".join(chr(c ^ 1) for c in range(0x20, 0x80))
-    xor_text = F.encode(F.translate("text", low, high), "UTF-8")
-    return documents(spark, sf_dir).select(
-        "doc_id",
-        S.encoded(base64_text, "icense", ["base64"]).alias("in_base64"),
-        S.encoded(xor_text, "mail", ["xor"], range(1, 2)).alias("in_xor"),
-    )
+    hidden = S.xored(F.encode("text", "UTF-8"), (F.col("doc_id") % 255 + 1).cast("int"))
+    found = documents(spark, sf_dir).select("doc_id", S.encoded(base64_text, "icense", ["base64"]).alias("in_base64"), S.xor_keys(hidden, "mail").alias("keys"))
+    return found.select("doc_id", "in_base64", (F.size("keys") > 0).alias("in_xor"), F.array_join("keys", ",").alias("xor_keys"))
 
 
 @query("doc_entropy", """
