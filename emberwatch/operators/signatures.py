@@ -21,6 +21,9 @@ from emberwatch.operators.skew import first_n, once, spread
 #: Fixed value: literals and events shown per file and signature; nothing is decided on them.
 SHOWN = 8
 
+#: Literals that are searched for one by one.
+FEW = 64
+
 #: Fixed value: events without a source file belong to this one.
 NO_FILE = "uploaded-data"
 
@@ -63,13 +66,14 @@ def hits(text: Column, needles: list[str]) -> Column:
     """Numbers of the literals found in the text.
 
     One pass over the text's grams finds the literals whose rarest gram it has, and only these are searched for.
-    Literals shorter than a gram, or with a zero character, are searched for one by one.
+    Literals shorter than a gram, or with a zero character, are searched for one by one, as are all of up to
+    ``FEW``: so many searches cost less than the pass.
     """
     common = Counter(g for n in needles for g in set(grams(n)))
     filed: dict[str, list[int]] = {}
     alone = []
     for i, needle in enumerate(needles):
-        gram = rarest(needle, common) if "\0" not in needle else None
+        gram = rarest(needle, common) if "\0" not in needle and len(needles) > FEW else None
         if gram is None:
             alone.append(i)
         else:

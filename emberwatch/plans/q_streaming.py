@@ -2,7 +2,7 @@
 
 Windows are kept as they grow (update mode), so their results are whole at the
 stream's end. Sessions and sequences come out when the watermark has closed
-them, and their SQL leaves out the last ones in the same way.
+them; a last row at the end of time closes what is open when the log ends.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from emberwatch.plans.q_detection import MATCHES, RULES
 from emberwatch.plans.q_temporal import DAY, HOUR, SESSIONS
 from emberwatch.plans.registry import query
 from emberwatch.streaming import jobs
-from emberwatch.streaming.run import append_to_table, latest_updates, read_parquet_stream
+from emberwatch.streaming.run import STATE_STORE, append_to_table, append_whole, latest_updates, read_parquet_stream
 from emberwatch.streaming.sequences import sequences, staged
 
 
@@ -25,9 +25,6 @@ def log_stream(spark, sf_dir):
 
 _kind = lambda name: F.col("event_type") == name
 
-#: Watermark of the stream, one day behind, in whole milliseconds.
-_MARK = f"((SELECT max(us) FROM log) // 1000 * 1000 - {DAY})"
-
 
 def _daily(stream, name, keys=()):
     frame = stream.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
@@ -94,19 +91,19 @@ def stream_followed_by(spark, sf_dir):
   JOIN log b ON b.user_id = c.user_id AND b.us < c.us AND b.event_type = 'view'
   JOIN log a ON a.user_id = c.user_id AND a.us < b.us AND a.event_type = 'signup'
   WHERE c.event_type = 'purchase' AND c.us - a.us <= {2 * DAY} GROUP BY c.user_id, c.us)
-SELECT user_id, first_us, us AS last_us FROM c WHERE us <= {_MARK}"""))
+SELECT user_id, first_us, us AS last_us FROM c"""))
 def stream_sequence(spark, sf_dir):
     stages = [(_kind(n), "user_id") for n in ("signup", "view", "purchase")]
-    rows = staged(log_stream(spark, sf_dir).select("user_id", "ts", "event_type"), stages, "ts")
-    found = append_to_table(sequences(rows, 3, 2 * DAY, "1 day"), "sequence")
-    return found.select(F.col("key").cast("long").alias("user_id"), "first_us", "last_us")
+    log = log_stream(spark, sf_dir).select("user_id", "ts", "event_type")
+    found = append_whole(log, "ts", lambda s: sequences(staged(s, stages, "ts"), 3, 2 * DAY, "1 day"), "sequence", STATE_STORE)
+    return found.select(F.col("key").alias("user_id"), "first_us", "last_us")
 
 
-@query("stream_session_events", with_log(SESSIONS + f"""
-SELECT user_id, first_us, last_us, n FROM g WHERE last_us + {6 * HOUR} <= {_MARK}"""))
+@query("stream_session_events", with_log(SESSIONS + """
+SELECT user_id, first_us, last_us, n FROM g"""))
 def stream_session_events(spark, sf_dir):
-    stream = log_stream(spark, sf_dir).select("user_id", "ts")
-    found = append_to_table(jobs.gap_sessions(stream, ["user_id"], "ts", "6 hours", "1 day"), "sessions")
+    log = log_stream(spark, sf_dir).select("user_id", "ts")
+    found = append_whole(log, "ts", lambda s: jobs.gap_sessions(s, ["user_id"], "ts", "6 hours", "1 day"), "sessions")
     return found.select(
         "user_id", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n"
     )

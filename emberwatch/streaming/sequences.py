@@ -1,4 +1,4 @@
-"""Ordered sequences on a stream with a small state per key."""
+"""Ordered sequences on a stream, with the waiting rows of a key filed by hour."""
 
 from __future__ import annotations
 
@@ -8,69 +8,110 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Completed sequences: the completing event and the latest first event that leads to it.
-RESULT = "key string, first_us long, last_us long"
+from emberwatch.streaming.run import is_marker
+
+HOUR_MS = 3_600_000
 
 
 def staged(stream: DataFrame, stages: list[tuple[Column, str]], ts: str) -> DataFrame:
-    """(key, ts, us, stage) rows; each stage may keep the key, as text, in a column of its own."""
+    """(key, ts, us, stage) rows; each stage may keep the key in a column of its own, of any type but a nested one.
+
+    The row that closes a bounded stream passes as stage -1.
+    """
     us = F.unix_micros(ts).alias("us")
-    rows = [
-        stream.filter(test).select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), us, F.lit(i).alias("stage"))
-        for i, (test, key) in enumerate(stages)
-    ]
+    tests = [(test & ~is_marker(ts), F.col(key), i) for i, (test, key) in enumerate(stages)]
+    tests.append((is_marker(ts), F.lit(None).cast(stream.schema[stages[0][1]].dataType), -1))
+    rows = [stream.filter(test).select(key.alias("key"), F.col(ts).alias("ts"), us, F.lit(i).alias("stage")) for test, key, i in tests]
     return reduce(lambda a, b: a.union(b), rows)
 
 
-def sequences(rows: DataFrame, n_stages: int, span_us: int, delay: str) -> DataFrame:
-    """Events that complete all stages in order, within ``span_us`` of the first.
+class _Sequences(StatefulProcessor):
+    """Rows wait by hour until the watermark has passed the hour; then the hour is read in order, once.
 
-    Of all partial sequences that have reached a stage only the one that began
-    last matters, so the state is one start per stage besides the rows the
-    watermark has not passed yet; those are kept to put late rows in order.
+    Of all partial sequences that have reached a stage only the one that began last matters, so what an hour
+    leaves behind is one start per stage. A batch writes the hours it has rows of and no others.
     """
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, kinds, starts = ([], [], [-1] * n_stages) if not state.exists else map(list, state.get)
-        for batch in batches:
-            times += batch["us"].tolist()
-            kinds += batch["stage"].tolist()
-        closed = state.getCurrentWatermarkMs() * 1000
-        found, waiting = [], []
-        previous, pending = None, {}
-        for at, stage in sorted(zip(times, kinds)):
-            if at > closed:
-                waiting.append((at, stage))
-                continue
+    def __init__(self, n_stages: int, span_us: int):
+        self.n_stages, self.span_us = n_stages, span_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hours = handle.getMapState("hours", "hour long", "times array<long>, kinds array<int>")
+        self.starts = handle.getValueState("starts", "starts array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, tuple[list[int], list[int]]] = {}
+        for batch in rows:
+            for at, stage in zip(batch["us"].tolist(), batch["stage"].tolist()):
+                if stage >= 0:
+                    times, kinds = new.setdefault(at // 1000 // HOUR_MS, ([], []))
+                    times.append(at)
+                    kinds.append(stage)
+        for hour, (times, kinds) in new.items():
+            if self.hours.containsKey((hour,)):
+                old_times, old_kinds = self.hours.getValue((hour,))
+                times, kinds = [*old_times, *times], [*old_kinds, *kinds]
+            else:
+                self.handle.registerTimer((hour + 1) * HOUR_MS)
+            self.hours.updateValue((hour,), (times, kinds))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        starts = list(self.starts.get()[0]) if self.starts.exists() else [-1] * self.n_stages
+        found: list[tuple[int, int]] = []
+        closed = sorted(hour for (hour,) in self.hours.keys() if (hour + 1) * HOUR_MS <= mark)
+        for hour in closed:
+            found += self._read(sorted(zip(*self.hours.getValue((hour,)))), starts)
+            self.hours.removeKey((hour,))
+        end = max(starts) + self.span_us
+        if max(starts) < 0 or end < mark * 1000:
+            # no start can be completed any more
+            self.starts.clear()
+        elif closed:
+            self.starts.update((starts,))
+            self.handle.registerTimer(end // 1000 + 1)
+        if found:
+            yield pd.DataFrame({"key": [key[0]] * len(found), "first_us": [a for a, _ in found], "last_us": [b for _, b in found]})
+        else:
+            yield pd.DataFrame()
+
+    def _read(self, rows: list[tuple[int, int]], starts: list[int]) -> list[tuple[int, int]]:
+        """One hour's rows in order; ``starts`` goes on, completed sequences come back."""
+        found, previous, pending = [], None, {}
+        for at, stage in [*rows, (None, 0)]:
             if at != previous:
                 # rows of one instant do not follow each other
                 for reached, start in pending.items():
                     starts[reached] = max(starts[reached], start)
                 previous, pending = at, {}
+            if at is None:
+                break
             start = at if stage == 0 else starts[stage - 1]
-            if start < 0 or at - start > span_us:
+            if start < 0 or at - start > self.span_us:
                 continue
-            if stage == n_stages - 1:
-                found.append((key[0], start, at))
+            if stage == self.n_stages - 1:
+                found.append((start, at))
             else:
                 pending[stage] = max(pending.get(stage, -1), start)
-        for reached, start in pending.items():
-            starts[reached] = max(starts[reached], start)
-        over = max(starts) + span_us
-        if waiting or (max(starts) >= 0 and over >= closed):
-            state.update(([at for at, _ in waiting], [stage for _, stage in waiting], starts))
-            state.setTimeoutTimestamp(max((waiting[0][0] if waiting else over) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            # no start can be completed any more
-            state.remove()
-        yield pd.DataFrame(found, columns=["key", "first_us", "last_us"])
-
-    return (
-        rows.withWatermark("ts", delay)
-        .groupBy("key")
-        .applyInPandasWithState(
-            advance, RESULT, "times array<long>, kinds array<int>, starts array<long>", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        return found
+
+    def close(self) -> None:
+        pass
+
+
+def sequences(rows: DataFrame, n_stages: int, span_us: int, delay: str) -> DataFrame:
+    """(key, first_us, last_us) of events that complete all stages in order, within ``span_us`` of the first.
+
+    The start is the latest that leads to the event. Results of an hour come once the watermark has passed it.
+    Needs a state store with named states (``run.STATE_STORE``).
+    """
+    result = T.StructType(
+        [T.StructField("key", rows.schema["key"].dataType), T.StructField("first_us", T.LongType()), T.StructField("last_us", T.LongType())]
     )
+    grouped = rows.withWatermark("ts", delay).groupBy("key")
+    return grouped.transformWithStateInPandas(_Sequences(n_stages, span_us), result, "Append", "EventTime")

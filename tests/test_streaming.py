@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberwatch.streaming import jobs
-from emberwatch.streaming.run import append_to_table, read_parquet_stream
+from emberwatch.streaming.run import STATE_STORE, append_to_table, append_whole, read_parquet_stream
 from emberwatch.streaming.sequences import sequences, staged
 
 HOUR = 3_600_000_000
@@ -26,14 +26,18 @@ def stream(spark, tmp_path):
     return source.select("k", "us", "kind", "ts")
 
 
-def test_sequence_over_batches(stream):
-    named = stream.select(F.concat(F.lit("user-"), "k").alias("k"), "ts", "kind")
-    rows = staged(named, [(F.col("kind") == n, "k") for n in "abc"], "ts")
-    got = {(int(r["key"].removeprefix("user-")), r["first_us"], r["last_us"]) for r in append_to_table(sequences(rows, 3, 8 * HOUR, "3 hours"), "s").collect()}
-    closed = (max(us for _, us, _ in ROWS) // 1000 - 3 * 3_600_000) * 1000
+@pytest.mark.parametrize("key", ["k", "name", "half"])
+def test_sequence_over_batches(stream, key):
+    """Keys of several types; rows of one hour come in several files; all is out at the end."""
+    name = F.concat(F.lit("user-"), "k")
+    named = stream.select("k", name.alias("name"), (F.col("k") / 2).alias("half"), "ts", "kind")
+    stages = [(F.col("kind") == n, key) for n in "abc"]
+    found = append_whole(named, "ts", lambda s: sequences(staged(s, stages, "ts"), 3, 8 * HOUR, "3 hours"), "s", STATE_STORE)
+    number = {"k": lambda v: v, "name": lambda v: int(v.removeprefix("user-")), "half": lambda v: int(2 * v)}[key]
+    got = [(number(r["key"]), r["first_us"], r["last_us"]) for r in found.collect()]
     expected = set()
     for k, c, kind in ROWS:
-        if kind != "c" or c > closed:
+        if kind != "c":
             continue
         starts = [
             a for k1, a, k_a in ROWS if k1 == k and k_a == "a" and c - 8 * HOUR <= a
@@ -41,6 +45,20 @@ def test_sequence_over_batches(stream):
         ]
         if starts:
             expected.add((k, max(starts), c))
+    assert set(got) == expected and len(got) == len(expected) > 50
+
+
+def test_sessions_to_the_end(stream):
+    found = append_whole(stream.select("k", "ts"), "ts", lambda s: jobs.gap_sessions(s, ["k"], "ts", "2 hours", "3 hours"), "g")
+    got = {(r.k, r.n) for r in found.select("k", F.unix_micros("last_ts").alias("last"), "n").collect()}
+    expected = set()
+    for k in {k for k, *_ in ROWS}:
+        times, n = sorted(us for other, us, _ in ROWS if other == k), 1
+        for a, b in zip(times, [*times[1:], None]):
+            if b is None or b - a >= 2 * HOUR:
+                expected.add((k, n))
+                n = 0
+            n += 1
     assert got == expected
 
 
