@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators.skew import spread
 
+_H = "[A-Fa-f0-9]{1,4}"
+#: All eight groups, or a double colon behind one group and more.
+_IPV6 = "|".join([rf"(?:{_H}:){{7}}{_H}\b"] + [rf"(?:{_H}:){{{n}}}(?::{_H}){{1,{7 - n}}}\b" for n in range(6, 0, -1)] + [rf"(?:{_H}:){{1,7}}:"])
+
 #: One pattern per indicator type, in the subset that regex engines agree on.
 PATTERNS = {
     "ip": r"\b(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}\b",
+    "ipv6": rf"\b(?:{_IPV6})",
     "domain": r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b",
     "url": r"https?://[^\s\"'<>]+",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -22,6 +27,7 @@ PATTERNS = {
 #: A cheap test that must hold before a pattern is worth running.
 GATES = {
     "ip": ".",
+    "ipv6": ":",
     "domain": ".",
     "url": "://",
     "email": "@",

@@ -131,15 +131,17 @@ def ioc_extract_html(spark, sf_dir):
 
 
 @query("ioc_extract_events", with_log(", fields AS (SELECT event_id, unnest(["
+    + "{'f': 'rawLine', 't': raw}, {'f': 'message', 't': message}, {'f': 'SubjectUserName', 't': account}, {'f': 'ProcessGuid', 't': guid}, "
+    + "{'f': 'DestinationPort', 't': CASE WHEN eid = 3 THEN dst_port END}, {'f': 'Protocol', 't': CASE WHEN eid = 3 THEN 'tcp' END}, "
     + "{'f': 'ip', 't': dst_ip}, {'f': 'processName', 't': image}, {'f': 'processCmd', 't': cmdline}, "
     + "{'f': 'Image', 't': image}, {'f': 'CommandLine', 't': cmdline}, {'f': 'ParentImage', 't': parent_image}, "
     + "{'f': 'DestinationIp', 't': CASE WHEN eid = 3 THEN dst_ip END}, "
     + "{'f': 'QueryName', 't': CASE WHEN eid = 22 THEN 'q' || CAST(event_id % 9 AS VARCHAR) || '.example.com' END}]) AS x FROM log), "
     + "cells AS (SELECT event_id, x.f AS field, x.t AS text FROM fields WHERE x.t <> ''), found AS ("
-    + _found("cells", "event_id, field", "text", ["ip", "domain", "url", "registry"])
+    + _found("cells", "event_id, field", "text", list(I.PATTERNS))
     + ") SELECT field, type, value, count(*) AS n FROM found GROUP BY field, type, value"))
 def ioc_extract_events(spark, sf_dir):
-    found = I.extract_events(log_events(spark, sf_dir).drop("rawLine", "message"), "event_id", ["ip", "domain", "url", "registry"])
+    found = I.extract_events(log_events(spark, sf_dir), "event_id")
     return found.groupBy("field", "type", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -150,15 +152,15 @@ def ioc_counts(spark, sf_dir):
 
 
 @query("ioc_pivot", f"""
-WITH found AS ({_found('pages', 'page_id', 'url', ['domain'])}),
+WITH found AS ({_found('pages', 'page_id', 'html', ['domain'])}),
 best AS (SELECT value FROM found GROUP BY value ORDER BY count(*) DESC, value LIMIT 1)
 SELECT page_id, url FROM pages WHERE page_id IN (SELECT page_id FROM found WHERE value IN (SELECT value FROM best))""")
 def ioc_pivot(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    found = I.extract(pages, "url", ["page_id"], ["domain"])
+    pages = table(spark, sf_dir, "pages")
+    found = I.extract(pages, "html", ["page_id"], ["domain"])
     # the most frequent indicator: one row
     best = I.counts(found, "page_id").orderBy(F.col("n").desc(), "value").first()
-    return I.pivot(found, pages, "page_id", best["type"], best["value"])
+    return I.pivot(found, pages.select("page_id", "url"), "page_id", best["type"], best["value"])
 
 
 @query("ip_scope", with_log("""
@@ -173,8 +175,9 @@ def ip_scope(spark, sf_dir):
 , counted AS (SELECT type, value, count(*) AS n FROM found GROUP BY type, value),
 p AS (SELECT type, value, n, sha256(type || ':' || value) AS h, CASE type
   WHEN 'ip' THEN '[ipv4-addr:value = ''' || value || ''']'
+  WHEN 'ipv6' THEN '[ipv6-addr:value = ''' || value || ''']'
   WHEN 'domain' THEN '[domain-name:value = ''' || value || ''']'
-  WHEN 'url' THEN '[url:value = ''' || value || ''']'
+  WHEN 'url' THEN '[url:value = ''' || replace(replace(value, '\\', '\\\\'), '''', '\\''') || ''']'
   WHEN 'email' THEN '[email-addr:value = ''' || value || ''']'
   WHEN 'hash' THEN CASE length(value) WHEN 32 THEN '[file:hashes.MD5 = ''' WHEN 40 THEN '[file:hashes.''SHA-1'' = '''
     ELSE '[file:hashes.''SHA-256'' = ''' END || value || ''']' END AS pattern FROM counted)
@@ -193,7 +196,7 @@ def export_stix(spark, sf_dir):
 
 @query("export_stix_written", _DOC_FOUND + """
 SELECT 'indicator' AS type, count(DISTINCT type || value) AS n, count(DISTINCT type || value) AS ids FROM found
-WHERE type IN ('ip', 'domain', 'url', 'email', 'hash') UNION ALL SELECT 'identity', 1, 1""")
+WHERE type IN ('ip', 'ipv6', 'domain', 'url', 'email', 'hash') UNION ALL SELECT 'identity', 1, 1""")
 def export_stix_written(spark, sf_dir):
     """The whole export as JSON lines, identity object included, read back."""
     path = scratch_path(spark, "stix")

@@ -319,6 +319,78 @@ def union_files(spark, sf_dir):
     return events.groupBy(F.col("sourceType").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def windows_lines(spark, sf_dir):
+    """XML files: events over several lines, all on few lines, none; and files of other names."""
+    log = flat_log(spark, sf_dir).select("event_id", "source_file", "host", "eid", "image")
+    name = F.when(F.col("source_file") == "f3", F.lit(".txt")).otherwise(F.lit(".xml"))
+    file = F.concat("source_file", F.lit("-"), "host", name).alias("file")
+    head = F.concat(F.lit('<Event><System><Provider Name="P"/><EventID>'), F.col("eid").cast("string"), F.lit("</EventID>"))
+    tail = F.concat(F.lit('<EventData><Data Name="Image">'), "image", F.lit("</Data></EventData></Event>"))
+    computer = F.concat(F.lit("<Computer>"), "host", F.lit("</Computer></System>"))
+    one = F.concat(head, computer, tail)
+    texts = (
+        F.when(F.col("source_file").isin("f0", "f3"), F.array(head, computer, F.lit(""), tail))
+        .when(F.col("source_file") == "f1", F.array(F.concat(F.lit("<Events>"), one, one)))
+        .when(F.col("source_file") == "f2", F.array(F.lit("<?xml version='1.0'?>")))
+        .otherwise(F.array(F.lit("nothing to see")))
+    )
+    lines = log.select("event_id", file, F.posexplode(texts).alias("line", "value"))
+    return lines.select("file", (F.col("event_id") * 4 + F.col("line")).alias("pos"), "value")
+
+
+_WINDOWS = """
+, files AS (SELECT source_file, source_file || '-' || host || CASE WHEN source_file = 'f3' THEN '.txt' ELSE '.xml' END AS file, eid, image FROM log),
+routes AS (SELECT file, CASE WHEN source_file IN ('f0', 'f1') THEN 'evtx' END AS format,
+  CAST(CASE source_file WHEN 'f0' THEN count(*) WHEN 'f1' THEN 2 * count(*) ELSE 0 END AS BIGINT) AS rows,
+  CASE WHEN source_file IN ('f3', 'f4') THEN 'Unsupported log format' WHEN source_file = 'f2' THEN 'No parseable events found' END AS reason,
+  CAST(sum(eid) AS BIGINT) AS eids FROM files GROUP BY file, source_file)
+"""
+
+
+@query("format_route_windows", with_log(_WINDOWS + "SELECT file, format, rows, reason FROM routes"))
+def format_route_windows(spark, sf_dir):
+    return routing.route(windows_lines(spark, sf_dir), "windows")
+
+
+@query("union_files_windows", with_log(_WINDOWS + """
+SELECT file, rows AS n, CAST(eids * rows / (SELECT count(*) FROM files f WHERE f.file = r.file) AS BIGINT) AS event_ids
+FROM routes r WHERE format IS NOT NULL"""))
+def union_files_windows(spark, sf_dir):
+    lines = windows_lines(spark, sf_dir)
+    events = routing.parse_routed(lines, routing.route(lines, "windows"), _as_of())
+    return events.groupBy(F.col("sourceFile").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum("eventId").alias("event_ids"))
+
+
+@query("ingest_folder", with_log("""
+, files AS (SELECT source_file, source_file || '-' || host || CASE WHEN source_file = 'f3' THEN '.txt' ELSE '.xml' END AS file, event_id FROM log),
+counted AS (SELECT file, source_file, count(*) AS n, count(*) FILTER (event_id % 7 = 0) AS bad FROM files GROUP BY ALL),
+seen AS (SELECT file, source_file, CASE source_file WHEN 'f0' THEN n WHEN 'f1' THEN n + bad WHEN 'f2' THEN n ELSE 0 END AS rows,
+  CASE source_file WHEN 'f0' THEN n WHEN 'f1' THEN n ELSE 0 END AS events FROM counted)
+SELECT file, CASE WHEN rows = 0 THEN 'skipped' WHEN events = 0 THEN 'error' WHEN events < rows THEN 'partial' ELSE 'parsed' END AS status,
+  CASE WHEN rows > 0 THEN 'evtx' END AS format, rows, events,
+  CASE WHEN rows = 0 THEN 'Unsupported log format' WHEN events < rows THEN (rows - events) || ' of ' || rows || ' records could not be read' END AS reason
+FROM seen"""))
+def ingest_folder(spark, sf_dir):
+    """A folder with whole files, some with broken events, some of broken events only, unknown and blank ones."""
+    lines = windows_lines(spark, sf_dir).filter(~F.col("file").startswith("f1") & ~F.col("file").startswith("f2") & ~F.col("file").startswith("f4"))
+    log = flat_log(spark, sf_dir).select("event_id", F.concat("source_file", F.lit("-"), "host", F.lit(".xml")).alias("file"), "source_file")
+    good = F.lit("<Event><System><EventID>1</EventID></System></Event>")
+    bad = F.lit("<Event><Lost/></Event>")
+    texts = (
+        F.when((F.col("source_file") == "f1") & (F.col("event_id") % 7 == 0), F.array(bad, good))
+        .when(F.col("source_file") == "f1", F.array(good))
+        .when(F.col("source_file") == "f2", F.array(bad))
+        .otherwise(F.array(F.lit("")))
+    )
+    other = log.filter(F.col("source_file").isin("f1", "f2", "f4")).select("event_id", "file", F.posexplode(texts).alias("line", "value"))
+    lines = lines.unionByName(other.select("file", (F.col("event_id") * 4 + F.col("line")).alias("pos"), "value"))
+    folder = scratch_path(spark, "folder")
+    dealt = lines.repartition("file").sortWithinPartitions("file", "pos").withColumn("name", F.col("file"))
+    dealt.select("value", "name").write.partitionBy("name").text(folder)
+    _, report = routing.ingest_folder(spark, folder, "windows", _as_of(), F.regexp_extract("path", r"name=([^/]+)/", 1))
+    return report
+
+
 @query("carve_event_fragments", r"""
 SELECT DISTINCT page_id, trim(unnest(regexp_extract_all(html, '(?is)<a(?:\s[^>]*)?>.*?</a>'))) AS fragment FROM pages""")
 def carve_event_fragments(spark, sf_dir):

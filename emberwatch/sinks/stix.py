@@ -11,7 +11,9 @@ IDENTITY = "identity--emberwatch"
 
 def pattern(type_: Column, value: Column) -> Column:
     """STIX pattern by type, NULL for types that have none; hashes by their length."""
-    quoted = lambda path: F.concat(F.lit(f"[{path} = '"), value, F.lit("']"))
+    # a backslash and a quote are escaped in a pattern's text
+    text = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    quoted = lambda path: F.concat(F.lit(f"[{path} = '"), text, F.lit("']"))
     hashed = (
         F.when(F.length(value) == 32, quoted("file:hashes.MD5"))
         .when(F.length(value) == 40, quoted("file:hashes.'SHA-1'"))
@@ -19,6 +21,7 @@ def pattern(type_: Column, value: Column) -> Column:
     )
     return (
         F.when(type_ == "ip", quoted("ipv4-addr:value"))
+        .when(type_ == "ipv6", quoted("ipv6-addr:value"))
         .when(type_ == "domain", quoted("domain-name:value"))
         .when(type_ == "url", quoted("url:value"))
         .when(type_ == "hash", hashed)

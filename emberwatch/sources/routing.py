@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.text import stripped
 from emberwatch.operators.predicates import any_of
 from emberwatch.schema import union_events
+from emberwatch.session import cut_lineage, scratch_path
 from emberwatch.sources import linux, tables, windows
 
 #: File names that hint at a format.
@@ -19,13 +20,19 @@ JOURNAL_HINTS = ["journal", "journalctl", "jsonl", "ndjson"]
 
 @dataclass(frozen=True)
 class LogFormat:
-    """A parser plug-in: how a sample is recognised, which lines give rows, and the parser."""
+    """A parser plug-in: how a file is recognised, how many rows a line gives, the parser, and what makes records of lines.
+
+    ``records`` turns the lines of all files of the format (source_file, pos, value) into one row per record, so
+    a record may span lines; without it each line is one.
+    """
 
     name: str
     platform: str
     recognised: Column | Callable[[], Column]
     yields: Callable[[], Column]
     parse: Callable[..., DataFrame]
+    records: Callable[[DataFrame], DataFrame] | None = None
+    needs_time: bool = False
 
 
 def _named(hints: list[str]) -> Column:
@@ -42,7 +49,7 @@ def _recognised_journal() -> Column:
 
 #: Formats in the order they are tried.
 FORMATS = [
-    LogFormat("evtx", "windows", _recognised_xml, lambda: F.col("value").rlike(r"<Event[\s>]"), windows.parse_event_xml),
+    LogFormat("evtx", "windows", _recognised_xml, lambda: windows.event_starts(F.col("value")), windows.parse_event_xml, windows.event_records),
     LogFormat(
         "linux-journal",
         "linux",
@@ -63,6 +70,7 @@ FORMATS = [
         lambda: F.col("has_syslog") | _named(SYSLOG_HINTS),
         lambda: stripped(F.col("value")).rlike(linux.SYSLOG_LINE),
         linux.parse_syslog,
+        needs_time=True,
     ),
 ]
 
@@ -89,7 +97,7 @@ def route(lines: DataFrame, platform: str, formats: list[LogFormat] | None = Non
     task; no text is shuffled.
     """
     own = [f for f in formats or FORMATS if f.platform == platform]
-    counts = [F.count_if(f.yields()).alias(f"_n_{i}") for i, f in enumerate(own)]
+    counts = [F.coalesce(F.sum(f.yields().cast("long")), F.lit(0)).alias(f"_n_{i}") for i, f in enumerate(own)]
     frame = lines.groupBy("file").agg(*counts, *_marks())
     chosen, rows, known = F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(False)
     for i, f in reversed(list(enumerate(own))):
@@ -130,18 +138,80 @@ def report_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
 
 
-def parse_routed(lines: DataFrame, routes: DataFrame, as_of: Column) -> DataFrame:
-    """Every file's lines through the parser it was routed to."""
+def parse_routed(lines: DataFrame, routes: DataFrame, as_of: Column, formats: list[LogFormat] | None = None) -> DataFrame:
+    """Every file's lines, as records of its format, through the parser it was routed to.
+
+    Lines are written once, in a folder per format, and each parser reads its own folder.
+    """
+    spark = lines.sparkSession
     tagged = lines.withColumnRenamed("file", "source_file").join(
-        routes.select(F.col("file").alias("source_file"), "format"), "source_file"
+        routes.filter(F.col("format").isNotNull()).select(F.col("file").alias("source_file"), "format"), "source_file"
     )
+    path = scratch_path(spark, "routed")
+    tagged.select("source_file", "pos", "value", "format").write.partitionBy("format").parquet(path)
+    schema = tagged.select("source_file", "pos", "value", "format").schema
+    kept = spark.read.schema(schema).parquet(path)
     frames = []
-    for f in FORMATS:
-        own = tagged.filter(F.col("format") == f.name)
-        frames.append(f.parse(own, as_of) if f.name == "linux-syslog" else f.parse(own))
+    for f in formats or FORMATS:
+        own = kept.filter(F.col("format") == f.name).drop("format")
+        own = f.records(own) if f.records else own
+        frames.append(f.parse(own, as_of) if f.needs_time else f.parse(own))
     return union_events(*frames)
 
 
+def read_lines(spark: SparkSession, folder: str, name: Column | None = None) -> DataFrame:
+    """All lines below a folder as (file, pos, value), in files' order also where a file is split among tasks.
+
+    A file that cannot be read to its end gives the lines up to there. ``name`` says what a file is
+    called, its path by default.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+    path, block = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")
+    rows = reader.text(folder).select(path, block, F.monotonically_increasing_id().alias("row"), "value")
+    # a line's number in its block is at most its place in bytes there, so the sums are in order
+    first = rows.groupBy("path", "block").agg(F.min("row").alias("first"))
+    placed = rows.join(first, ["path", "block"])
+    return placed.select((F.col("path") if name is None else name).alias("file"), (F.col("block") + F.col("row") - F.col("first")).alias("pos"), "value")
+
+
+def ingest_folder(
+    spark: SparkSession, folder: str, platform: str, as_of: Column, name: Column | None = None, formats: list[LogFormat] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The events of all files below a folder, and a report with one row per file, whatever became of it.
+
+    The report has file, status, format, rows (records seen), events (records read) and reason. Files come from
+    the listing that Spark's readers hold on the driver anyway, so those without a byte are there too. ``parsed``: all records were read; ``partial``: some;
+    ``error``: none, or the file has bytes but no line could be read; ``skipped``: empty, or of no known format.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    named = (F.col("path") if name is None else name).alias("file")
+    listed = spark.createDataFrame([(path,) for path in listing.inputFiles()], "path string").select(named, F.lit(0).alias("length"))
+    # readers pass over files without a byte
+    files = listing.select(named, "length").union(listed).groupBy("file").agg(F.sum("length").alias("length"))
+    lines = read_lines(spark, folder, name)
+    routes = cut_lineage(route(lines, platform, formats))
+    events = parse_routed(lines, routes, as_of, formats)
+    read = events.groupBy(F.col("sourceFile").alias("file")).agg(F.count(F.lit(1)).alias("events"))
+    frame = files.join(routes, "file", "left").join(read, "file", "left")
+    frame = frame.withColumns({"rows": F.coalesce("rows", F.lit(0)), "events": F.coalesce("events", F.lit(0))})
+    lost = F.col("rows") - F.col("events")
+    unread = (F.col("length") > 0) & F.col("format").isNull() & F.col("reason").isNull()
+    status = (
+        F.when(unread | (F.col("format").isNotNull() & (F.col("events") == 0)), F.lit("error"))
+        .when(F.col("format").isNull(), F.lit("skipped"))
+        .when(lost > 0, F.lit("partial"))
+        .otherwise(F.lit("parsed"))
+    )
+    shown = F.concat(lost.cast("string"), F.lit(" of "), F.col("rows").cast("string"), F.lit(" records could not be read"))
+    reason = (
+        F.when(F.col("length") == 0, F.lit("Empty file"))
+        .when(unread, F.lit("File could not be read"))
+        .when(F.col("format").isNotNull() & (lost > 0), shown)
+        .otherwise(F.col("reason"))
+    )
+    return events, frame.select("file", status.alias("status"), "format", "rows", "events", reason.alias("reason"))
+
+
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Every XML, EVTX-XML, CSV and TSV file below a folder as one event table; other files yield nothing.
 

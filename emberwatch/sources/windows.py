@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from emberwatch.functions.text import cut, empty_as_null, last_wins_map, leading_int, quote_regex
 from emberwatch.operators.skew import first_n, once, spread
+from emberwatch.operators.timeline import running_total
 from emberwatch.schema import to_event_schema
 
 #: Names of the event levels.
@@ -67,6 +68,33 @@ def read_event_xml(spark, path: str, pattern: str = "*") -> DataFrame:
     return rows.select(F.concat("_body", F.lit(CLOSING_TAG)).alias("value"), "source_file", "_block", "_row")
 
 
+_OPENING = r"<Event[\s>]"
+
+
+def event_starts(line: Column) -> Column:
+    """Events that begin on a line."""
+    return F.regexp_count(line, F.lit(_OPENING))
+
+
+def event_records(lines: DataFrame) -> DataFrame:
+    """Lines of XML files (source_file, pos, value) as one row of text per event, however events and lines lie.
+
+    A line is cut where events begin, pieces are numbered by the events begun so far in their file, in slices, and
+    the pieces of one event are put together. No file is one group.
+    """
+    piece = F.posexplode(F.split("value", rf"(?={_OPENING})", -1)).alias("_piece", "_text")
+    pieces = lines.select("source_file", "pos", piece).withColumn("_order", F.col("pos").cast("long") * (1 << 31) + F.col("_piece"))
+    begins = F.col("_text").rlike(f"^{_OPENING}").cast("long")
+    numbered = running_total(pieces, ["source_file"], "_order", {"_number": begins}, (1 << 31) * 4096).filter(F.col("_number") > 0)
+    part = F.struct(F.col("_order").alias("at"), F.col("pos").alias("pos"), F.col("_text").alias("text"))
+    events = numbered.groupBy("source_file", "_number").agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    # pieces of different lines had a line break between them
+    broken = lambda i: (i > 0) & (F.get(F.col("_parts"), i - 1)["pos"] != F.get(F.col("_parts"), i)["pos"])
+    texts = F.transform("_parts", lambda p, i: F.concat(F.when(broken(i), F.lit("\n")).otherwise(F.lit("")), p["text"]))
+    whole = F.regexp_extract(F.array_join(texts, ""), rf"(?s)^(.*?{CLOSING_TAG})", 1)
+    return events.select("source_file", whole.alias("value")).filter(F.col("value") != "")
+
+
 def parse_event_xml(
     rows: DataFrame, keep: list[str] | None = None, compact: bool = False, data_fields: int = COMPACT_FIELDS
 ) -> DataFrame:
