@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.operators.detection import hits_of_rows
+from emberwatch.operators.rules import Rule
+from emberwatch.operators.skew import once
 from emberwatch.operators.timeline import sessions
 from emberwatch.operators.triage import LEVEL_WEIGHT
 
@@ -29,6 +32,24 @@ def per_event(matches: DataFrame, key: str) -> DataFrame:
     )
 
 
+def detected_events(events: DataFrame, rules: list[Rule], keep: list[str], **options) -> DataFrame:
+    """Every event with number, weight and highest level of its matches, from the detecting scan itself."""
+    frame, found = hits_of_rows(events, rules, keep, **options)
+    of_level = {name: [r.rule_id for r in rules if (r.level or "low") == name] for name in LEVEL_RANK}
+
+    def number(hit: Column, table: dict[str, int]) -> Column:
+        value = F.lit(table["low"])
+        for name, ids in of_level.items():
+            value = F.when(hit["rule_id"].isin(ids), F.lit(table[name])).otherwise(value) if ids else value
+        return value
+
+    rows = once(frame.select(*keep, found.alias("_found")), F.col("_found"), "_hits")
+    weight = F.aggregate(F.transform("_hits", lambda h: number(h, LEVEL_WEIGHT)), F.lit(0), lambda a, x: a + x)
+    rank = F.coalesce(F.array_max(F.transform("_hits", lambda h: number(h, LEVEL_RANK))), F.lit(0))
+    counts = {"n_matches": F.size("_hits").cast("long"), "weight": weight.cast("long"), "rank": rank}
+    return rows.select(*keep, *(c.alias(n) for n, c in counts.items()))
+
+
 def chain_events(
     events: DataFrame, matches: DataFrame, keys: list[str], order: str, event_id: str, gap: int
 ) -> DataFrame:

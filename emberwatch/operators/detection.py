@@ -197,15 +197,19 @@ def _reason(rule_id: str, selection: str, name: str, value: Column, modifier: st
     )
 
 
+def hits_of_rows(events: DataFrame, rules: list[Rule], keep: list[str], **options) -> tuple[DataFrame, Column]:
+    """Events, and a row's hits (rule_id, title) as one array; rules with a count test speak of groups and take no part."""
+    settings = {"route": False, "placeholders": None, "mapping": None} | options
+    own = [r for r in rules if "|" not in r.condition]
+    return _hit_arrays(events, own, keep, **settings)
+
+
 def titles_per_event(events: DataFrame, rules: list[Rule], keep: list[str], **options) -> DataFrame:
     """Every event with the titles of the rules that hold for it, in order, from the detecting scan itself.
 
-    Events with the same raw line and time have the same titles. Rules with a
-    count test speak of groups, not of an event, and take no part.
+    Events with the same raw line and time have the same titles.
     """
-    settings = {"route": False, "placeholders": None, "mapping": None} | options
-    own = [r for r in rules if "|" not in r.condition]
-    frame, found = _hit_arrays(events, own, keep, **settings)
+    frame, found = hits_of_rows(events, rules, keep, **options)
     titles = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda h: h["title"]))), ", ")
     return frame.select(*keep, titles.alias("titles"))
 

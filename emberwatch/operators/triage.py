@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions.text import basename, first_filled
@@ -65,13 +65,19 @@ def _factor(df: DataFrame, by: list[str], name: str, points: Column, detail: Col
 
 
 def _with_names(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Distinct values of ``name`` as n, and the first ``NAMES_SHOWN`` of them as names."""
+    """Distinct values of ``name`` as n, and the first ``NAMES_SHOWN`` of them as names.
+
+    The distinct names of a host are few, so they are numbered in one window and counted in one aggregate.
+    """
     distinct = rows.select(*by, name).distinct()
-    counts = _grouped(distinct, by, F.count(name).alias("n"))
-    # a test for null would be worked out again below the totals; the lists leave nulls out anyway
-    shown = first_n(distinct, by, [F.col(name).asc_nulls_last()], NAMES_SHOWN, F.col(name))
-    names = _grouped(shown, by, F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("names"))
-    return counts.join(names, by) if by else counts.withColumn("names", names.scalar())
+    if not by:
+        # the lists leave nulls out
+        shown = first_n(distinct, by, [F.col(name).asc_nulls_last()], NAMES_SHOWN, F.col(name))
+        names = shown.agg(F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("names"))
+        return distinct.agg(F.count(name).alias("n")).withColumn("names", names.scalar())
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(name).asc_nulls_last()))
+    shown = F.array_sort(F.collect_list(F.when(F.col("_place") <= NAMES_SHOWN, F.col(name))))
+    return distinct.withColumn("_place", place).groupBy(*by).agg(F.count(name).alias("n"), F.array_join(shown, ", ").alias("names"))
 
 
 def match_totals(matches: DataFrame, by: list[str] | None = None) -> DataFrame:

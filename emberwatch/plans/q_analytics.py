@@ -8,8 +8,9 @@ from emberwatch.operators import chains as C
 from emberwatch.operators import facets as FA
 from emberwatch.operators import network as N
 from emberwatch.operators import triage as T
+from emberwatch.operators.timeline import sessions
 from emberwatch.plans.binding import log_events, with_log
-from emberwatch.plans.q_detection import MATCHES, matches
+from emberwatch.plans.q_detection import MATCHES, RULES, matches
 from emberwatch.plans.registry import query, table
 
 # ---------------------------------------------------------------- triage
@@ -243,8 +244,8 @@ kept AS (SELECT *, (['low', 'medium', 'high', 'critical'])[r] AS severity,
 
 
 def _members(spark, sf_dir):
-    events = log_events(spark, sf_dir).select("event_id", "host", "us", F.col("processName").alias("image"))
-    return C.chain_events(events, matches(spark, sf_dir), ["host"], "us", "event_id", _GAP)
+    weighted = C.detected_events(log_events(spark, sf_dir), RULES, ["event_id", "host", "us", "processName"], route=True)
+    return sessions(weighted.withColumnRenamed("processName", "image"), ["host"], "us", _GAP)
 
 
 def _chains(spark, sf_dir):

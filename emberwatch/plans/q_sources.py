@@ -256,6 +256,23 @@ def ingest_csv(spark, sf_dir):
     )
 
 
+@query("ingest_csv_files", with_log("""
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, host AS computer, 'first, "of"' || chr(10) || message AS message FROM log"""))
+def ingest_csv_files(spark, sf_dir):
+    """CSV files on disk, with quotes, separators and line breaks inside their cells, by the built-in reader."""
+    log = flat_log(spark, sf_dir)
+    cell = F.concat(F.lit('"first, ""of""\n'), "message", F.lit('"'))
+    row = F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), cell, "host", F.col("event_id").cast("string"))
+    rows = log.select("source_file", F.col("event_id").alias("pos"), row.alias("value"))
+    header = log.select("source_file").distinct().withColumns({"pos": F.lit(-1).cast("long"), "value": F.lit("Time,Message,Computer,Row")})
+    folder = scratch_path(spark, "csv")
+    dealt = rows.unionByName(header).repartition("source_file").sortWithinPartitions("source_file", "pos")
+    dealt.select("value", "source_file").write.partitionBy("source_file").text(folder)
+    events = tables.read_tables(spark, folder, "*.txt")
+    row_id = F.element_at("eventData", "Row").cast("long").alias("event_id")
+    return events.select(row_id, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"), "computer", "message")
+
+
 def routed_lines(spark, sf_dir):
     """Files of four kinds: journal, auditd, syslog and neither, by source file and host."""
     log = flat_log(spark, sf_dir).select("event_id", "source_file", "host")

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberwatch.operators.detection import detect, rule_hits
+from emberwatch.operators.detection import detect, hits_of_rows, rule_hits
 from emberwatch.plans.binding import as_events, flatten, with_log
 from emberwatch.plans.q_detection import MATCHES, RULES
 from emberwatch.plans.q_temporal import DAY, HOUR, SESSIONS
-from emberwatch.plans.registry import query
+from emberwatch.plans.registry import query, table
+from emberwatch.session import scratch_path
 from emberwatch.streaming import jobs
-from emberwatch.streaming.run import STATE_STORE, append_to_table, append_whole, latest_updates, read_parquet_stream
+from emberwatch.streaming.run import STATE_STORE, append_to_table, append_whole, latest_updates, read_parquet_stream, write_with_progress
 from emberwatch.streaming.sequences import sequences, staged
 
 
@@ -115,6 +116,24 @@ def stream_detect(spark, sf_dir):
     return append_to_table(rule_hits(events, RULES, ["event_id"], route=True), "detect")
 
 
+@query("stream_progress", with_log(MATCHES + """
+SELECT 'events' AS measure, 4 AS batches, CAST(count(*) AS DOUBLE) AS total FROM log
+UNION ALL SELECT 'hits', 4, CAST(count(*) AS DOUBLE) FROM hits
+UNION ALL SELECT 'written', 4, CAST((SELECT count(*) FROM log) AS DOUBLE)"""))
+def stream_progress(spark, sf_dir):
+    """Detection over the log in four files, one a batch: what each batch saw and found adds up to the whole."""
+    folder = scratch_path(spark, "parts")
+    events = table(spark, sf_dir, "events")
+    events.withColumn("part", F.col("event_id") % 4).repartition(4, "part").write.partitionBy("part").parquet(folder)
+    log = as_events(flatten(read_parquet_stream(spark, folder, "*.parquet", files_per_batch=1)))
+    frame, found = hits_of_rows(log, RULES, ["event_id"], route=True)
+    seen = frame.select("event_id", F.size(found).alias("n_hits"))
+    rows, progress = write_with_progress(seen, "scan", events=F.count(F.lit(1)), hits=F.sum("n_hits"))
+    totals = progress.groupBy("measure").agg(F.count_distinct("batch").cast("int").alias("batches"), F.sum("value").alias("total"))
+    written = rows.agg(F.lit("written").alias("measure"), F.count_distinct("batch").cast("int").alias("batches"), F.count(F.lit(1)).cast("double").alias("total"))
+    return totals.unionByName(written)
+
+
 @query("stream_dedupe", "SELECT event_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
     stream = log_stream(spark, sf_dir).select("event_id", "event_type", "ts")

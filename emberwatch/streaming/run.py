@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.session import scratch_path
@@ -20,10 +20,11 @@ def is_marker(ts: str) -> Column:
     return F.coalesce(F.col(ts) >= F.lit(END).cast("timestamp"), F.lit(False))
 
 
-def read_parquet_stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+def read_parquet_stream(spark: SparkSession, folder: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
     """Parquet files of a folder as a stream; the schema is that of the files there now."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
 def append_to_table(stream: DataFrame, name: str) -> DataFrame:
@@ -68,6 +69,27 @@ def append_whole(
     return spark.read.schema(found.schema).parquet(path)
 
 
+def write_with_progress(stream: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, DataFrame]:
+    """Process all that is available batch by batch: what was written, and one row of progress per batch.
+
+    ``measures`` are aggregates over a batch's rows, taken by ``observe`` while the batch is written. The sink is a
+    folder per batch number that a batch run again overwrites, so nothing is written or counted twice.
+    """
+    spark = stream.sparkSession
+    path, seen, state = (scratch_path(spark, f"{name}-{kind}") for kind in ("out", "progress", "state"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        observed = Observation(f"{name}-{batch_id}")
+        columns = [measure.alias(key) for key, measure in measures.items()]
+        batch.observe(observed, *columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        row = [(key, float(value or 0)) for key, value in observed.get.items()]
+        spark.createDataFrame(row, "measure string, value double").write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", state)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path), spark.read.parquet(seen)
+
+
 def latest_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Process all that is available in update mode; the last update of each key.
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberwatch.streaming import jobs
-from emberwatch.streaming.run import STATE_STORE, append_to_table, append_whole, read_parquet_stream
+from emberwatch.streaming.run import STATE_STORE, append_to_table, append_whole, read_parquet_stream, write_with_progress
 from emberwatch.streaming.sequences import sequences, staged
 
 HOUR = 3_600_000_000
@@ -72,3 +72,14 @@ def test_distinct_over_batches(stream):
         if start + 5 * HOUR <= closed:
             expected.setdefault((k, start), set()).add(kind)
     assert got == {key: len(kinds) for key, kinds in expected.items()}
+
+
+def test_progress_adds_up_and_a_repeated_batch_counts_once(spark, tmp_path):
+    for part in range(3):
+        spark.range(part * 10, part * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = read_parquet_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=1)
+    measures = {"rows": F.count(F.lit(1)), "total": F.sum("id"), "most": F.max("id")}
+    rows, progress = write_with_progress(source, "p", **measures)
+    seen = {(r.batch, r.measure): r.value for r in progress.collect()}
+    assert {b for b, _ in seen} == {0, 1, 2} and sum(v for (_, m), v in seen.items() if m == "total") == sum(range(30))
+    assert rows.count() == 30 and sorted(r.batch for r in rows.collect()) == [b for b in range(3) for _ in range(10)]
