@@ -42,9 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of this name, whatever dots or quotes are in it."""
+    return F.col("`%s`" % name.replace("`", "``"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and all other columns as one, ``row``, so that none of their names can clash."""
-    return docs.select(docs["doc_id"], docs["text"], F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"))
+    return docs.select("doc_id", "text", F.struct(*(quoted(c).alias(c) for c in docs.columns if c != "text")).alias("row"))
 
 
 def unpacked(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:

@@ -7,8 +7,11 @@ that have them. Only hashes move in the counting. A document then drops, by posi
 whose key it was told of, and the rest keeps its order.
 
 A key in very many documents is a partial count in every task, and in the join back a skewed key
-that Spark splits; no list of a key's documents is ever made. Each row of ``docs`` counts as one
-document, repeated rows too.
+that Spark splits; no list of a key's documents is ever made.
+
+Rows that share a ``doc_id`` are one document: a key that several of them have counts once. Rows are
+counted first; only the rows of repeated ids go through (key, id), and what they count too often is
+taken off. A row without ``doc_id`` is a document by itself. Each row keeps its own lines.
 
 Nulls and edges: a null or empty text has one empty line, and its kept text is empty. Keys shorter
 than ``LEAST_CHARS`` code points are never dropped. Extra columns of ``docs`` come through
@@ -37,12 +40,21 @@ def _key(line: Column) -> Column:
     return F.when(F.char_length(bare) >= LEAST_CHARS, let(ascii_lower(bare), hashes))
 
 
+def _keys(docs: DataFrame) -> DataFrame:
+    """doc_id, h1, h2: each key of each row once."""
+    own = F.array_compact(F.array_distinct(F.transform(_lines(F.col("text")), _key)))
+    return docs.select("doc_id", F.explode(own).alias("line")).select("doc_id", "line.h1", "line.h2")
+
+
 def frequent_lines(docs: DataFrame) -> DataFrame:
     """Hashes of the keys that many documents have."""
-    own = F.array_compact(F.array_distinct(F.transform(_lines(F.col("text")), _key)))
-    keys = docs.select(F.explode(own).alias("line")).select("line.h1", "line.h2")
-    counts = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
-    return counts.filter(F.col("n_docs") >= LEAST_DOCS).select("h1", "h2")
+    rows = _keys(docs).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") >= LEAST_DOCS)
+    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = written(ids.filter("n > 1").select("doc_id"), "repeated")
+    again = _keys(docs.join(repeated, "doc_id", "left_semi")).groupBy("doc_id", "h1", "h2").agg((F.count(F.lit(1)) - 1).alias("n"))
+    again = again.filter("n > 0").groupBy("h1", "h2").agg(F.sum("n").alias("n_again"))
+    n_docs = F.col("n_rows") - F.coalesce("n_again", F.lit(0))
+    return rows.join(again, ["h1", "h2"], "left").filter(n_docs >= LEAST_DOCS).select("h1", "h2")
 
 
 def without_frequent(docs: DataFrame) -> DataFrame:

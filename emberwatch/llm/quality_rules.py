@@ -171,7 +171,8 @@ def summary(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in names), F.round("quality.lost", 6).alias("lost"))
 
 
-_NOTICE = " OR ".join(f"contains(lower(line), '{phrase}')" for phrase in BOILERPLATE)
+#: Words of the notices in a line.
+_NOTICED = " + ".join(f"(length(low) - length(replace(low, '{p}', ''))) // {len(p)} * {len(p.split())}" for p in BOILERPLATE)
 
 ORACLE = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -181,10 +182,10 @@ gram AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), l
 twice AS (SELECT doc_id, x.g AS g, list(x.i) AS places FROM gram GROUP BY doc_id, x.g HAVING count(*) > 1),
 again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
     SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM (SELECT doc_id, unnest(places) AS i FROM twice)) GROUP BY doc_id),
-line AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
+line AS (SELECT doc_id, line, lower(line) AS low, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)),
 judged AS (SELECT doc_id, line, list_sum(list_transform(w, lambda x: length(x))) AS chars,
-    {_NOTICE}
+    ({_NOTICED}) >= greatest(1, len(w) * {NOTICE_SHARE}::DOUBLE)
     OR len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]') AND NOT regexp_matches(x, '{_NUMBER}'))) > len(w) * {MOST_MARKED}
     OR len(list_filter(w, lambda x: regexp_matches(x, '{_DOUBLED}'))) > len(w) * {MOST_MARKED}
     OR (len(w) >= 6 AND len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > len(w) * {MOST_MARKED})
