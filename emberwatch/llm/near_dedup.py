@@ -15,8 +15,8 @@ Two sets of similarity 0.75 share no band with a probability of 2e-6. A signatur
 when its estimate is four standard deviations below a link.
 
 Nulls and edges: a null or blank text has no shingles, is a component of its own and kept. A row
-without doc_id has a null component, is kept and links nothing. Rows that share a doc_id share
-what they link to. Columns other than ``doc_id`` and ``text`` are never read.
+without doc_id has a null component, is kept and links nothing. Rows that share a doc_id are judged
+each by its own text; where the id is the smallest of both texts' classes, they share what they link to. Columns other than ``doc_id`` and ``text`` are never read.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ PERCENT = 75
 #: Standard deviations that an estimate must be off to rule a pair out.
 SURE = 4.0
 #: Members of a bucket that are compared with as many others in one go.
-CHUNK = 2048
+CHUNK = 4096
+#: Pieces that the rows of a class are dealt out to where they learn their component.
+SALTS = 1024
 #: Size of the filter on document ids: 2^23 bits are 1 MB, whatever it is made from.
 FILTER_BITS = 1 << 23
 
@@ -200,13 +202,13 @@ def _compared(block: pa.Table) -> pa.Table:
 
     Two rows that share several buckets are compared in the one of their first shared band.
     """
-    names = ("doc_id", "component", "n_shingles", "signature", "bands", "outside", "middle")
+    names = ("doc_id", "component", "n_shingles", "signature", "bands", "outside")
     order = {name: block.column(name).combine_chunks() for name in names}
     ids, parts, sizes = (np.asarray(order[c]) for c in ("doc_id", "component", "n_shingles"))
-    outside, middle = (order[c].to_numpy(zero_copy_only=False) for c in ("outside", "middle"))
+    outside = order["outside"].to_numpy(zero_copy_only=False)
     marks, bands = _marks(order["signature"]), np.asarray(order["bands"].flatten()).reshape(-1, BANDS)
     bucket = block.column("bucket")[0].as_py()
-    theirs, mine = np.flatnonzero(~outside & ~middle), np.flatnonzero(outside)
+    theirs, mine = np.flatnonzero(~outside), np.flatnonzero(outside)
     found: list[np.ndarray] = []
     for i in mine:
         others = theirs[parts[theirs] != parts[i]]
@@ -218,26 +220,35 @@ def _compared(block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _cells(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets with several components, by the blocks in which they are compared.
+
+    The members outside a bucket's largest component are cut into chunks, and so are all of its members,
+    which meet each of those chunks. With m members, of them k outside, that is about 2 * k * m / CHUNK
+    rows, and m at least. A bucket's middle was compared with all others before.
+    """
+    at = members.filter("n > 2").join(found, "doc_id", "left")
+    at = at.select("bucket", "doc_id", "n", (F.col("doc_id") == F.col("center")).alias("middle"), F.coalesce("component_id", "doc_id").alias("component"))
+    parts = at.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    biggest = F.max(F.struct("size", "component"))
+    largest = parts.groupBy("bucket").agg(biggest["component"].alias("main"), (F.sum("size") - biggest["size"]).alias("n_outside"))
+    rows = at.filter("NOT middle").join(largest.filter("n_outside > 0"), "bucket")
+    chunk = lambda n: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / CHUNK))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / CHUNK) - 1))
+    known = ["bucket", "doc_id", "component"]
+    left = rows.filter("component <> main").select(*known, F.lit(True).alias("outside"), chunk("n_outside").alias("row"), every("n").alias("column"))
+    right = rows.select(*known, F.lit(False).alias("outside"), every("n_outside").alias("row"), chunk("n").alias("column"))
+    return left.unionByName(right)
+
+
 def _left_open(members: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of different components that share a bucket, were not compared yet and may be linked.
 
     Each row outside its bucket's largest component meets the others in blocks of ``CHUNK`` by
     ``CHUNK`` rows, so a large bucket is many tasks.
     """
-    at = members.filter("n > 2").join(found, "doc_id", "left")
-    at = at.select("bucket", "doc_id", "n", (F.col("doc_id") == F.col("center")).alias("middle"), F.coalesce("component_id", "doc_id").alias("component"))
-    parts = at.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
-    rows = at.join(largest.filter("parts > 1").drop("parts"), "bucket")
-    chunks = F.ceil(F.col("n") / CHUNK)
-    own = F.pmod(F.xxhash64("doc_id"), chunks)
-    every = F.sequence(F.lit(0).cast("long"), chunks - 1)
-    cell = lambda row, column: F.struct(row.alias("row"), column.alias("column"))
-    known = ["bucket", "doc_id", "component", "middle"]
-    left = rows.filter("component <> main AND NOT middle").select(*known, F.lit(True).alias("outside"), F.explode(F.transform(every, lambda c: cell(own, c))).alias("cell"))
-    right = rows.select(*known, F.lit(False).alias("outside"), F.explode(F.transform(every, lambda c: cell(c, own))).alias("cell"))
-    blocks_of = left.union(right).join(classes.select("doc_id", "n_shingles", "signature", "bands"), "doc_id")
-    return blocks_of.groupBy("bucket", "cell").applyInArrow(_compared, "a long, b long").distinct()
+    blocks_of = _cells(members, found).join(classes.select("doc_id", "n_shingles", "signature", "bands"), "doc_id")
+    return blocks_of.groupBy("bucket", "row", "column").applyInArrow(_compared, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,7 +277,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = written(docs.mapInArrow(_sign, _SIGNED), "signed")
     with_id = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["class_1", "class_2", "n_shingles"]
-    firsts = with_id.groupBy(*same).agg(F.min("doc_id").alias("first_id"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    dealt = with_id.groupBy(*same, salt).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    firsts = dealt.groupBy(*same).agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts"))
+    firsts = written(firsts, "firsts")
     stands = with_id.join(firsts.select(F.col("first_id").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
     classes = written(stands.dropDuplicates(["doc_id", *same]), "classes")
 
@@ -281,9 +295,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = found if more.isEmpty() else components(links.union(more))
 
     named = firsts.join(labels.withColumnRenamed("doc_id", "first_id"), "first_id", "left")
-    named = named.select(*same, F.coalesce("component_id", "first_id").alias("of_class"))
-    result = signed.select("doc_id", *same).join(named, same, "left")
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("of_class"))
+    # a class is repeated for the salts that its rows have, so no more often than it has rows; one of a single row needs no telling
+    named = named.filter("n > 1 OR component_id IS NOT NULL")
+    named = named.select(*same, F.explode("salts").alias("salt"), F.coalesce("component_id", "first_id").alias("of_class"))
+    result = signed.select("doc_id", *same, salt).join(named, [*same, "salt"], "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("of_class", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), component)
     result = result.select("doc_id", "n_shingles", component.alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -453,3 +453,26 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     """The same components when a bucket is compared in many blocks."""
     monkeypatch.setattr(near_dedup, "CHUNK", 16)
     test_near_links_far_from_the_middle(spark)
+
+
+@pytest.mark.parametrize("outside", [1, 30])
+def test_rows_sent_to_blocks(spark, monkeypatch, outside):
+    """Members of a bucket are repeated by the chunks of its outside members, not by its own size."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 10)
+    n = 200
+    members = spark.createDataFrame([(5, i, 0, n) for i in range(n)], "bucket long, doc_id long, center long, n long")
+    found = spark.createDataFrame([(i, 0) for i in range(1, n - outside)], "doc_id long, component_id long")
+    cells = near_dedup._cells(members, found).collect()
+    assert len(cells) == outside * n // 10 + (n - 1) * max(outside // 10, 1)
+    met = {(x, y) for x in cells for y in cells if x.outside and not y.outside and (x.row, x.column) == (y.row, y.column)} if outside == 1 else set()
+    assert {(x.doc_id, y.doc_id) for x, y in met} == ({(n - 1, i) for i in range(1, n)} if outside == 1 else set())
+
+
+def test_large_class_of_copies(spark, monkeypatch):
+    """Rows of a class learn their component through its salts."""
+    monkeypatch.setattr(near_dedup, "SALTS", 3)
+    copies = [(i, "a b c d e f g h") for i in range(5, 45)] + [(None, "a b c d e f g h"), (7, "other words of the same id here")]
+    rows = near_dedup.near_duplicates(table(spark, copies + [(1, "one two three four five")])).collect()
+    assert collections.Counter((r.n_shingles, r.component_id) for r in rows if r.doc_id not in (7, None)) == {(4, 5): 39, (1, 1): 1}
+    assert [(r.component_id, r.kept) for r in rows if r.doc_id is None] == [(None, True)]
+    assert sorted((r.n_shingles, r.component_id) for r in rows if r.doc_id == 7) == [(3, 7), (4, 5)]
