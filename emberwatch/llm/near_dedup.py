@@ -220,6 +220,23 @@ def _compared(block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _members(slots: DataFrame) -> DataFrame:
+    """The slots (bucket, doc_id) of buckets with several members, each with its bucket's middle and size.
+
+    A bucket is repeated for the salts that its members have, 64 at most, so that a large one is many keys.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")
+    slots = slots.withColumn("salt", salt)
+    mask = F.expr("bit_or(shiftleft(1L, salt))").alias("salts")
+    shared = slots.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.count("*").alias("n"), mask).filter("n > 1")
+    return slots.join(_salted(shared.withColumn("mask", F.col("salts"))), ["bucket", "salt"]).withColumnRenamed("mask", "salts")
+
+
+def _salted(buckets: DataFrame) -> DataFrame:
+    """``buckets`` once per salt of the bits set in ``salts``."""
+    return buckets.withColumn("salt", F.expr("explode(filter(sequence(0, 63), s -> getbit(salts, s) = 1))")).drop("salts")
+
+
 def _cells(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members of the buckets with several components, by the blocks in which they are compared.
 
@@ -228,11 +245,12 @@ def _cells(members: DataFrame, found: DataFrame) -> DataFrame:
     rows, and m at least. A bucket's middle was compared with all others before.
     """
     at = members.filter("n > 2").join(found, "doc_id", "left")
-    at = at.select("bucket", "doc_id", "n", (F.col("doc_id") == F.col("center")).alias("middle"), F.coalesce("component_id", "doc_id").alias("component"))
-    parts = at.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    of_bucket = ["bucket", "salt", "salts", "doc_id", "n"]
+    at = at.select(*of_bucket, (F.col("doc_id") == F.col("center")).alias("middle"), F.coalesce("component_id", "doc_id").alias("component"))
+    parts = at.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.max("salts").alias("salts"))
     biggest = F.max(F.struct("size", "component"))
-    largest = parts.groupBy("bucket").agg(biggest["component"].alias("main"), (F.sum("size") - biggest["size"]).alias("n_outside"))
-    rows = at.filter("NOT middle").join(largest.filter("n_outside > 0"), "bucket")
+    largest = parts.groupBy("bucket").agg(biggest["component"].alias("main"), (F.sum("size") - biggest["size"]).alias("n_outside"), F.max("salts").alias("salts"))
+    rows = at.filter("NOT middle").drop("salts").join(_salted(largest.filter("n_outside > 0")), ["bucket", "salt"])
     chunk = lambda n: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / CHUNK))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / CHUNK) - 1))
     known = ["bucket", "doc_id", "component"]
@@ -285,8 +303,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(stands.dropDuplicates(["doc_id", *same]), "classes")
 
     slots = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).filter("n > 1")
-    members = written(slots.join(shared, "bucket"), "members")
+    members = written(_members(slots), "members")
     stars = members.filter("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(_confirmed(written(_promising(stars, classes), "pairs"), docs), "links")
     found = components(links)

@@ -460,7 +460,8 @@ def test_rows_sent_to_blocks(spark, monkeypatch, outside):
     """Members of a bucket are repeated by the chunks of its outside members, not by its own size."""
     monkeypatch.setattr(near_dedup, "CHUNK", 10)
     n = 200
-    members = spark.createDataFrame([(5, i, 0, n) for i in range(n)], "bucket long, doc_id long, center long, n long")
+    members = near_dedup._members(spark.createDataFrame([(5, i) for i in range(n)] + [(6, 0), (8, 3)], "bucket long, doc_id long"))
+    assert sorted((r.bucket, r.doc_id, r.center, r.n) for r in members.collect()) == [(5, i, 0, n) for i in range(n)]
     found = spark.createDataFrame([(i, 0) for i in range(1, n - outside)], "doc_id long, component_id long")
     cells = near_dedup._cells(members, found).collect()
     assert len(cells) == outside * n // 10 + (n - 1) * max(outside // 10, 1)
