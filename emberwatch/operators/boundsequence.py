@@ -1,9 +1,11 @@
 """Sequences whose later events speak of the first one: text that starts with, contains or equals one of its fields.
 
-The first events' values, each distinct one per key and time slice, are filed under an expression of theirs: a
-prefix of power-of-two length, or one gram. A later event makes the same expressions of its own text, equal ones
-are joined, and the whole value is confirmed. So later events meet distinct values, never first events; the
-value then becomes part of the key, and the nearest later event is looked up in slices as for other sequences.
+The first events' distinct values are filed under an expression of theirs: a prefix of power-of-two length, or one
+gram. Each distinct later text makes the same expressions, equal ones are joined, and the whole value is confirmed.
+Later events get their text's values, joined by salts as a text may be hot, and keep those that a first event of their
+key has in reach. So they meet distinct values, never first events, and are not copied for every gram; the value then
+becomes part of the key, and the nearest later event is looked up in slices as for other sequences. What a stage
+reads twice is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators.grams import GRAM
 from emberwatch.operators.predicates import two_valued
+from emberwatch.operators.skew import SALTS
 from emberwatch.operators.timeline import HOUR, nearest
+from emberwatch.session import written
 
 #: Longest prefix that is filed; a longer value is filed under its first so many characters.
 LONGEST = 4096
@@ -69,16 +73,31 @@ def _has(text: Column, value: Column, how: str) -> Column:
     return {"equals": text == value, "startswith": text.startswith(value), "contains": text.contains(value)}[how]
 
 
+def _pairs(texts: DataFrame, values: DataFrame, how: str) -> DataFrame:
+    """(text, value) for every distinct value that a distinct text has.
+
+    Texts are exploded by their hash alone and are fetched again to confirm, so texts that share a hash do no harm.
+    """
+    of = F.xxhash64("text").alias("_of")
+    filed = values.select("value", _expression(F.col("value"), how).alias("_expression"))
+    asked = texts.select(of, F.explode(_expressions(F.col("text"), how)).alias("_expression"))
+    # the planner takes an exploded table for as small as its source, and so for one to broadcast
+    near = asked.hint("merge").join(filed, "_expression").select("_of", "value").distinct()
+    met = texts.select("text", of).join(near, "_of")
+    return met.filter(_has(F.col("text"), F.col("value"), how)).select("text", "value")
+
+
 def _with_values(later: DataFrame, firsts: DataFrame, keys: list[str], stage: BoundStage, span: int) -> DataFrame:
     """Later events (keys, at, id, text) with each value of a first event of up to ``span`` before that their text has."""
     slice_of = lambda at: F.floor(at / F.lit(span + 1)).cast("long")
-    values = firsts.select(*keys, slice_of(F.col("at")).alias("_slice"), "value").distinct()
-    values = values.withColumn("_expression", _expression(F.col("value"), stage.how))
-    slices = F.explode(F.array(slice_of(F.col("at")), slice_of(F.col("at")) - 1)).alias("_slice")
-    rows = later.select(*keys, "at", "id", "text", slices)
-    rows = rows.select("*", F.explode(_expressions(F.col("text"), stage.how)).alias("_expression"))
-    met = rows.join(values, [*keys, "_slice", "_expression"])
-    return met.filter(_has(F.col("text"), F.col("value"), stage.how)).select(*keys, "value", "at", "id").distinct()
+    # an event looks into its own slice only: values are filed under the next one too
+    slices = F.explode(F.array(slice_of(F.col("at")), slice_of(F.col("at")) + 1)).alias("_slice")
+    values = firsts.select(*keys, "value", slices).distinct()
+    rows = later.select(*keys, "at", "id", "text", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_salt"))
+    salted = rows.select("text", "_salt").distinct()
+    pairs = _pairs(salted.select("text").distinct(), firsts.select("value").distinct(), stage.how)
+    met = rows.hint("merge").join(salted.join(pairs, "text"), ["text", "_salt"]).withColumn("_slice", slice_of(F.col("at")))
+    return met.join(values, [*keys, "_slice", "value"]).select(*keys, "value", "at", "id")
 
 
 def sequence_bound(
@@ -102,11 +121,13 @@ def sequence_bound(
         found = _with_values(later, chains.select(*keys, F.col("first_at").alias("at"), F.col(f"_value{i}").alias("value")), keys, stage, span)
         carried = [c for c in chains.columns if c not in keys]
         open_chains = chains.select(*keys, F.col(f"_value{i}").alias("value"), F.col("_at").alias("at"), F.struct(*carried).alias("chain"))
-        both = open_chains.unionByName(found, allowMissingColumns=True)
+        # the look-up reads both twice, and the next stage its chains: each is worked out once, so plans do not double
+        both = written(open_chains.unionByName(found, allowMissingColumns=True), "bound")
         looked = nearest(both, [*keys, "value"], "at", {"_next": (F.col("chain").isNull(), {"id": F.col("id")})}, width)
         ended = looked.filter(F.col("chain").isNotNull() & (F.col("_next.at") - F.col("chain.first_at") <= span))
         chains = ended.select(
             *keys, *(F.col(f"chain.{c}").alias(c) for c in carried if c != "_at"), F.col("_next.at").alias("_at"),
             F.col("_next.id").alias(f"{stage.name}_id"), F.col("_next.at").alias(f"{stage.name}_at"),
         )
+        chains = written(chains, "bound") if i + 1 < len(stages) else chains
     return chains.drop("_at", *(f"_value{i}" for i in range(len(stages))))

@@ -52,3 +52,13 @@ def test_long_values(spark):
     stages = [BoundStage("b", F.col("kind") == "b", F.col("text"), F.col("value"))]
     found = sequence_bound(events, F.col("kind") == "a", stages, ["key"], "at", "id", 100)
     assert [(r.first_id, r.b_id) for r in found.collect()] == [(1, 2)]
+
+
+def test_plan_does_not_double_with_the_stages(spark):
+    rows = [(i, "k", i, "abcd"[i % 4], "file.sh", f"run file.sh {i % 3}") for i in range(200)] + [(200, "k", 200, "d", "x", "x")]
+    events = spark.createDataFrame(rows, "id long, key string, at long, kind string, value string, text string")
+    stages = [BoundStage(n, F.col("kind") == n, F.col("text"), F.col("value"), "contains") for n in "bcd"]
+    found = sequence_bound(events, F.col("kind") == "a", stages, ["key"], "at", "id", 10)
+    assert {(r.first_id, r.b_id, r.c_id, r.d_id) for r in found.collect()} == {(i, i + 1, i + 2, i + 3) for i in range(0, 200, 4)}
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() <= 2 and len(plan.toString().split("\n")) < 30
