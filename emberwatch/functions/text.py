@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,14 +86,28 @@ def occurrences(column: Column, pattern: str) -> Column:
     return folded["found"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once per row: a lambda's variable is a value, a plain Column a formula."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def last_wins_map(keys: Column, values: Column) -> Column:
-    """A map of two arrays where a repeated key keeps its first place and its last value."""
-    unique = F.array_distinct(keys)
-    backwards = F.reverse(keys)
-    n = F.size(keys)
-    return F.map_from_arrays(
-        unique, F.transform(unique, lambda k: F.get(values, n - F.array_position(backwards, k).cast("int")))
-    )
+    """A map of two arrays where a repeated key keeps its first place and its last value.
+
+    Both arrays are worked out once, not anew for each key.
+    """
+
+    def parts(both: Column) -> Column:
+        k = both["k"]
+        return F.struct(F.array_distinct(k).alias("unique"), F.reverse(k).alias("backwards"), F.size(k).alias("n"), both["v"].alias("v"))
+
+    def last(p: Column, key: Column) -> Column:
+        return F.get(p["v"], p["n"] - F.array_position(p["backwards"], key).cast("int"))
+
+    def made(p: Column) -> Column:
+        return F.map_from_arrays(p["unique"], F.transform(p["unique"], lambda key: last(p, key)))
+
+    return let(F.struct(keys.alias("k"), values.alias("v")), lambda both: let(parts(both), made))
 
 
 def stripped(column: Column) -> Column:

@@ -67,7 +67,7 @@ def key_values(line: Column) -> Column:
 
 def parse_auditd(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``type=T msg=audit(seconds.millis:serial): k=v ...``"""
-    raw = lines.withColumn("_line", stripped(F.col("value"))).filter(F.col("_line").contains(AUDIT_MARK))
+    raw = once(lines, stripped(F.col("value")), "_line").filter(F.col("_line").contains(AUDIT_MARK))
     type_ = F.coalesce(empty_as_null(F.regexp_extract("_line", r"^type=(\w+)", 1)), F.lit("audit"))
     frame = raw.withColumns({"_kv": key_values(F.col("_line")), "_type": type_})
     kv = lambda name: empty_as_null(F.element_at("_kv", name))
