@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.text import empty_as_null, first_filled, last_wins_map, quote_regex
+from emberwatch.operators.skew import once
 from emberwatch.schema import to_event_schema
 
 #: Event column -> header names it is read from, compared without case, spaces or underscores.
@@ -28,7 +29,7 @@ RAW_COLUMNS = ["message", "ip", "computer", "source", "user", "processName", "pr
 
 
 def _plain(header: Column) -> Column:
-    return F.regexp_replace(F.lower(header), "[ _]", "")
+    return F.translate(F.lower(header), " _", "")
 
 
 def parse_cells(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -66,7 +67,7 @@ def split_cells(line: Column, separator: str) -> Column:
     # possessive: a long cell is read in a loop, not by recursion
     pattern = f'{sep}("(?:[^"]++|"")*+"|[^{sep}]*+)'
     cells = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(pattern), F.lit(1))
-    inner = lambda c: F.regexp_replace(F.substr(c, F.lit(2), F.length(c) - 2), '""', '"')
+    inner = lambda c: F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
     return F.transform(cells, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), inner(c)).otherwise(c))
 
 
@@ -81,8 +82,8 @@ def cells_of_lines(lines: DataFrame, separator: str = ",", keep: list[str] | Non
         F.col("_first.pos").alias("_pos"),
         split_cells(F.regexp_replace("_first.value", "^\ufeff", ""), separator).alias("_names"),
     )
-    rows = lines.filter(F.trim("value") != "").join(headers, "file").filter(F.col("pos") > F.col("_pos"))
-    return _named(rows, split_cells(F.col("value"), separator), keep)
+    rows = once(lines, F.col("value"), "_line").filter(F.trim("_line") != "").join(headers, "file").filter(F.col("pos") > F.col("_pos"))
+    return _named(rows, split_cells(F.col("_line"), separator), keep)
 
 
 def _named(rows: DataFrame, values: Column, keep: list[str] | None = None) -> DataFrame:
