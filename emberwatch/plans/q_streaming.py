@@ -116,6 +116,16 @@ def stream_detect(spark, sf_dir):
     return append_to_table(rule_hits(events, RULES, ["event_id"], route=True), "detect")
 
 
+#: Bytes of a row group of a batch's file: small, so that all cores share a file, which is split by row groups.
+ROW_GROUP = 2 << 20
+
+
+def in_files(rows, number, folder):
+    """``rows`` as one file for each value of the column ``number``, four at most."""
+    dealt = rows.withColumn("part", number).repartition(4, "part")
+    dealt.write.option("parquet.block.size", ROW_GROUP).partitionBy("part").parquet(folder)
+
+
 @query("stream_progress", with_log(MATCHES + """
 SELECT 'events' AS measure, 4 AS batches, CAST(count(*) AS DOUBLE) AS total FROM log
 UNION ALL SELECT 'hits', 4, CAST(count(*) AS DOUBLE) FROM hits
@@ -123,8 +133,7 @@ UNION ALL SELECT 'written', 4, CAST((SELECT count(*) FROM log) AS DOUBLE)"""))
 def stream_progress(spark, sf_dir):
     """Detection over the log in four files, one a batch: what each batch saw and found adds up to the whole."""
     folder = scratch_path(spark, "parts")
-    events = table(spark, sf_dir, "events")
-    events.withColumn("part", F.col("event_id") % 4).repartition(4, "part").write.partitionBy("part").parquet(folder)
+    in_files(table(spark, sf_dir, "events"), F.col("event_id") % 4, folder)
     log = as_events(flatten(read_parquet_stream(spark, folder, "*.parquet", files_per_batch=1)))
     frame, found = hits_of_rows(log, RULES, ["event_id"], route=True)
     seen = frame.select("event_id", F.size(found).alias("n_hits"))

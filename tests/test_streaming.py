@@ -83,3 +83,16 @@ def test_progress_adds_up_and_a_repeated_batch_counts_once(spark, tmp_path):
     seen = {(r.batch, r.measure): r.value for r in progress.collect()}
     assert {b for b, _ in seen} == {0, 1, 2} and sum(v for (_, m), v in seen.items() if m == "total") == sum(range(30))
     assert rows.count() == 30 and sorted(r.batch for r in rows.collect()) == [b for b in range(3) for _ in range(10)]
+
+
+def test_a_file_of_a_batch_can_be_split(spark, tmp_path):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from emberwatch.plans.q_streaming import in_files
+
+    folder = str(tmp_path / "parts")
+    in_files(spark.range(2_000_000).select("id", F.xxhash64("id").alias("h")), F.col("id") % 4, folder)
+    files = [pq.ParquetFile(f).metadata for f in Path(folder).rglob("*.parquet")]
+    assert len(files) == 4 and sum(f.num_rows for f in files) == 2_000_000 and all(f.num_row_groups > 1 for f in files)
