@@ -7,15 +7,16 @@
 3. Base spans label candidates: one that lies on a base span of its kind is positive; one that lies on
    a base span of another kind, that failed the test of its base pattern, or that is an email without a
    domain's ending, is negative. All others have no label.
-4. Boosted trees learn from format and context features of at most ``SAMPLE`` candidates of each kind
-   and label (the fit is on a sample; scoring covers all), and from variants of ``SEEDS`` and of at most
-   ``VARIED`` sampled base spans of each kind: the span with other separators is positive, the
+4. Boosted trees learn from format and context features of all candidates with a label, and from variants of
+   ``SEEDS`` and of all base spans: the span with other separators is positive, the
    same spoilt (no domain ending, a part over 255, a wrong check digit, too few digits or no plus) is negative. So
-   every kind has both labels, whatever the table holds. Half of all are held out, a variant with its
-   span: for each kind the threshold is the lowest one, halfway between two scores, over which at least
-   ``PRECISION`` of the held-out candidates are positive.
-5. Candidates over their kind's threshold that touch no base span are added; of those that overlap, the
-   one with the best score.
+   every kind has both labels, whatever the table holds. Half of all are held out, by a hash, a variant with its
+   span; for each kind the threshold is the lowest one, halfway between two scores, over which at least
+   ``PRECISION`` of the held-out candidates are positive. Candidates of equal features are one row with their
+   number, so nothing is sampled and the fit grows with the different rows only. In the fit, the candidates of
+   each kind and label weigh the same in sum, as kinds differ widely in how frequent they are.
+5. Candidates of the looser generators over their kind's threshold that touch no base span are added; of those
+   that overlap, the one with the best score. A match that failed the test of its base pattern is known to be wrong.
 
 Everything runs as column expressions, windows over a document's candidates and the library's own
 trees; a text's place is counted in code points from the pieces between matches. The patterns
@@ -27,6 +28,8 @@ repeated rows get equal results. A null doc_id is kept. Extra columns are not re
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -68,13 +71,7 @@ _HINTS = {
 
 #: Characters of context on either side.
 CONTEXT = 24
-#: Candidates of each kind and label that the trees are fitted and calibrated on, at most.
-SAMPLE = 1000
 PRECISION = 0.99
-#: Sampled base spans of each kind that variants are made of, at most.
-VARIED = 200
-#: Characters of a sampled span that variants are made of, at most.
-LONGEST = 100
 #: Made-up base spans with what stands before and after; variants are made of these too.
 SEEDS = {
     "email": (
@@ -113,6 +110,10 @@ SEEDS = {
 #: An email's ending, also written out.
 _DOMAIN = r"[A-Za-z0-9]\.[A-Za-z]{2,}$|(?:dot|DOT|\.)[)\]}]\x20?[A-Za-z]{2,}$"
 TREES, DEPTH, SEED = 10, 3, 7
+#: Values of a feature that the trees can all be split between; of more values, so many quantiles.
+BINS = 1024
+#: Rows of different features that one task of the fit takes; no more than these are fitted in the same order each time.
+FIT_ROWS = 100_000
 
 _CANDIDATE = "array<struct<kind:int,base:boolean,i:int,gap:int,match:string,before:string,after:string>>"
 
@@ -198,6 +199,7 @@ def _over_base(rows: DataFrame) -> DataFrame:
 
 
 def _features(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``rows`` with a column for each feature, and the names of these."""
     match, before, after = F.col("match"), F.col("before"), F.col("after")
     digits = _digits(match)
     count = lambda pattern: F.regexp_count(match, F.lit(pattern)).cast("double")
@@ -220,24 +222,24 @@ def _features(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     for number, kind in enumerate(KINDS):
         found[f"f_{kind}"] = flag(F.col("kind") == number)
         found[f"f_{kind}_hint"] = flag((F.col("kind") == number) & before.rlike(_HINTS[kind]))
-    assembler = VectorAssembler(inputCols=list(found), outputCol="features")
-    return assembler.transform(rows.withColumns(found)).drop(*found), list(found)
+    return rows.withColumns(found), list(found)
 
 
 def _variants(rows: DataFrame) -> DataFrame:
-    """Base spans with other separators, and the same spoilt: kind, label, match, before, after, place."""
+    """Base spans with other separators, and the same spoilt: kind, label, match, before, after, held. All in linear time."""
     match, before = F.col("match"), F.col("before")
     put = F.regexp_replace
     bare, grouped = _digits(match), lambda digits, mark: put(digits, r"(.{4})(?=.)", f"$1{mark}")
-    host = put(match, r"\.[^@]*$", "")
+    user, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
+    first = F.substring_index(domain, ".", 1)
     wrong = F.concat(F.substring(bare, F.lit(1), F.char_length(bare) - 1), F.translate(F.right(bare, F.lit(1)), "0123456789", "1234567890"))
-    far, many = put(match, r"[0-9]+$", "999"), put(match, r"^[0-9]+", "742")
+    far, many = put(match, r"(?<![0-9])[0-9]++$", "999"), put(match, r"^[0-9]++", "742")
     number = put(match, r"^\+", "")
-    short = F.regexp_extract(number, r"^(?:[^0-9]*[0-9]){8}", 0)
+    short = F.regexp_extract(number, r"^(?:[^0-9]*+[0-9]){8}", 0)
     signs = ((" (at) ", " (dot) "), ("[at]", "."), (" @ ", "."), ("(at)", "[.]"))
-    written_out = lambda email, at, dot: put(put(email, r"\.(?=[^@]*$)", dot), "@", at)
+    written_out = lambda domain, at, dot: F.concat(user, F.lit(at), F.replace(domain, F.lit("."), F.lit(dot)))
     forms = {
-        "email": [(label, written_out(email, at, dot), before) for label, email in ((1.0, match), (0.0, host)) for at, dot in signs],
+        "email": [(label, written_out(d, at, dot), before) for label, d in ((1.0, domain), (0.0, first)) for at, dot in signs],
         "ip": [(label, put(ip, r"\.", dot), before) for label, ip in ((1.0, match), (0.0, far), (0.0, many)) for dot in ("[.]", " . ", "(.)")],
         "card": [(label, grouped(digits, mark), before) for label, digits in ((1.0, bare), (0.0, wrong)) for mark in (".", "_", "/")],
         "phone": [
@@ -250,31 +252,44 @@ def _variants(rows: DataFrame) -> DataFrame:
     for n, kind in enumerate(KINDS):
         own = F.array(*(F.struct(F.lit(label).alias("label"), m.alias("match"), b.alias("before")) for label, m, b in forms[kind]))
         made = F.when(F.col("kind") == n, own).otherwise(made)
-    rows = rows.select("kind", "after", "place", F.explode(made).alias("v"))
-    return rows.select("kind", "v.label", "v.match", "v.before", "after", "place")
+    rows = rows.select("kind", "after", "held", F.explode(made).alias("v"))
+    return rows.select("kind", "v.label", "v.match", "v.before", "after", "held")
 
 
-def _scored(rows: DataFrame) -> DataFrame:
-    """``rows`` with score and threshold."""
+def _labelled(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All candidates with a label, seeds and variants, counted: kind, label, held, the features, n; and the features' names."""
     no_email = (F.col("kind") == KINDS.index("email")) & ~F.col("match").rlike(_DOMAIN)
     label = F.when(F.col("on_own"), 1.0).when(F.col("on_other") | F.col("base") | no_email, 0.0)
-    labelled = rows.withColumn("label", label).filter("label IS NOT NULL")
-    place = F.row_number().over(Window.partitionBy("kind", "label").orderBy(F.xxhash64("doc_id", "key", "start", "end", "base"), "doc_id", "start", "end", "base"))
-    names = ["kind", "label", "match", "before", "after", "place"]
-    sample = written(labelled.withColumn("place", place).filter(F.col("place") <= SAMPLE).select(*names, "passed"), "sample")
-    seeds = [(n, 1.0, match, before, after, place) for n, kind in enumerate(KINDS) for place, (before, match, after) in enumerate(SEEDS[kind])]
-    seeds = rows.sparkSession.createDataFrame(seeds, "kind int, label double, match string, before string, after string, place int")
-    sources = sample.filter(F.col("passed") & (F.char_length("match") <= LONGEST)).withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("place"))).filter(F.col("n") <= VARIED)
-    sources = sources.select(names).union(seeds)
-    sample, _ = _features(sample.select(names).union(seeds).union(_variants(sources).select(names)))
-    vectors, _ = _features(rows)
-    fit, held = sample.filter("place % 2 = 0"), sample.filter("place % 2 = 1")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(fit.orderBy("kind", "label", "place", "match", "before", "after").coalesce(1))
+    held = F.xxhash64("doc_id", "key", "start", "end", "base") % 2 != 0
+    labelled = rows.withColumns({"label": label, "held": held}).filter("label IS NOT NULL")
+    names = ["kind", "label", "match", "before", "after", "held"]
+    seeds = [(n, 1.0, match, before, after, place % 2 == 1) for n, kind in enumerate(KINDS) for place, (before, match, after) in enumerate(SEEDS[kind])]
+    seeds = rows.sparkSession.createDataFrame(seeds, "kind int, label double, match string, before string, after string, held boolean")
+    sources = labelled.filter("passed").select(names).union(seeds)
+    found, features = _features(labelled.select(names).union(seeds).union(_variants(sources).select(names)))
+    return found.groupBy("kind", "label", "held", *features).agg(F.count(F.lit(1)).alias("n")), features
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    """``rows`` with score and threshold."""
+    labelled, features = _labelled(rows)
+    labelled = written(labelled, "labelled")
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    fit, held = labelled.filter("NOT held"), labelled.filter("held")
+    # a row for each kind and label
+    totals = fit.groupBy("kind", "label").agg(F.sum("n").alias("total"))
+    fit = fit.join(F.broadcast(totals), ["kind", "label"]).withColumn("weight", F.col("n") / F.col("total"))
+    n_rows = fit.count()
+    fit = assembler.transform(fit.orderBy("kind", "label", *features).coalesce(1 + n_rows // FIT_ROWS))
+    # Spark looks for splits in a sample of more rows than the square of the bins
+    bins = max(BINS, math.isqrt(n_rows) + 1)
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, seed=SEED, weightCol="weight").fit(fit)
+    vectors = assembler.transform(_features(rows)[0]).drop(*features)
     score = vector_to_array("probability")[1]
 
     # of the held-out candidates of a kind: how many at or over each score are positive
-    checked = trees.transform(held).select("kind", "label", score.alias("score")).groupBy("kind", "score")
-    checked = checked.agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    checked = trees.transform(assembler.transform(held)).select("kind", "label", "n", score.alias("score")).groupBy("kind", "score")
+    checked = checked.agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
     down = Window.partitionBy("kind").orderBy(F.desc("score"))
     whole = Window.partitionBy("kind")
     checked = checked.withColumns(
@@ -294,7 +309,7 @@ def spans(docs: DataFrame) -> DataFrame:
     rows = written(_over_base(candidates(docs)), "candidates")
     names = ["doc_id", "key", "kind", "start", "end"]
     base = rows.filter("passed").select(*names, F.lit(True).alias("base"), F.lit(1.0).alias("score"))
-    added = _scored(rows).filter("NOT on_own AND NOT on_other AND score >= threshold").select(*names, "score")
+    added = _scored(rows).filter("NOT base AND NOT on_own AND NOT on_other AND score >= threshold").select(*names, "score")
     order = Window.partitionBy("doc_id", "key").orderBy("start", "end", "kind")
     apart = F.col("start") >= F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     added = added.distinct().withColumn("apart", apart.cast("int"))
