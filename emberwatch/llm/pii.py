@@ -12,7 +12,8 @@
    same spoilt (no domain ending, a part over 255, a wrong check digit, too few digits or no plus) is negative. So
    every kind has both labels, whatever the table holds. Half of all are held out, by a hash, a variant with its
    span; for each kind the threshold is the lowest one, halfway between two scores, over which at least
-   ``PRECISION`` of the held-out candidates are positive. Candidates of equal features are one row with their
+   ``PRECISION`` of the held-out candidates are positive, and of those right over it too, as many sure ones
+   would make up for some that are all wrong. Candidates of equal features are one row with their
    number, so nothing is sampled and the fit grows with the different rows only. In the fit, the candidates of
    each kind and label weigh the same in sum, as kinds differ widely in how frequent they are.
 5. Candidates of the looser generators over their kind's threshold that touch no base span are added; of those
@@ -270,6 +271,20 @@ def _labelled(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     return found.groupBy("kind", "label", "held", *features).agg(F.count(F.lit(1)).alias("n")), features
 
 
+def _thresholds(checked: DataFrame) -> DataFrame:
+    """kind, threshold; from how many of a kind's held-out candidates have each score (n), and how many of these are positive (good)."""
+    down = Window.partitionBy("kind").orderBy(F.desc("score"))
+    whole = Window.partitionBy("kind")
+    checked = checked.withColumns(
+        {
+            "share": F.least(F.sum("good").over(down) / F.sum("n").over(down), F.col("good") / F.col("n")),
+            "negatives": F.sum(F.col("n") - F.col("good")).over(whole),
+            "border": (F.col("score") + F.lead("score", 1, 0.0).over(down)) / 2,
+        }
+    )
+    return checked.filter((F.col("share") >= PRECISION) & (F.col("negatives") > 0)).groupBy("kind").agg(F.min("border").alias("threshold"))
+
+
 def _scored(rows: DataFrame) -> DataFrame:
     """``rows`` with score and threshold."""
     labelled, features = _labelled(rows)
@@ -287,19 +302,8 @@ def _scored(rows: DataFrame) -> DataFrame:
     vectors = assembler.transform(_features(rows)[0]).drop(*features)
     score = vector_to_array("probability")[1]
 
-    # of the held-out candidates of a kind: how many at or over each score are positive
     checked = trees.transform(assembler.transform(held)).select("kind", "label", "n", score.alias("score")).groupBy("kind", "score")
-    checked = checked.agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
-    down = Window.partitionBy("kind").orderBy(F.desc("score"))
-    whole = Window.partitionBy("kind")
-    checked = checked.withColumns(
-        {
-            "share": F.sum("good").over(down) / F.sum("n").over(down),
-            "negatives": F.sum(F.col("n") - F.col("good")).over(whole),
-            "border": (F.col("score") + F.lead("score", 1, 0.0).over(down)) / 2,
-        }
-    )
-    least = checked.filter((F.col("share") >= PRECISION) & (F.col("negatives") > 0)).groupBy("kind").agg(F.min("border").alias("threshold"))
+    least = _thresholds(checked.agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")))
     # a row for each kind at most
     return trees.transform(vectors).withColumn("score", score).drop("features", "rawPrediction", "probability", "prediction").join(F.broadcast(least), "kind")
 

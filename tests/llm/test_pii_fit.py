@@ -31,6 +31,13 @@ def test_no_candidate_is_left_out(spark, monkeypatch):
     assert bins**2 >= n_rows
 
 
+def test_many_sure_spans_do_not_let_wrong_ones_in(spark):
+    # kind 1: 3 of 1,003 are wrong, and all of one score; kind 2: 0.5 % of the lower score are wrong; kind 3 has no wrong one
+    scores = [(1, 0.875, 1000.0, 1000), (1, 0.625, 0.0, 3), (1, 0.25, 0.0, 5), (2, 0.875, 100.0, 100), (2, 0.625, 199.0, 200), (2, 0.125, 0.0, 9), (3, 0.5, 9.0, 9)]
+    found = pii._thresholds(spark.createDataFrame(scores, "kind int, score double, good double, n long")).collect()
+    assert {r.kind: r.threshold for r in found} == {1: 0.75, 2: 0.375}
+
+
 def test_all_labelled_rows_are_counted(spark):
     rows = pii._over_base(pii.candidates(table(spark, TEXTS).select("doc_id", "text")))
     labelled, _ = pii._labelled(rows)
