@@ -84,7 +84,7 @@ class _Sequences(StatefulProcessor):
         due = min((first for _, first, _ in pieces), default=None)
         held: list[Rows] = []
         for batch in rows:
-            keys = pa.Array.from_pandas(batch["key"], type=self.filed.field("key").type)
+            keys = pa.array(batch["key"], self.filed.field("key").type, from_pandas=False)  # NaN is a key, not a null
             held.append((keys, batch["us"].to_numpy(np.int64), batch["stage"].to_numpy(np.int16)))
             if sum(len(us) for _, us, _ in held) >= SORTED:
                 self._file(_joined(held), pieces)
@@ -211,11 +211,14 @@ def sequences(rows: DataFrame, n_stages: int, span_us: int, delay: str) -> DataF
     """
     kind = rows.schema["key"].dataType
     result = T.StructType([T.StructField("key", kind), T.StructField("first_us", T.LongType()), T.StructField("last_us", T.LongType())])
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
+    fractions = isinstance(kind, (T.FloatType, T.DoubleType))
+    if fractions:
         rows = rows.withColumn("key", F.col("key") + F.lit(0).cast(kind))  # -0.0 is 0.0
     # pandas has times without a zone
     key_type = pa.timestamp("us") if isinstance(kind, T.TimestampType) else to_arrow_type(kind)
     # the closing row, which alone has no key, stays by itself, so columns of numbers have no nulls
     bucket = F.when(F.col("stage") < 0, -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
     grouped = rows.withWatermark("ts", delay).withColumn("bucket", bucket).groupBy("bucket")
-    return grouped.transformWithStateInPandas(_Sequences(n_stages, span_us, key_type), result, "Append", "EventTime")
+    found = grouped.transformWithStateInPandas(_Sequences(n_stages, span_us, key_type), result, "Append", "EventTime")
+    # on its way from pandas NaN becomes a null, which is no key
+    return found.withColumn("key", F.coalesce("key", F.lit("NaN").cast(kind))) if fractions else found

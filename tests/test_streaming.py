@@ -134,6 +134,16 @@ def test_sequence_without_key_or_time_and_twice_at_an_instant(spark, tmp_path):
     assert got == [(7, BASE, BASE + 2 * HOUR), (big, BASE, BASE + 2 * HOUR)]
 
 
+def test_sequence_of_keys_that_are_fractions(spark, tmp_path):
+    """NaN is a key like others, and both zeros are one, as in SQL."""
+    rows = [(key, BASE + i * HOUR, kind) for key in ("NaN", "0.5") for i, kind in enumerate("abc")]
+    rows += [("-0.0", BASE, "a"), ("0.0", BASE + HOUR, "b"), ("-0.0", BASE + 2 * HOUR, "c")]
+    frame = spark.createDataFrame(rows, "k string, us long, kind string").withColumn("ts", F.timestamp_micros("us"))
+    frame.withColumn("k", F.col("k").cast("double")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = _sequences(read_parquet_stream(spark, str(tmp_path / "in"), "*.parquet"), 8 * HOUR, "3 hours")
+    assert sorted(map(repr, got)) == sorted(repr((key, BASE, BASE + 2 * HOUR)) for key in (0.0, 0.5, float("nan")))
+
+
 def test_sequence_whose_span_ends_in_a_waiting_hour(spark, tmp_path):
     """A start is kept for the rows that wait in an hour of which the watermark has passed a part."""
     minute = HOUR // 60
